@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import q_secret_scan
+from corpusloom.llm import q_pii, q_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": q_secret_scan.op1_secret_scan,
+    "op4_pii_anchors": q_pii.op4_pii_anchors,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": q_secret_scan.ORACLE,
+    "op4_pii_anchors": q_pii.ORACLE,
 }
