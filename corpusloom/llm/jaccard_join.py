@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.arrow import slices
 from corpusloom.llm.common import cut
 from corpusloom.llm.graph import components
-from corpusloom.llm.shingles import U, WordHashes, mix, shingle_set
+from corpusloom.llm.shingles import U, mix, shingle_set, word_hashes
 
 #: A band's largest size over its smallest.
 BAND = 1.4
@@ -140,7 +140,7 @@ def _index(shingle_words: int, schemes: Schemes):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 ids, texts = part.column(0), part.column(1).to_pylist()
@@ -206,7 +206,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = word_hashes()
         for batch in batches:
             for part in slices(batch):
                 *rest, texts = part.columns

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.common import cut
 
 #: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 1_000_000
 #: str.split() takes these as white space, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -65,9 +66,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memory of words for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def _tokenise(path: str, end_id: int, max_tokens: int, keep_ids: bool):
     def make():
-        words = WordIds(path)
+        words = word_ids(path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         width = 4 * max_tokens
 

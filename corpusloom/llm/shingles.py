@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -31,6 +33,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), dtype=U, count=len(found))
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memory of words for all tasks that a Python worker runs."""
+    return WordHashes()
+
+
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of ``size``-word shingles; fewer words make one shingle; no words, none."""
     n = len(words)
