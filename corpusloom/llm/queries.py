@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import q_jaccard_join, q_packing, q_pii, q_quality, q_secret_scan, q_toxicity
+from corpusloom.llm import q_html, q_jaccard_join, q_packing, q_pii, q_quality, q_secret_scan, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": q_secret_scan.op1_secret_scan,
+    "op2_html_mincut": q_html.op2_html_mincut,
     "op4_pii_anchors": q_pii.op4_pii_anchors,
     "op6_best_fit_packing": q_packing.op6_best_fit_packing,
     "op8_ngram_jaccard_join": q_jaccard_join.op8_ngram_jaccard_join,
