@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import q_html, q_jaccard_join, q_packing, q_pii, q_quality, q_secret_scan, q_toxicity
+from corpusloom.llm import q_decontaminate, q_html, q_jaccard_join, q_packing, q_pii, q_quality, q_secret_scan, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": q_secret_scan.op1_secret_scan,
     "op2_html_mincut": q_html.op2_html_mincut,
     "op4_pii_anchors": q_pii.op4_pii_anchors,
     "op6_best_fit_packing": q_packing.op6_best_fit_packing,
+    "op7_benchmark_simhash": q_decontaminate.op7_benchmark_simhash,
     "op8_ngram_jaccard_join": q_jaccard_join.op8_ngram_jaccard_join,
     "op9_quality_resampling": q_quality.op9_quality_resampling,
     "op10_toxicity_mil": q_toxicity.op10_toxicity_mil,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": q_secret_scan.ORACLE,
     "op4_pii_anchors": q_pii.ORACLE,
+    "op7_benchmark_simhash": q_decontaminate.ORACLE,
 }
