@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import q_decontaminate, q_html, q_jaccard_join, q_media, q_packing, q_pii, q_quality, q_secret_scan, q_toxicity
+from corpusloom.llm import q_decontaminate, q_html, q_jaccard_join, q_media, q_packing, q_pii, q_quality, q_secret_scan, q_tool_calls, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": q_secret_scan.op1_secret_scan,
     "op2_html_mincut": q_html.op2_html_mincut,
     "op3_progressive_jpeg": q_media.op3_progressive_jpeg,
     "op4_pii_anchors": q_pii.op4_pii_anchors,
+    "op5_tool_call_linking": q_tool_calls.op5_tool_call_linking,
     "op6_best_fit_packing": q_packing.op6_best_fit_packing,
     "op7_benchmark_simhash": q_decontaminate.op7_benchmark_simhash,
     "op8_ngram_jaccard_join": q_jaccard_join.op8_ngram_jaccard_join,
@@ -23,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": q_secret_scan.ORACLE,
     "op4_pii_anchors": q_pii.ORACLE,
+    "op5_tool_call_linking": q_tool_calls.ORACLE,
     "op7_benchmark_simhash": q_decontaminate.ORACLE,
 }
