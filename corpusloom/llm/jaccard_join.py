@@ -40,7 +40,11 @@ from corpusloom.llm.graph import components
 from corpusloom.llm.shingles import U, mix, shingle_set, word_hashes
 
 #: A band's largest size over its smallest.
-BAND = 1.4
+BAND = 1.5
+#: Weight of keys of short segments, which many sets share by chance, against the number of keys.
+CHANCE = 50
+#: Rows of ids that a join may broadcast (16 bytes each); beyond, it shuffles.
+BROADCAST_ROWS = 4_000_000
 #: Elements of a family that one task holds at once (8 bytes each).
 BLOCK_ELEMENTS = 3_000_000
 
@@ -73,24 +77,26 @@ class Schemes:
 
     @lru_cache(maxsize=None)
     def scheme(self, band: int) -> Scheme:
-        high = self.bound(band + 1) - 1
+        low, high = self.bound(band), self.bound(band + 1) - 1
         # |r ^ s| = a + b - 2 i with i * (num + den) >= num * (a + b)
         most = 2 * high * (self.den - self.num) // (self.den + self.num)
-        spare = max(1, round(0.15 * (most + 1)))
-        exact = Scheme(band, most, most + 1 + spare, spare, 0, False)
-        half = -(-(most + 1) // 2)
-        spare = max(1, round(0.15 * half))
-        loose = Scheme(band, most, half + spare, spare, 0, True)
-
-        def cost(s: Scheme) -> float:
-            # Keys written, and pairs that meet by chance where segments are short.
-            mean = high / BAND**0.5 / s.segments
-            return (high if s.deletions else 0) + s.segments + 2000 * s.segments * math.exp(-mean)
-
-        best = min(exact, loose, key=cost)
-        mean = high / BAND**0.5 / best.segments
-        least = max(2 if best.deletions else 1, 1 + int(0.3 * mean))
-        return Scheme(best.band, best.most, best.segments, best.spare, least, best.deletions)
+        best, least_cost = None, math.inf
+        for needed, deletions in ((most + 1, False), (-(-(most + 1) // 2), True)):
+            spare = 1
+            for _ in range(8):  # enough spare segments for the short ones of nearly all sets of the band
+                mean = low / (needed + spare)
+                least = (1 if mean < 5 else 2 if mean < 8 else 3) + deletions
+                short = (needed + spare) * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
+                spare = max(1, math.ceil(short + 2 * short**0.5))
+                if spare > needed:
+                    break
+            segments = needed + spare
+            mean = high / BAND**0.5 / segments
+            # Keys written, and how likely segments are too short to tell sets apart.
+            cost = (high if deletions else 0) + segments + CHANCE * segments * math.exp(-mean)
+            if cost < least_cost:
+                best, least_cost = Scheme(band, most, segments, spare, least, deletions), cost
+        return best
 
     @lru_cache(maxsize=4096)
     def of(self, size: int) -> tuple[Scheme, ...]:
@@ -134,51 +140,57 @@ def keys_of(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else shingles[:0]
 
 
-def _index(shingle_words: int, schemes: Schemes):
-    kinds = pa.schema(
-        [("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("keys", pa.list_(pa.int64()))]
-    )
+def _sets_of(batch: pa.RecordBatch, shingle_words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch whose last column is the text (bytes), with the sets of their texts."""
+    words = word_hashes()
+    for part in slices(batch):
+        yield part, [shingle_set(words.words(t or b""), shingle_words) for t in part.column(part.num_columns - 1).to_pylist()]
+
+
+def _describe(shingle_words: int):
+    """(id, text) to (id, n, hi, lo): the size and the 128-bit digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_hashes()
         for batch in batches:
-            for part in slices(batch):
-                ids, texts = part.column(0), part.column(1).to_pylist()
-                n, digests, keys = [], bytearray(), []
-                for text in texts:
-                    found = shingle_set(words.words(text or b""), shingle_words)
-                    n.append(len(found))
-                    digests += xxhash.xxh3_128_digest(found.tobytes())
-                    keys.append(keys_of(found, schemes) if len(found) else found)
-                two = np.frombuffer(bytes(digests), dtype="<i8").reshape(-1, 2)
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.ListArray.from_arrays(offsets, flat)],
-                    schema=kinds,
-                )
+            for part, sets in _sets_of(batch, shingle_words):
+                digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+                two = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["id", "n", "hi", "lo"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, keys) to (key, a, b): a row (key, id, id) for the first member of a key in this batch, and one
-    edge (spread, id, first) for others, so that a key held by many rows travels once a batch."""
-    for batch in batches:
-        lists = batch.column(1)
-        flat = np.asarray(lists.flatten())
-        if not len(flat):
-            continue
-        ids = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
-        order = np.lexsort((ids, flat))
-        flat, ids = flat[order], ids[order]
-        first = np.concatenate([[True], flat[1:] != flat[:-1]])
-        leader = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        other = ~first & (ids != leader)
-        edges = np.unique(np.stack([ids[other], leader[other]], axis=1), axis=0)
-        a, b = np.concatenate([ids[first], edges[:, 0]]), np.concatenate([ids[first], edges[:, 1]])
-        key = np.concatenate([flat[first], mix(edges[:, 0].astype(U) + U(1)).view(np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, a, b)], names=["key", "a", "b"])
+def _keys(shingle_words: int, schemes: Schemes):
+    """(id, text) to (key, a, b): a row (key, id, id) for the first member of a key in this batch, and one edge
+    (spread, id, first) for others, so that a key held by many rows travels once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least: dict[bytes, tuple[int, np.ndarray]] = {}  # of equal sets, which meet by their digest, the least id
+            for part, sets in _sets_of(batch, shingle_words):
+                for i, s in zip(part.column(0).to_pylist(), sets, strict=True):
+                    if len(s):
+                        mark = xxhash.xxh3_128_digest(s.tobytes())
+                        if mark not in least:
+                            least[mark] = i, keys_of(s, schemes)
+                        elif i < least[mark][0]:
+                            least[mark] = i, least[mark][1]
+            ids, keys = [i for i, _ in least.values()], [k for _, k in least.values()]
+            if not ids or not (flat := np.concatenate(keys).view(np.int64)).size:
+                continue
+            owner = np.repeat(np.array(ids, dtype=np.int64), [len(k) for k in keys])
+            order = np.lexsort((owner, flat))
+            flat, owner = flat[order], owner[order]
+            first = np.concatenate([[True], flat[1:] != flat[:-1]])
+            leader = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            other = ~first & (owner != leader)
+            edges = np.unique(np.stack([owner[other], leader[other]], axis=1), axis=0)
+            a, b = np.concatenate([owner[first], edges[:, 0]]), np.concatenate([owner[first], edges[:, 1]])
+            key = np.concatenate([flat[first], mix(edges[:, 0].astype(U) + U(1)).view(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, a, b)], names=["key", "a", "b"])
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,47 +218,60 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_hashes()
         for batch in batches:
-            for part in slices(batch):
-                *rest, texts = part.columns
-                sets = [shingle_set(words.words(t or b""), shingle_words).tobytes() for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(sets, pa.binary())], names=["id", "family", "blocks", "elements"]
-                )
+            for part, sets in _sets_of(batch, shingle_words):
+                raw = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], raw], names=["id", "family", "blocks", "elements"])
 
     return run
 
 
 def linked_groups(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """(id, least id of its component) of all members but those least ones, by exact comparison of sets."""
+    """(id, least id of its component) of all members but those least ones, by exact comparison of sets.
+
+    Linked sets share one of their rarest n - ceil(n num / den) + 1 elements, in the order of how many members
+    have an element; only members that do are compared, whole sets with whole sets."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(sets)
-    universe, element = np.unique(flat, return_inverse=True)
+    universe, element = np.unique(np.concatenate(sets), return_inverse=True)
     spans = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(sets)), sizes)
+    held = np.bincount(element, minlength=len(universe))
+    rank = np.empty(len(universe), dtype=np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(universe))
+    order = np.lexsort((rank[element], owner))
+    rare = np.arange(len(order)) - spans[owner] < (sizes - -(-sizes * num // den) + 1)[owner]
+    rare &= held[element[order]] > 1
+    rare_element, rare_owner = element[order][rare], owner[rare]
+    mine = np.concatenate([[0], np.cumsum(np.bincount(rare_owner, minlength=len(sets)))])
+    by = np.argsort(rare_element, kind="stable")
+    holders = rare_owner[by]
+    at = np.searchsorted(rare_element[by], np.arange(len(universe) + 1))
+
     waiting = np.ones(len(sets), dtype=bool)
-    seen_e, seen_o = element, owner
-    out: list[tuple[int, int]] = []
     flag = np.zeros(len(universe), dtype=bool)
+    out: list[tuple[int, int]] = []
     for start in range(len(sets)):
         if not waiting[start]:
             continue
         waiting[start] = False
         stack, members = [start], [start]
-        while stack and waiting.any():
+        while stack:
             p = stack.pop()
-            mine = element[spans[p] : spans[p + 1]]
-            flag[mine] = True
-            common = np.bincount(seen_o[flag[seen_e]], minlength=len(sets))
-            flag[mine] = False
-            hit = np.flatnonzero(waiting & (common * (num + den) >= num * (sizes[p] + sizes)))
-            waiting[hit] = False
-            stack += hit.tolist()
-            members += hit.tolist()
-            if len(hit) and 2 * sizes[waiting].sum() < len(seen_e):
-                keep = waiting[seen_o]
-                seen_e, seen_o = seen_e[keep], seen_o[keep]
+            met = [holders[at[e] : at[e + 1]] for e in rare_element[mine[p] : mine[p + 1]].tolist()]
+            if not met:
+                continue
+            met = np.concatenate(met)
+            met = np.unique(met[waiting[met]])
+            near = (den * np.minimum(sizes[met], sizes[p]) >= num * np.maximum(sizes[met], sizes[p])) if len(met) else met
+            own = element[spans[p] : spans[p + 1]]
+            flag[own] = True
+            for q in met[near].tolist() if len(met) else ():
+                common = np.count_nonzero(flag[element[spans[q] : spans[q + 1]]])
+                if common * (num + den) >= num * (sizes[p] + sizes[q]):
+                    waiting[q] = False
+                    stack.append(q)
+                    members.append(q)
+            flag[own] = False
         if len(members) > 1:
             root = int(ids[members].min())
             out += [(int(i), root) for i in ids[members] if i != root]
@@ -283,6 +308,12 @@ def _verify(num: int, den: int):
     return run
 
 
+def small_side(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``ids`` (a cut table) as the side of a join with texts: broadcast if it has at most ``rows`` rows, else
+    hashed after a shuffle."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids.hint("shuffle_hash")
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -293,18 +324,17 @@ def near_duplicates(
     block_elements: int = BLOCK_ELEMENTS,
 ) -> DataFrame:
     """(id, n_shingles, component_id): component_id is the least id that links of similarity num/den or more reach."""
-    schemes = Schemes(num, den)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    index = cut(docs.mapInArrow(_index(shingle_words, schemes), "id long, n long, hi long, lo long, keys array<bigint>"))
+    about = cut(docs.mapInArrow(_describe(shingle_words), "id long, n long, hi long, lo long"))
 
     met = (
-        index.select("id", "keys").mapInArrow(_gather, "key long, a long, b long")
+        docs.mapInArrow(_keys(shingle_words, Schemes(num, den)), "key long, a long, b long")
         .repartition("key").sortWithinPartitions("key", "a", "b")
         .mapInArrow(_stars, "a long, b long")
     )
     families = components(met)
 
-    classes = index.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
+    classes = about.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
     members = families.join(classes, families["node"] == classes["rep"]).select("rep", F.col("root").alias("family"), "n")
     weight = members.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(
@@ -313,7 +343,7 @@ def near_duplicates(
         )
     )
     sets = (
-        docs.join(members.hint("shuffle_hash"), "id").select("id", "family", "blocks", "text")
+        docs.join(small_side(members), "id").select("id", "family", "blocks", "text")
         .mapInArrow(_sets(shingle_words), "id long, family long, blocks long, elements binary")
     )
     block = F.pmod(F.xxhash64("id"), "blocks")
@@ -329,6 +359,13 @@ def near_duplicates(
     else:
         roots = components(links).select(F.col("node").alias("rep"), "root")
     named = classes.select("hi", "lo", "rep").join(roots, "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    full = index.where("n > 0").select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("id", "n", "component_id")
-    bare = index.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    full = about.where("n > 0").select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("id", "n", "component_id")
+    bare = about.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.union(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose id is the least of their component; null ids go."""
+    found = near_duplicates(df, id_col=id_col, **options)
+    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    return df.where(F.col(id_col).isNotNull()).join(small_side(gone), id_col, "left_anti").select(*df.columns)
