@@ -22,6 +22,8 @@ def brute(docs, items):
             if len(it) < 5 or len(ws) < 5:
                 continue
             b = bag(it)
+            if not b & bag(ws):
+                continue
             for s in range(max(1, len(ws) - len(it) + 1)):
                 a = bag(ws[s : s + len(it)])
                 common = sum((a & b).values())
