@@ -78,7 +78,9 @@ def literals(files: DataFrame, path: str = "path", text: str = "text", keep: tup
     )
     return (
         files.select(path, *keep, F.split(t, "\n", -1).alias("lines"), own.alias("found"))
-        .select(path, *keep, "lines", F.explode("found").alias("m"))
+        # An outer explode: for a plain one a filter would be inferred that finds all matches once more.
+        .select(path, *keep, "lines", F.explode_outer("found").alias("m"))
+        .where("m IS NOT NULL")
         .select(path, *keep, "m.source", collapse(F.col("m.value")).alias("value"), "m.prefix", "m.line", "lines")
     )
 

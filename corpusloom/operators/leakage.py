@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import phrases, stem, words
+from corpusloom.functions.text import stem, words
 
 #: Phrases of a source that a join may broadcast.
 BROADCAST_PHRASES = 1_000_000
@@ -15,23 +15,21 @@ class GateError(RuntimeError):
     """A gate that has to be empty is not."""
 
 
-def source_phrases(sources: DataFrame, text: str = "text", n: int = 14) -> DataFrame:
-    """(phrase) the distinct n-word phrases of the sources, as 64-bit hashes with the phrase."""
-    return sources.select(words(F.col(text)).alias("_w")).select(F.explode(phrases(F.col("_w"), n)).alias("phrase")).distinct()
+def _phrase_hashes(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
+    """(*keep, h, g): two independent hashes, 96 bits, of every n-word phrase. Words are found once a row, and no
+    phrase is ever built as a string."""
+    last = F.size("_w") - (n - 1)
+    pair = lambda i: F.struct(F.xxhash64(F.slice("_w", i, n)).alias("h"), F.hash(F.slice("_w", i, n)).alias("g"))
+    each = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), pair))
+    return df.select(*keep, words(F.col(text)).alias("_w")).select(*keep, F.explode(each).alias("_p")).select(*keep, "_p.h", "_p.g")
 
 
 def copies_source(df: DataFrame, sources: DataFrame, id_col: str, text: str = "text", source_text: str = "text", n: int = 14) -> DataFrame:
-    """(id) of the rows that hold a phrase of a source. Only hashes are exploded and joined, the phrase of a
-    hash is compared as it is."""
-    known = source_phrases(sources, source_text, n).select(F.xxhash64("phrase").alias("h"), "phrase")
-    if known.count() <= BROADCAST_PHRASES:
+    """(id) of the rows that hold an n-word phrase of a source."""
+    known = _phrase_hashes(sources, source_text, n).distinct()
+    if known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
         known = F.broadcast(known)
-    mine = (
-        df.select(F.col(id_col), words(F.col(text)).alias("_w"))  # once a row, not once a phrase
-        .select(id_col, F.explode(phrases(F.col("_w"), n)).alias("phrase"))
-        .withColumn("h", F.xxhash64("phrase"))
-    )
-    return mine.join(known, ["h", "phrase"], "left_semi").select(id_col).distinct()
+    return _phrase_hashes(df, text, n, id_col).join(known, ["h", "g"], "left_semi").select(id_col).distinct()
 
 
 def same_content(df: DataFrame, known: DataFrame, content: str, known_content: str) -> DataFrame:
