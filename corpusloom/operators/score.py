@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
@@ -77,3 +77,11 @@ def by_model(scored: DataFrame, models: list[str], category: str = "category", m
     """Mean overall by category, a column for each model, and the difference of the last to the first."""
     wide = scored.groupBy(category).pivot(model, models).agg(F.avg("overall"))
     return wide.withColumn("delta", F.col(models[-1]) - F.col(models[0]))
+
+
+def new_first(df: DataFrame, category: str, known: list[str]) -> DataFrame:
+    """``df`` with is_new, for categories that are not among the known ones, and place, by which new categories come
+    first and others after them, each by name; places are counted on the distinct categories only."""
+    names = df.select(category).distinct().withColumn("is_new", ~F.col(category).isin(*known))
+    place = F.row_number().over(Window.orderBy(F.desc("is_new"), category))
+    return df.join(F.broadcast(names.withColumn("place", place)), category)

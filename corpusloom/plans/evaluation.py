@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import arena, cost, rows, score, split, tensors
+from corpusloom.plans.extraction import TAG_TEXTS_SQL, tag_texts
 from corpusloom.plans.registry import query, table
 from corpusloom.streaming import votes
 
@@ -256,17 +257,13 @@ def module_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensors.module_counts(names, tower)
 
 
-_FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))".replace("\\\\", "\\")
-
-
-@query(f"""WITH {_PAIRS} SELECT conv_id, turn, current AS before, rewrite AS after FROM pairs WHERE rewrite IS NOT NULL AND length(current) BETWEEN 4 AND 60 AND length(rewrite) <= 70
-AND {_FLAT.format('current')} <> {_FLAT.format('rewrite')} ORDER BY conv_id, turn LIMIT 48""")
+@query(f"""SELECT page_id, v AS before, v || ' now' AS after FROM (SELECT DISTINCT page_id, v FROM {TAG_TEXTS_SQL}) WHERE length(v) BETWEEN 4 AND 60 AND length(v) + 4 <= 70 ORDER BY page_id, v LIMIT 48""")
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).where("rewrite IS NOT NULL")
-    cands = pairs.select("conv_id", "turn", F.col("current").alias("current_copy"))
-    preds = pairs.select("conv_id", "turn", F.col("rewrite").alias("suggested_copy"), F.lit("").alias("reason"), F.lit("").alias("risk"))
-    done = rows.reviewed(cands, preds, ["conv_id", "turn"]).withColumn("valid_json", F.lit(True))
-    return rows.highlights(done, ["conv_id", "turn"]).select("conv_id", "turn", "before", "after")
+    """The first 48 short edits, where every tag text is edited."""
+    cands = tag_texts(spark, sf_dir).distinct().select("page_id", F.col("v").alias("current_copy"))
+    preds = cands.select("page_id", "current_copy", F.concat("current_copy", F.lit(" now")).alias("suggested_copy"), F.lit("").alias("reason"), F.lit("").alias("risk"))
+    done = rows.reviewed(cands, preds, ["page_id", "current_copy"]).withColumn("valid_json", F.lit(True))
+    return rows.highlights(done, ["page_id", "current_copy"]).select("page_id", "before", "after")
 
 
 @query("""SELECT slot, nation FROM (SELECT i AS slot, i % 25 AS k FROM range(0, 60) t(i)) JOIN (SELECT n_name AS nation, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation) USING (k)""")
@@ -278,3 +275,10 @@ def row_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name, CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 4 AS INT) AS page FROM nation")
 def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pages(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").select("n_name", "page")
+
+
+@query("""SELECT source, is_new, CAST(row_number() OVER (ORDER BY is_new DESC, source) AS INT) AS place, n FROM
+(SELECT source, source NOT IN ('src1', 'src10', 'src2') AS is_new, count(*) AS n FROM documents GROUP BY source)""")
+def category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return score.new_first(counts, "source", ["src1", "src10", "src2"])

@@ -20,20 +20,20 @@ _TAGS = "regexp_extract_all(html, '>([A-Za-z][^<>{}\\n]{2,140})<', 1)"
 _LITERALS = r"""regexp_extract_all(html, '(?:aria-label|title|placeholder|label|alt|text|message|description)?\s*[:=]\s*(?:"[A-Za-z](?:\\.|[^"\n{}<>\\]){1,140}"|''[A-Za-z](?:\\.|[^''\n{}<>\\]){1,140}'')')"""
 _CLEAN = "trim(regexp_replace(v, '\\s+', ' ', 'g'))"
 _INTERESTING = "length(v) BETWEEN 3 AND 140 AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '^[A-Z0-9_./:-]+$') AND NOT regexp_matches(v, '^(https?://|/|\\./|\\.\\./)')"
-_FOUND = f"(SELECT page_id, {_CLEAN} AS v FROM (SELECT page_id, unnest({_TAGS}) AS v FROM pages))"
+TAG_TEXTS_SQL = f"(SELECT page_id, {_CLEAN} AS v FROM (SELECT page_id, unnest({_TAGS}) AS v FROM pages))"
 _SHAPE = r"""NOT contains(v, '_') AND CASE WHEN len(string_split(v, ' ')) >= 2
 THEN len(list_filter(string_split(v, ' '), lambda w: regexp_matches(w, '^[a-z0-9:\[\]/.%#-]+$') AND regexp_matches(w, '[-0-9:\[\]/.%#]'))) / len(string_split(v, ' ')) < 0.5
 ELSE regexp_matches(v, '^[A-Z][a-z]{2,}$') END"""
 
 
-def _tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(X.TAG_TEXT), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("v")).select("page_id", T.collapse(F.col("v")).alias("v"))
 
 
-@query(f"SELECT page_id, v, count(*) AS n FROM {_FOUND} WHERE {_INTERESTING} GROUP BY ALL")
+@query(f"SELECT page_id, v, count(*) AS n FROM {TAG_TEXTS_SQL} WHERE {_INTERESTING} GROUP BY ALL")
 def scan_tag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tag_texts(spark, sf_dir).where(X.interesting(F.col("v"))).groupBy("page_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    return tag_texts(spark, sf_dir).where(X.interesting(F.col("v"))).groupBy("page_id", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT page_id, regexp_replace(m, '^[^"'']*["''](.*)["'']$', '\\1') AS v, count(*) AS n FROM (SELECT page_id, unnest({_LITERALS}) AS m FROM pages) GROUP BY ALL""")
@@ -61,9 +61,9 @@ def scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "line", "current_copy", F.sha2("context", 256).alias("context_sha"), "kind")
 
 
-@query(f"SELECT v, count(*) AS n FROM {_FOUND} WHERE {_SHAPE} GROUP BY v")
+@query(f"SELECT v, count(*) AS n FROM {TAG_TEXTS_SQL} WHERE {_SHAPE} GROUP BY v")
 def ui_shape_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tag_texts(spark, sf_dir).where(X.ui_shape(F.col("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return tag_texts(spark, sf_dir).where(X.ui_shape(F.col("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, true AS constant_value, false AS type_annotation, event_id % 5 = 0 AS colour_map, false AS module_path FROM events""")
@@ -80,9 +80,9 @@ def line_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN contains(lower(v), 'error') OR contains(lower(v), 'invalid') OR contains(lower(v), 'failed') THEN 'error'
-WHEN len(string_split(v, ' ')) <= 4 THEN 'button_or_label' ELSE 'body_copy' END AS kind FROM {_FOUND}) GROUP BY kind""")
+WHEN len(string_split(v, ' ')) <= 4 THEN 'button_or_label' ELSE 'body_copy' END AS kind FROM {TAG_TEXTS_SQL}) GROUP BY kind""")
 def kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = _tag_texts(spark, sf_dir).select(X.kind(F.lit(""), F.col("v"), F.lit("a.html")).alias("kind"))
+    kinds = tag_texts(spark, sf_dir).select(X.kind(F.lit(""), F.col("v"), F.lit("a.html")).alias("kind"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,9 +134,9 @@ def context_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a.page_id, a.v AS fragment, bool_or(starts_with(b.w, a.v) AND b.w <> a.v) AS captured
-FROM (SELECT DISTINCT page_id, substr(v, 1, 12) AS v FROM {f} WHERE length(v) > 20) a JOIN (SELECT DISTINCT page_id, v AS w FROM {f}) b USING (page_id) GROUP BY ALL""".replace("{f}", _FOUND))
+FROM (SELECT DISTINCT page_id, substr(v, 1, 12) AS v FROM {f} WHERE length(v) > 20) a JOIN (SELECT DISTINCT page_id, v AS w FROM {f}) b USING (page_id) GROUP BY ALL""".replace("{f}", TAG_TEXTS_SQL))
 def captured_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _tag_texts(spark, sf_dir)
+    texts = tag_texts(spark, sf_dir)
     fragments = texts.where(F.length("v") > 20).select("page_id", F.substring("v", 1, 12).alias("current_copy")).distinct()
     scanned = texts.select("page_id", F.col("v").alias("current_copy")).distinct()
     return X.captured_whole(fragments, scanned, on="page_id").withColumnRenamed("current_copy", "fragment")
