@@ -6,13 +6,17 @@ segments are equal or differ by one element. Sizes are cut into bands; a band's
 whose larger set lies in it, so a set is indexed under its own band and, where it is large enough to meet
 the next band, under that one too.
 
+Linked sets share more keys than their spare segments, so pairs that share fewer, such as texts with a common
+passage, are no candidates. Pairs are only made inside keys of at most ``hottest`` sets. Keys of more sets, such
+as those of passages or of large groups of copies, are left to the sets that cannot do without them, which such a
+key joins in a star.
+
 Per band the cheaper of two layouts is taken: H + 1 + spare segments whose subsets are indexed as they are,
 or half as many, longer segments whose subsets are indexed with all their one-deletion neighbours. Per set,
 segments with too few elements to tell sets apart are skipped as long as the spare segments pay for them;
 a set with more of them pays with one-deletion neighbours of its other segments instead.
 
-Sets that meet under some key form candidate families (connected components over the keys, nothing is
-paired up inside a key), and inside a family every link is verified exactly on the whole sets: members are
+Candidates form families (connected components), and inside a family every link is verified exactly on the whole sets: members are
 visited from pivot to pivot and only compared to members that no link has reached yet. A family over a
 memory bound is cut into blocks, all pairs of which are verified the same way. Equal sets are one member.
 
@@ -43,10 +47,16 @@ from corpusloom.llm.shingles import U, mix, shingle_set, word_hashes
 BAND = 1.5
 #: Weight of keys of short segments, which many sets share by chance, against the number of keys.
 CHANCE = 50
+#: Rows of a key beyond which its pairs are not looked at.
+HOT = 16
+#: Spare segments for frequent keys, as a share of the segments.
+SPARE = 0.08
 #: Rows of ids that a join may broadcast (16 bytes each); beyond, it shuffles.
 BROADCAST_ROWS = 4_000_000
+#: Bands of sizes by which large families are cut; the last one holds all larger sizes.
+BANDS = 48
 #: Elements of a family that one task holds at once (8 bytes each).
-BLOCK_ELEMENTS = 3_000_000
+BLOCK_ELEMENTS = 500_000
 
 
 @dataclass(frozen=True)
@@ -87,7 +97,7 @@ class Schemes:
                 mean = low / (needed + spare)
                 least = (1 if mean < 5 else 2 if mean < 8 else 3) + deletions
                 short = (needed + spare) * sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
-                spare = max(1, math.ceil(short + 2 * short**0.5))
+                spare = max(1, math.ceil(short + 2 * short**0.5 + SPARE * needed))
                 if spare > needed:
                     break
             segments = needed + spare
@@ -109,8 +119,9 @@ class Schemes:
         return tuple(s for s in found if s.most > 0)  # else only equal sets link
 
 
-def keys_of(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
-    """The keys under which a set (sorted, distinct, uint64) is indexed."""
+def indexed(shingles: np.ndarray, schemes: Schemes) -> list[tuple[int, int, np.ndarray]]:
+    """(band, budget, keys) of a set (sorted, distinct, uint64). Of its keys in a band a set can do without
+    ``budget`` ones and still shares one of the others with every set it links to; -1: it needs them all."""
     out = []
     element = mix(shingles ^ U(0x5851F42D4C957F2D))
     for s in schemes.of(len(shingles)):
@@ -124,20 +135,28 @@ def keys_of(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
         salt = mix((by[starts] << U(20)) + U(s.band * 2 + 2))
         rich = sizes >= s.least
         n_rich = int(rich.sum())
-        if not s.deletions and s.segments - n_rich <= s.spare:
-            out.append(mix(sums[rich] + salt[rich]))
+        budget = s.spare - (s.segments - n_rich)
+        if not s.deletions and budget >= 0:
+            out.append((s.band, budget, mix(sums[rich] + salt[rich])))
             continue
         wide = sizes >= s.least - 1
         shift = np.repeat(salt, sizes)
         minus = np.repeat(sums, sizes) - elements + shift
-        out += [mix(sums[wide] + salt[wide]), mix(minus[np.repeat(wide, sizes)])]
+        keys = [mix(sums[wide] + salt[wide]), mix(minus[np.repeat(wide, sizes)])]
         if 2 * n_rich < s.most + 1:
             # Too few segments of enough elements: all the others as well, among sets in the same position.
             flag = U(0xA24BAED4963EE407)
-            out += [mix(sums[~wide] + salt[~wide] + flag), mix(minus[~np.repeat(wide, sizes)] + flag)]
+            keys += [mix(sums[~wide] + salt[~wide] + flag), mix(minus[~np.repeat(wide, sizes)] + flag)]
             empty = np.setdiff1d(np.arange(s.segments, dtype=U), by[starts], assume_unique=True)
-            out.append(mix(mix((empty << U(20)) + U(s.band * 2 + 2)) + flag))
-    return np.unique(np.concatenate(out)) if out else shingles[:0]
+            keys.append(mix(mix((empty << U(20)) + U(s.band * 2 + 2)) + flag))
+        out.append((s.band, -1, np.unique(np.concatenate(keys))))
+    return out
+
+
+def keys_of(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
+    """All keys under which a set is indexed."""
+    found = [k for _, _, k in indexed(shingles, schemes)]
+    return np.unique(np.concatenate(found)) if found else shingles[:0]
 
 
 def _sets_of(batch: pa.RecordBatch, shingle_words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -147,8 +166,9 @@ def _sets_of(batch: pa.RecordBatch, shingle_words: int) -> Iterator[tuple[pa.Rec
         yield part, [shingle_set(words.words(t or b""), shingle_words) for t in part.column(part.num_columns - 1).to_pylist()]
 
 
-def _describe(shingle_words: int):
-    """(id, text) to (id, n, hi, lo): the size and the 128-bit digest of the set."""
+def _describe(shingle_words: int, schemes: Schemes):
+    """(id, text) to (id, n, hi, lo, budget): the size and the 128-bit digest of the set, and how many of its keys
+    it can do without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,62 +176,97 @@ def _describe(shingle_words: int):
                 digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
                 two = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["id", "n", "hi", "lo"])
+                spare = pa.array([min((b for _, b, _ in indexed(s, schemes)), default=0) if len(s) else 0 for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), n, pa.array(two[:, 0]), pa.array(two[:, 1]), spare], names=["id", "n", "hi", "lo", "budget"]
+                )
 
     return run
 
 
 def _keys(shingle_words: int, schemes: Schemes):
-    """(id, text) to (key, a, b): a row (key, id, id) for the first member of a key in this batch, and one edge
-    (spread, id, first) for others, so that a key held by many rows travels once a batch."""
+    """(id, text) to (key, id); of equal sets in a slice the least id is indexed, as they meet by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least: dict[bytes, tuple[int, np.ndarray]] = {}  # of equal sets, which meet by their digest, the least id
             for part, sets in _sets_of(batch, shingle_words):
+                least: dict[bytes, tuple[int, np.ndarray]] = {}
                 for i, s in zip(part.column(0).to_pylist(), sets, strict=True):
                     if len(s):
                         mark = xxhash.xxh3_128_digest(s.tobytes())
-                        if mark not in least:
-                            least[mark] = i, keys_of(s, schemes)
-                        elif i < least[mark][0]:
-                            least[mark] = i, least[mark][1]
-            ids, keys = [i for i, _ in least.values()], [k for _, k in least.values()]
-            if not ids or not (flat := np.concatenate(keys).view(np.int64)).size:
+                        if mark not in least or i < least[mark][0]:
+                            least[mark] = i, s
+                keys, ids = [], []
+                for i, s in least.values():
+                    for _, _, k in indexed(s, schemes):
+                        keys.append(k)
+                        ids.append(np.full(len(k), i, dtype=np.int64))
+                if keys:
+                    columns = np.concatenate(keys).view(np.int64), np.concatenate(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id"])
+
+    return run
+
+
+def _runs(hottest: int):
+    """Rows (key, id) sorted by both to (a, b, n): how many keys of at most ``hottest`` rows a pair shares, b before
+    a; how many keys of more rows an id has, (id, id, n); and those keys, (key, key, -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = [np.zeros(0, dtype=np.int64)] * 2
+        hot_key = None
+        for batch in _then_none(batches):
+            now = [np.concatenate([k, c.to_numpy()]) for k, c in zip(waiting, batch.columns)] if batch is not None else waiting
+            key, ids = now
+            if not len(key):
                 continue
-            owner = np.repeat(np.array(ids, dtype=np.int64), [len(k) for k in keys])
-            order = np.lexsort((owner, flat))
-            flat, owner = flat[order], owner[order]
-            first = np.concatenate([[True], flat[1:] != flat[:-1]])
-            leader = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            other = ~first & (owner != leader)
-            edges = np.unique(np.stack([owner[other], leader[other]], axis=1), axis=0)
-            a, b = np.concatenate([owner[first], edges[:, 0]]), np.concatenate([owner[first], edges[:, 1]])
-            key = np.concatenate([flat[first], mix(edges[:, 0].astype(U) + U(1)).view(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, a, b)], names=["key", "a", "b"])
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            hot = sizes > hottest
+            if hot_key is not None and key[0] == hot_key:
+                hot[0] = True
+            done = np.ones(len(sizes), dtype=bool)
+            if batch is not None and not hot[-1]:
+                done[-1] = False  # may go on in the next batch
+            hot_key = key[-1] if batch is not None and hot[-1] else None
+            row_hot, row_done = np.repeat(hot, sizes), np.repeat(done, sizes)
+            waiting = [c[~row_done] for c in now]
+            cold = row_done & ~row_hot
+            pairs = [np.zeros((0, 2), dtype=np.int64)]
+            for d in range(1, hottest):
+                at = np.flatnonzero((key[d:] == key[:-d]) & cold[d:] & (ids[d:] != ids[:-d]))
+                pairs.append(np.stack([ids[d:][at], ids[:-d][at]], axis=1))
+            edges, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            known, counts = np.unique(ids[row_hot], return_counts=True)
+            keys = np.unique(key[row_hot])
+            columns = (
+                np.concatenate([edges[:, 0], known, keys]), np.concatenate([edges[:, 1], known, keys]),
+                np.concatenate([shared, counts, np.full(len(keys), -1)]),
+            )
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
     return run
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, a): edges from each member of a key to the key's first member, and edges that came."""
-    last_key, last_leader = None, None
+    """Rows (key, id) sorted by both to edges (a, b) from each id of a key to its first id."""
+    last_key, last_leader = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, a, b = (c.to_numpy() for c in batch.columns)
-        given = a != b
-        out = [np.stack([a[given], b[given]], axis=1)]
-        key, ids = key[~given], a[~given]
-        if len(key):
-            first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            at = np.cumsum(first) - 1
-            leaders = np.append(ids[first], last_leader if last_leader is not None else 0)
-            leader = leaders[at]  # -1, of rows that go on from the last batch, takes the last entry
-            last_key, last_leader = key[-1], leader[-1]
-            other = ids != leader
-            out.append(np.stack([ids[other], leader[other]], axis=1))
-        edges = np.unique(np.concatenate(out), axis=0)
+        key, ids = (c.to_numpy() for c in batch.columns)
+        first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        leaders = np.append(ids[first], last_leader)
+        leader = leaders[np.cumsum(first) - 1]  # -1, of rows that go on from the last batch, takes the last entry
+        last_key, last_leader = key[-1], leader[-1]
+        other = ids != leader
+        edges = np.unique(np.stack([ids[other], leader[other]], axis=1), axis=0)
         if len(edges):
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
@@ -242,6 +297,7 @@ def linked_groups(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
     rare = np.arange(len(order)) - spans[owner] < (sizes - -(-sizes * num // den) + 1)[owner]
     rare &= held[element[order]] > 1
     rare_element, rare_owner = element[order][rare], owner[rare]
+    del order, rare, rank, owner
     mine = np.concatenate([[0], np.cumsum(np.bincount(rare_owner, minlength=len(sets)))])
     by = np.argsort(rare_element, kind="stable")
     holders = rare_owner[by]
@@ -322,29 +378,51 @@ def near_duplicates(
     num: int = 9,
     den: int = 10,
     block_elements: int = BLOCK_ELEMENTS,
+    hottest: int = HOT,
 ) -> DataFrame:
     """(id, n_shingles, component_id): component_id is the least id that links of similarity num/den or more reach."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    about = cut(docs.mapInArrow(_describe(shingle_words), "id long, n long, hi long, lo long"))
-
-    met = (
-        docs.mapInArrow(_keys(shingle_words, Schemes(num, den)), "key long, a long, b long")
-        .repartition("key").sortWithinPartitions("key", "a", "b")
-        .mapInArrow(_stars, "a long, b long")
-    )
-    families = components(met)
-
+    schemes = Schemes(num, den)
+    about = cut(docs.mapInArrow(_describe(shingle_words, schemes), "id long, n long, hi long, lo long, budget long"))
     classes = about.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
+    copies = cut(about.where("n > 0").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).where("id <> rep").select("id").distinct())
+    distinct = docs.join(small_side(copies), "id", "left_anti")
+    budgets = about.where("n > 0").groupBy("id").agg(F.min("budget").alias("budget"))
+
+    keys = lambda of: of.select("id", "text").mapInArrow(_keys(shingle_words, schemes), "key long, id long")
+    by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
+    level = cut(by_key(keys(distinct)).mapInArrow(_runs(hottest), "a long, b long, n long"))
+    hot = level.where("a = b AND n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("hot")).join(budgets, "id")
+    # Linked sets share more keys than either's budget, and at most the lesser number of hot keys are hot.
+    pairs = level.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    side = lambda x: budgets.join(hot.drop("budget"), "id", "left").select(
+        F.col("id").alias(x), F.col("budget").alias(f"budget_{x}"), F.coalesce("hot", F.lit(0)).alias(f"hot_{x}")
+    )
+    total = F.greatest("budget_a", "budget_b") + 1
+    cold = total - F.least("hot_a", "hot_b")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("shared") >= F.when(cold >= 1, cold).otherwise(total)).select("a", "b")
+    # The sets that cannot do without hot keys meet under those.
+    bound = docs.join(small_side(cut(hot.where("hot > budget").select("id"))), "id", "left_semi")
+    shared = cut(level.where("n < 0").select(F.col("a").alias("key")).distinct())
+    met = close.union(by_key(keys(bound).join(small_side(shared), "key", "left_semi")).mapInArrow(_stars, "a long, b long"))
+    families = components(met)
     members = families.join(classes, families["node"] == classes["rep"]).select("rep", F.col("root").alias("family"), "n")
     weight = members.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Families over the bound are cut by the bands of sizes, in which all links lie, and then into blocks.
+    bounds = f"array({', '.join(f'{schemes.bound(k)}L' for k in range(BANDS + 2))})"
+    own = f"least({BANDS}, size(filter({bounds}, x -> x <= n)) - 1)"
+    bands = f"filter(array({own}, {own} + 1), k -> k = {own} OR n * {den} >= {bounds}[k] * {num})"
+    members = members.join(weight, "family").select(
+        F.col("rep").alias("id"), "family", "n",
+        F.explode(F.expr(f"CASE WHEN weight <= {block_elements} THEN array(-1) ELSE {bands} END")).alias("band"),
+    )
+    weight = members.groupBy("family", "band").agg(F.ceil(F.sum("n") / block_elements).cast("long").alias("blocks"), F.count(F.lit(1)).alias("size"))
     members = cut(
-        members.join(weight, "family").select(
-            F.col("rep").alias("id"), "family", F.ceil(F.col("weight") / block_elements).cast("long").alias("blocks")
-        )
+        members.join(weight.where("size > 1"), ["family", "band"]).select("id", F.concat_ws("/", "family", "band").alias("family"), "blocks", "band")
     )
     sets = (
         docs.join(small_side(members), "id").select("id", "family", "blocks", "text")
-        .mapInArrow(_sets(shingle_words), "id long, family long, blocks long, elements binary")
+        .mapInArrow(_sets(shingle_words), "id long, family string, blocks long, elements binary")
     )
     block = F.pmod(F.xxhash64("id"), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -354,7 +432,7 @@ def near_duplicates(
         .repartition("group").sortWithinPartitions("group", "id")
     )
     links = cut(groups.mapInArrow(_verify(num, den), "a long, b long"))
-    if members.where("blocks > 1").isEmpty():
+    if members.where("blocks > 1 OR band >= 0").isEmpty():
         roots = links.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     else:
         roots = components(links).select(F.col("node").alias("rep"), "root")

@@ -22,7 +22,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.common import cut
+from corpusloom.llm.memory import held
 
 #: Words whose ids a worker remembers; the memory is emptied when full.
 REMEMBERED_WORDS = 1_000_000
@@ -66,10 +66,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One memory of words for all tasks that a Python worker runs."""
-    return WordIds(path)
+    return held(f"word ids {path}", lambda: WordIds(path))
 
 
 def _tokenise(path: str, end_id: int, max_tokens: int, keep_ids: bool):

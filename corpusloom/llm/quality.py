@@ -23,7 +23,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.llm.arrow import slices
+from corpusloom.llm.memory import held
 from corpusloom.llm.shingles import U, mix
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 16
 BUCKETS = 1 << BITS
 REPEAT = 0
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 200_000
 
 
 class TokenHashes(dict):
@@ -50,10 +50,9 @@ class TokenHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def token_hashes() -> TokenHashes:
     """One memory of tokens for all tasks that a Python worker runs."""
-    return TokenHashes()
+    return held("token hashes", TokenHashes)
 
 
 def features(text: str | None) -> np.ndarray:

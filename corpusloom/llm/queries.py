@@ -26,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op4_pii_anchors": q_pii.ORACLE,
     "op5_tool_call_linking": q_tool_calls.ORACLE,
     "op7_benchmark_simhash": q_decontaminate.ORACLE,
+    "op8_ngram_jaccard_join": q_jaccard_join.ORACLE,
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
-REMEMBERED_WORDS = 600_000
+from corpusloom.llm.memory import held
+
+REMEMBERED_WORDS = 200_000
 U = np.uint64
 
 
@@ -33,10 +33,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), dtype=U, count=len(found))
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
     """One memory of words for all tasks that a Python worker runs."""
-    return WordHashes()
+    return held("word hashes", WordHashes)
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:

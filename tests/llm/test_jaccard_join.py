@@ -65,11 +65,11 @@ def corpus(seed, n=300):
     return rows
 
 
-@pytest.mark.parametrize("blocks", [J.BLOCK_ELEMENTS, 300])
-def test_equals_brute_force(spark, blocks):
-    rows = corpus(blocks)
+@pytest.mark.parametrize("blocks,hot", [(J.BLOCK_ELEMENTS, J.HOT), (300, 2), (J.BLOCK_ELEMENTS, 3)])
+def test_equals_brute_force(spark, blocks, hot):
+    rows = corpus(blocks + hot)
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_shingles int").repartition(7)
-    got = J.near_duplicates(df, block_elements=blocks).collect()
+    got = J.near_duplicates(df, block_elements=blocks, hottest=hot).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
