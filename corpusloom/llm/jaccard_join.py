@@ -56,7 +56,7 @@ BROADCAST_ROWS = 4_000_000
 #: Bands of sizes by which large families are cut; the last one holds all larger sizes.
 BANDS = 48
 #: Elements of a family that one task holds at once (8 bytes each).
-BLOCK_ELEMENTS = 500_000
+BLOCK_ELEMENTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -109,10 +109,15 @@ class Schemes:
         return best
 
     @lru_cache(maxsize=4096)
-    def of(self, size: int) -> tuple[Scheme, ...]:
+    def band(self, size: int) -> int:
         band = 0
         while self.bound(band + 1) <= size:
             band += 1
+        return band
+
+    @lru_cache(maxsize=4096)
+    def of(self, size: int) -> tuple[Scheme, ...]:
+        band = self.band(size)
         found = [self.scheme(band)]
         if size * self.den >= self.bound(band + 1) * self.num:
             found.append(self.scheme(band + 1))
@@ -185,7 +190,8 @@ def _describe(shingle_words: int, schemes: Schemes):
 
 
 def _keys(shingle_words: int, schemes: Schemes):
-    """(id, text) to (key, id); of equal sets in a slice the least id is indexed, as they meet by digest."""
+    """(id, text) to (key, id, low); of equal sets in a slice the least id is indexed, as they meet by digest. low: the
+    key is of the next band, 0 for a set's own one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,42 +202,50 @@ def _keys(shingle_words: int, schemes: Schemes):
                         mark = xxhash.xxh3_128_digest(s.tobytes())
                         if mark not in least or i < least[mark][0]:
                             least[mark] = i, s
-                keys, ids = [], []
+                keys, ids, low = [], [], []
                 for i, s in least.values():
-                    for _, _, k in indexed(s, schemes):
+                    own = schemes.band(len(s))
+                    for band, _, k in indexed(s, schemes):
                         keys.append(k)
                         ids.append(np.full(len(k), i, dtype=np.int64))
+                        low.append(np.full(len(k), band != own, dtype=np.int64))
                 if keys:
-                    columns = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id"])
+                    columns = np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(low)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id", "low"])
 
     return run
 
 
 def _runs(hottest: int):
-    """Rows (key, id) sorted by both to (a, b, n): how many keys of at most ``hottest`` rows a pair shares, b before
-    a; how many keys of more rows an id has, (id, id, n); and those keys, (key, key, -1)."""
+    """Rows (key, id, low) sorted by key and id to (a, b, n): how many keys of at most ``hottest`` rows a pair shares, b before
+    a; how many keys of more rows an id has, (id, id, n); and those keys, (key, key, -1). Keys that only sets of the band
+    below have are left out: such sets meet in their own band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = [np.zeros(0, dtype=np.int64)] * 2
+        waiting = [np.zeros(0, dtype=np.int64)] * 3
         hot_key = None
         for batch in _then_none(batches):
             now = [np.concatenate([k, c.to_numpy()]) for k, c in zip(waiting, batch.columns)] if batch is not None else waiting
-            key, ids = now
+            key, ids, low = now
             if not len(key):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
             hot = sizes > hottest
-            if hot_key is not None and key[0] == hot_key:
-                hot[0] = True
+            hot_before = hot_key is not None and key[0] == hot_key
+            hot[0] |= hot_before
             done = np.ones(len(sizes), dtype=bool)
             if batch is not None and not hot[-1]:
                 done[-1] = False  # may go on in the next batch
             hot_key = key[-1] if batch is not None and hot[-1] else None
-            row_hot, row_done = np.repeat(hot, sizes), np.repeat(done, sizes)
+            met = np.minimum.reduceat(low, starts) == 0
+            if hot_before:
+                met[0] = True  # seen in part only: taken for met
+            if hot[-1]:
+                met[-1] = True
+            row_hot, row_done = np.repeat(hot & met, sizes), np.repeat(done, sizes)
             waiting = [c[~row_done] for c in now]
-            cold = row_done & ~row_hot
+            cold = row_done & np.repeat(~hot & met, sizes)
             pairs = [np.zeros((0, 2), dtype=np.int64)]
             for d in range(1, hottest):
                 at = np.flatnonzero((key[d:] == key[:-d]) & cold[d:] & (ids[d:] != ids[:-d]))
@@ -255,12 +269,12 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) sorted by both to edges (a, b) from each id of a key to its first id."""
+    """Rows (key, id, low) sorted by key and id to edges (a, b) from each id of a key to its first id."""
     last_key, last_leader = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, ids = (c.to_numpy() for c in batch.columns)
+        key, ids, _ = (c.to_numpy() for c in batch.columns)
         first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
         leaders = np.append(ids[first], last_leader)
         leader = leaders[np.cumsum(first) - 1]  # -1, of rows that go on from the last batch, takes the last entry
@@ -389,7 +403,7 @@ def near_duplicates(
     distinct = docs.join(small_side(copies), "id", "left_anti")
     budgets = about.where("n > 0").groupBy("id").agg(F.min("budget").alias("budget"))
 
-    keys = lambda of: of.select("id", "text").mapInArrow(_keys(shingle_words, schemes), "key long, id long")
+    keys = lambda of: of.select("id", "text").mapInArrow(_keys(shingle_words, schemes), "key long, id long, low long")
     by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
     level = cut(by_key(keys(distinct)).mapInArrow(_runs(hottest), "a long, b long, n long"))
     hot = level.where("a = b AND n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("hot")).join(budgets, "id")
