@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -136,7 +138,8 @@ def scan_versions(
     Blobs whose rule versions are all in ``ledger`` are not scanned again and add no findings."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     versions = df.select(F.col(id_col), blob_id(text).alias("blob"), text.alias("text"))
-    found = scan_blobs(unseen_blobs(versions, ledger, rules), rules).where(F.size("spans") > 0).select("blob", "spans")
+    # The few findings are written once; a table of its own, they can be dealt anew beside a blob that many paths hold.
+    found = cut(scan_blobs(unseen_blobs(versions, ledger, rules), rules).where(F.size("spans") > 0).select("blob", "spans"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     return (
         versions.select(id_col, "blob")
