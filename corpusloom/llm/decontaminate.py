@@ -4,8 +4,9 @@ Texts are words (lower-cased runs of letters and digits) and five-word shingles.
 by an item if some window of it, as long as the item, reaches a similarity of ``threshold``: the weighted
 Jaccard similarity of the two bags of shingles, a shingle weighing as often as it occurs.
 
-1. Where to look. A window that reaches the threshold t shares at least 2t / (1 + t) of the item's n
-   shingles, so a document that holds fewer of them has no such window. Its first shared shingle is at most
+1. Where to look. A window that reaches the threshold t shares at least t of the item's n shingles (a window
+   as long as the item 2t / (1 + t) of them, a shorter document as its own window fewer), so a document that
+   holds fewer of them has no such window. Its first shared shingle is at most
    n (1 - t) / (1 + t) shingles from either start, so every such window starts within that distance of the
    diagonal of some shared shingle. This leaves the item-sized windows to look at without losing one.
 2. SimHash of these windows and of the items, 64 bits over their bags of shingles.
@@ -122,13 +123,13 @@ def contaminated(
         .select("id", F.posexplode(shingles("ws")).alias("p", "shingle"))  # nothing else may be carried along by every row
         .join(small(lookup), "shingle")
     )
-    share, drift = 2 * t / (1 + t), (1 - t) / (1 + t)
+    drift = (1 - t) / (1 + t)
     n = f"(m - {WIDTH - 1})"
     diagonals = found.groupBy("id", "item_id", "m", (F.col("p") - F.col("q")).alias("d")).agg(F.collect_set("q").alias("qs"))
     pairs = (
         diagonals.groupBy("id", "item_id", "m")
         .agg(F.collect_list("d").alias("ds"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("shared"))
-        .where(f"shared * {share.denominator} >= {n} * {share.numerator}")
+        .where(f"shared * {t.denominator} >= {n} * {t.numerator}")
     )
     away = f"({n} * {drift.numerator} div {drift.denominator})"
     windows = (

@@ -59,3 +59,24 @@ def test_equals_a_scan_of_every_window(spark):
     kept = D.drop_contaminated(d, b)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {w[0] for w in want}
     assert D.contaminated(d.limit(0), b).count() == 0 and D.contaminated(d, b.limit(0)).count() == 0
+
+
+def rows_of(spark, docs, items, **options):
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start) for r in D.contaminated(d, b, **options).collect())
+    return got, brute([(i, " ".join(w)) for i, w in docs], [(j, " ".join(w)) for j, w in items])
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(2)
+    items = [(j, [f"w{j}x{rng.randrange(5000)}" for _ in range(n)]) for j, n in enumerate((24, 54, 104, 204))]
+    docs = []
+    for _, item in items:
+        n = len(item) - 4
+        for least in range(n * 7 // 10, n + 1, max(1, n // 20)):
+            docs += [(len(docs), item[: least + 4]), (len(docs) + 1, item[n - least :])]
+    docs.append((900, items[2][1][:90]))
+    got, want = rows_of(spark, docs, items)
+    assert got == want and (900, 2, 0.86, 0) in got and len(want) > 40
+    assert any(len(docs[i][1]) < len(items[j][1]) and x < 8 / 9 for i, j, x, _ in want if i < 900)
