@@ -4,11 +4,10 @@ Texts are words (lower-cased runs of letters and digits) and five-word shingles.
 by an item if some window of it, as long as the item, reaches a similarity of ``threshold``: the weighted
 Jaccard similarity of the two bags of shingles, a shingle weighing as often as it occurs.
 
-1. Where to look. A window that reaches the threshold t shares at least t of the item's n shingles (a window
-   as long as the item 2t / (1 + t) of them, a shorter document as its own window fewer), so a document that
-   holds fewer of them has no such window. Its first shared shingle is at most
-   n (1 - t) / (1 + t) shingles from either start, so every such window starts within that distance of the
-   diagonal of some shared shingle. This leaves the item-sized windows to look at without losing one.
+1. Where to look. A window as long as the item that reaches the threshold t holds k = 2t / (1 + t) of the item's
+   n shingles at least, in any order, so it starts within n shingles before the first of some k neighbours among
+   the document's shared shingles, no later than at that first one, and ends after the last of them. A document
+   shorter than the item is its own window and holds t n of them at least. All such windows are looked at.
 2. SimHash of these windows and of the items, 64 bits over their bags of shingles.
 3. Multi-index blocks: fingerprints within ``radius`` bits differ by at most radius // blocks bits in one of
    the blocks, so an index of each item's blocks with all their neighbours finds every pair of fingerprints
@@ -116,33 +115,38 @@ def contaminated(
     n_item = known.select(F.sum(F.size("bag"))).first()[0] or 0
     small = (lambda df: F.broadcast(df)) if n_item <= broadcast_rows else (lambda df: df)
 
-    # 1. Shared shingles, and the windows around their diagonals.
-    lookup = known.select("item_id", "m", F.posexplode("bag").alias("q", "shingle"))
+    # 1. Shared shingles, and the windows that hold enough of them.
+    lookup = known.select("item_id", "m", F.explode("bag").alias("shingle")).groupBy("item_id", "m", "shingle").agg(F.count(F.lit(1)).alias("times"))
     found = (
         docs.select("id", words("text").alias("ws"))
         .select("id", F.posexplode(shingles("ws")).alias("p", "shingle"))  # nothing else may be carried along by every row
         .join(small(lookup), "shingle")
     )
-    drift = (1 - t) / (1 + t)
+    share = 2 * t / (1 + t)
     n = f"(m - {WIDTH - 1})"
-    diagonals = found.groupBy("id", "item_id", "m", (F.col("p") - F.col("q")).alias("d")).agg(F.collect_set("q").alias("qs"))
-    pairs = (
-        diagonals.groupBy("id", "item_id", "m")
-        .agg(F.collect_list("d").alias("ds"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("shared"))
+    needed = f"cast(({n} * {share.numerator} + {share.denominator - 1}) div {share.denominator} AS int)"
+    pairs = cut(  # else each use of it makes the shingles again
+        found.groupBy("id", "item_id", "m")
+        .agg(F.array_sort(F.collect_set("p")).alias("ps"), F.collect_set(F.struct("shingle", "times")).alias("kinds"))
+        .select("id", "m", "ps", F.expr("aggregate(kinds, 0L, (a, x) -> a + x.times)").alias("shared"), F.expr(needed).alias("k"))
         .where(f"shared * {t.denominator} >= {n} * {t.numerator}")
     )
-    away = f"({n} * {drift.numerator} div {drift.denominator})"
-    windows = (
-        pairs.select("id", "m", F.explode("ds").alias("d"))
-        .select("id", "m", F.explode(F.expr(f"sequence(d - {away}, d + {away})")).alias("s"))
-        .distinct()
+    # Each k neighbours from the i-th on: the starts of windows around them that those from the one before have not.
+    low = f"greatest(0, element_at(ps, i + k - 1) - {n} + 1, if(i > 1, element_at(ps, greatest(i - 1, 1)) + 1, 0))"
+    long = (
+        pairs.where("shared >= k AND size(ps) >= k")
+        .select("id", "m", "ps", "k", F.explode(F.expr("sequence(1, size(ps) - k + 1)")).alias("i"))
+        .where(f"element_at(ps, i + k - 1) - element_at(ps, i) < {n}")
+        .select("id", "m", F.explode(F.expr(f"sequence({low}, element_at(ps, i))")).alias("s"), F.lit(False).alias("whole"))
     )
+    windows = long.union(pairs.select("id", "m", F.lit(0).alias("s"), F.lit(True).alias("whole"))).distinct()
 
     # 2. Fingerprints of the windows.
     printed = cut(  # also keeps conditions on fingerprints from being pushed, and computed, below them
         docs.join(windows.hint("shuffle_hash"), "id")
-        .select("id", "m", "s", words("text").alias("all"))
-        .select("id", "m", "all", F.expr("cast(greatest(0, least(s, size(all) - m)) AS int)").alias("start"))
+        .select("id", "m", "s", "whole", words("text").alias("all"))
+        .where("CASE WHEN whole THEN size(all) < m ELSE s <= size(all) - m END")
+        .select("id", "m", "all", F.col("s").cast("int").alias("start"))
         .select("id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("ws"))
         .select("id", "m", "start", shingles("ws").alias("bag"))
         .withColumn("fingerprint", simhash("bag"))

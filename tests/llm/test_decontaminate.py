@@ -80,3 +80,20 @@ def test_documents_shorter_than_the_item(spark):
     got, want = rows_of(spark, docs, items)
     assert got == want and (900, 2, 0.86, 0) in got and len(want) > 40
     assert any(len(docs[i][1]) < len(items[j][1]) and x < 8 / 9 for i, j, x, _ in want if i < 900)
+
+
+def test_items_with_moved_parts(spark):
+    rng = random.Random(5)
+    text = lambda n, of: [f"{of}{rng.randrange(5000)}" for _ in range(n)]
+    items = [(j, text(n, f"w{j}x")) for j, n in enumerate((54, 104, 204))] + [(7, ["a", "b", "c"] * 20)]
+    docs = []
+    for _, item in items:
+        for parts in (2, 2, 3, 3):
+            at = [0, *sorted(rng.sample(range(1, len(item)), parts - 1)), len(item)]
+            moved = [item[a:b] for a, b in zip(at, at[1:])]
+            rng.shuffle(moved)
+            docs.append((len(docs), text(rng.randint(0, 300), "z") + sum(moved, []) + text(rng.randint(0, 300), "z")))
+    docs += [(800, text(90, "z") + items[1][1][52:] + items[1][1][:52] + text(90, "z")), (801, text(150, "z") + ["a", "b", "c"] * 60)]
+    docs += [(802, (items[0][1][27:] + items[0][1][:27]) * 3), (803, items[1][1][52:] + items[1][1][:52])]
+    got, want = rows_of(spark, docs, items)
+    assert got == want and (800, 1, round(96 / 104, 9), 90) in got and len(want) > 14
