@@ -20,7 +20,8 @@ Candidates form families (connected components), and inside a family every link
 visited from pivot to pivot and only compared to members that no link has reached yet. A family over a
 memory bound is cut into blocks, all pairs of which are verified the same way. Equal sets are one member.
 
-Defined results: null and empty texts have no shingles, belong to themselves and link with nothing; repeated
+Defined results: null and empty texts have no shingles, belong to themselves and link with nothing; rows without
+an id keep their number of shingles, link with nothing and have no component (null); repeated
 rows and ties meet in one component; an empty table gives an empty result; only the id and text columns are
 read, so other columns cannot clash; texts of any length are read whole.
 """
@@ -384,6 +385,8 @@ def near_duplicates(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     schemes = Schemes(num, den)
     about = cut(docs.mapInArrow(_describe(shingle_words, schemes), "id long, n long, hi long, lo long, budget long"))
+    unnamed = about.where("id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    docs, about = docs.where("id IS NOT NULL"), about.where("id IS NOT NULL")
     classes = about.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
     copies = cut(about.where("n > 0").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).where("id <> rep").select("id").distinct())
     distinct = docs.join(small_side(copies), "id", "left_anti")
@@ -439,11 +442,12 @@ def near_duplicates(
     named = classes.select("hi", "lo", "rep").join(roots, "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     full = about.where("n > 0").select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("id", "n", "component_id")
     bare = about.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return full.union(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return full.union(bare).union(unnamed).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df``, with all their columns, whose id is the least of their component; null ids go."""
+    df = df.where(F.col(id_col).isNotNull())
     found = near_duplicates(df, id_col=id_col, **options)
     gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    return df.where(F.col(id_col).isNotNull()).join(small_side(gone), id_col, "left_anti").select(*df.columns)
+    return df.join(small_side(gone), id_col, "left_anti").select(*df.columns)

@@ -77,3 +77,12 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in J.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1)]
     assert J.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    long, other = (" ".join(f"{of}{k}" for k in range(60)) for of in "vw")
+    rows = [(None, long), (None, long), (None, other), (None, None), (4, long), (5, long + " x"), (6, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, at int").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 58, None)] * 3 + [(None, 0, None), (4, 58, 4), (5, 59, 4), (6, 0, 6)], key=repr)
+    assert sorted(r["at"] for r in J.keep_first(df).collect()) == [4, 6]

@@ -59,3 +59,13 @@ def test_odd_rows(spark, tmp_path):
             table = spark.read.parquet(out)
             assert name == "best_fit_packing" or table.columns == columns
         assert n == 0 or {50, 51, 52} <= {r.doc_id for r in table.collect()}
+
+
+def test_long_texts_without_an_id(spark, tmp_path):
+    rng = random.Random(1)
+    text = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(60))
+    table = spark.createDataFrame([(i if i < 20 else None, text(), "en", "s", 9) for i in range(24)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        stage(spark, table, DATA).write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+    assert {r.doc_id for r in table.collect()} == set(range(20))
