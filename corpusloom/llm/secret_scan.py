@@ -2,8 +2,9 @@
 
 Every version of every file is content-addressed by the SHA-256 of its text. A ledger holds the
 (blob, rule, rule version) triples that were scanned before; only unseen pairs of blob and rule
-version are scanned, once per distinct blob, and the findings are joined back to every path that
-holds the blob.
+version are scanned, once per distinct blob. Beside the ledger stands a table of findings by the same key;
+old and new findings are joined back to every path that holds the blob, and those of rule versions that
+are no longer in use are left out.
 
 Offsets are not available from Spark's regular-expression functions, so they are rebuilt: ``split``
 gives the text between matches and ``regexp_extract_all`` the matches themselves, and their lengths
@@ -54,6 +55,8 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 LEDGER_SCHEMA = "blob string, kind string, version int"
+FINDINGS_SCHEMA = "blob string, kind string, version int, start bigint, end bigint"
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 def blob_id(text: Column) -> Column:
@@ -126,21 +129,43 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
     )
 
 
+def finding_rows(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What to append to the findings after a scan by ``rules``: (blob, kind, version, start, end)."""
+    version = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)]), F.col("s.kind"))
+    return scanned.select("blob", F.explode("spans").alias("s")).select("blob", "s.kind", version.alias("version"), "s.start", "s.end")
+
+
+def _known(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans): the findings of the versions of ``rules``."""
+    rank = F.coalesce(*[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(k)) for k, r in enumerate(rules)])
+    return (
+        findings.select("blob", "start", rank.alias("rank"), "end", "kind")
+        .where("rank IS NOT NULL")
+        .groupBy("blob")
+        .agg(F.collect_set(F.struct("start", "rank", "end", "kind")).cast(SPANS).alias("spans"))
+    )
+
+
 def scan_versions(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     ledger: DataFrame | None = None,
     rules: tuple[Rule, ...] = RULES,
+    findings: DataFrame | None = None,
 ) -> DataFrame:
-    """(id_col, blob, spans): the new findings of every path, an empty array where there are none.
+    """(id_col, blob, spans): the findings of every path, an empty array where there are none.
 
-    Blobs whose rule versions are all in ``ledger`` are not scanned again and add no findings."""
+    Blobs whose rule versions are all in ``ledger`` are not scanned again; what was found in them then is taken
+    from ``findings``. A ledger without its findings gives the new ones only."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     versions = df.select(F.col(id_col), blob_id(text).alias("blob"), text.alias("text"))
     # The few findings are written once; a table of its own, they can be dealt anew beside a blob that many paths hold.
     found = cut(scan_blobs(unseen_blobs(versions, ledger, rules), rules).where(F.size("spans") > 0).select("blob", "spans"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+    if findings is not None:
+        both = found.union(_known(findings, rules)).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        found = cut(both.join(versions.select("blob").distinct(), "blob", "left_semi").select("blob", F.array_sort(F.array_distinct("spans")).alias("spans")))
+    none = F.array().cast(SPANS)
     return (
         versions.select(id_col, "blob")
         .join(found, "blob", "left")

@@ -39,3 +39,18 @@ def test_ledger_scans_only_what_is_new(spark):
     assert found == {"a/1": [], "b/1": [], "c/1": ["hex"]}
     more = S.scan_versions(spark.createDataFrame([("d", "-----BEGIN RSA PRIVATE KEY----- ghp_" + "Zq" * 20)], "path string, text string"), "path").first()
     assert [s.kind for s in more.spans] == ["pem", "github"]
+
+
+def test_findings_reach_paths_of_later_increments(spark):
+    key, access = "token=abcdefgh", "AKIA" + "ABCDEFGH1234"
+    first = spark.createDataFrame([("a/1", key), ("b/1", access + " " + "f" * 32), ("c/1", "plain")], "path string, text string")
+    scanned = S.scan_blobs(S.unseen_blobs(first.selectExpr("sha2(text, 256) AS blob", "text"), None))
+    ledger, findings = S.ledger_rows(scanned), S.finding_rows(scanned)
+    assert findings.schema.simpleString() == spark.createDataFrame([], S.FINDINGS_SCHEMA).schema.simpleString()
+    second = first.unionByName(spark.createDataFrame([("a/2", key), ("b/2", access + " " + "f" * 32), ("d/2", key + "\n" + key)], "path string, text string"))
+    newer = tuple(S.Rule(r.kind, r.version + (r.kind == "hex"), "[0-9a-f]{40,}" if r.kind == "hex" else r.pattern, r.group, r.min_chars, r.hint) for r in S.RULES)
+    spans = lambda df: {r.path: [tuple(s) for s in r.spans] for r in df.collect()}
+    for rules in (S.RULES, newer):
+        got = spans(S.scan_versions(second, "path", ledger=ledger, rules=rules, findings=findings.union(findings)))
+        assert got == spans(S.scan_versions(second, "path", rules=rules))
+        assert got["a/2"] == got["a/1"] == [(0, 0, 14, "assign")] and len(got["b/2"]) == (2 if rules is S.RULES else 1)
