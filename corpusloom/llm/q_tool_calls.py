@@ -1,7 +1,8 @@
 """Query and SQL of tool-call linking.
 
 The conversations are linked as they are where they hold tool envelopes. Their plain turns are read as calls
-of one tool: a user turn calls ``reply`` with its prompt, the assistant turn after it is the result.
+of one tool: a user turn calls ``reply`` with its prompt, the assistant turn after it is the result. Plain are
+all user turns and all assistant turns without a tool call, whatever their text starts with.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
-from corpusloom.llm.tool_calls import events, link, quoted
+from corpusloom.llm.tool_calls import events, holds_calls, link, quoted
 
 SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 
@@ -19,13 +20,13 @@ def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations")
     calls, results = events(messages)
     text = F.coalesce("text", F.lit(""))
-    plain = ~F.ltrim(text).startswith("{")
-    asked = messages.where(plain & (F.col("role") == "user")).select(
+    asked = messages.where(F.col("role") == "user").select(
         "conv_id", "turn", F.lit(0).alias("place"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"),
         F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"prompt":'), quoted(text), F.lit("}")).alias("arguments"),
     )
-    said = messages.where(plain & (F.col("role") == "assistant")).select(
-        "conv_id", "turn", F.concat(F.lit("t"), (F.col("turn") - 1).cast("string")).alias("call_id"), quoted(text).alias("content")
+    said = messages.where((F.col("role") == "assistant") & ~holds_calls()).select(
+        "conv_id", "turn", F.concat(F.lit("t"), (F.col("turn") - 1).cast("string")).alias("call_id"), quoted(text).alias("content"),
+        F.lit(None).cast("string").alias("error"),
     )
     # No turn, and no level: -1.
     return link(calls.union(asked), results.union(said), SCHEMAS).fillna(-1, ["turn", "result_turn", "level"])

@@ -11,7 +11,8 @@ many rows share are aggregated before they are shuffled.
 
 Defined results: of several calls, or results, with one identifier in a conversation the first by turn,
 then by content, counts and ``copies`` says how many there were; results without a call are rows of their
-own with status "orphan"; calls whose arguments are no JSON object, or break the schema, or refer to one
+own with status "orphan", and so are tool turns that are no envelope, with an error and their text as result
+(equal ones of one turn are one row); calls whose arguments are no JSON object, or break the schema, or refer to one
 another in a circle (level null) stay, with their errors; rows without a conversation or identifier never
 link; null and empty texts are contents like others; empty tables give an empty result; only the named
 columns are read.
@@ -38,13 +39,24 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]  # tool: argument: (type, requi
 REF = r'"\$ref"\s*:\s*"([^"\\]+)"'
 
 
+CALLS = "try_variant_get(v, '$.tool_calls', 'array<variant>')"
+
+
+def holds_calls() -> Column:
+    """Whether an assistant turn's ``text`` is an envelope of one call or more."""
+    some = F.expr(f"coalesce(size({CALLS.replace('(v,', '(try_parse_json(text),')}), 0) > 0")
+    return F.when(F.ltrim("text").startswith("{"), some).otherwise(False)
+
+
 def events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of messages (conv_id, turn, role, text) in envelopes: {"tool_calls": [{"id", "name",
-    "arguments"}]} in assistant turns, {"tool_call_id", "content"} in tool turns."""
-    parsed = messages.where(F.ltrim("text").startswith("{") & F.col("role").isin("assistant", "tool")).select(
-        "conv_id", "turn", "role", F.expr("try_parse_json(text)").alias("v")
+    "arguments"}]} in assistant turns, {"tool_call_id", "content"} in tool turns. Tool turns that are none are
+    results without an identifier, with an error."""
+    envelope = F.ltrim("text").startswith("{")
+    parsed = messages.where((F.col("role") == "tool") | (envelope & (F.col("role") == "assistant"))).select(
+        "conv_id", "turn", "role", "text", F.when(envelope, F.expr("try_parse_json(text)")).alias("v")
     )
-    one = F.posexplode(F.expr("try_variant_get(v, '$.tool_calls', 'array<variant>')")).alias("place", "c")
+    one = F.posexplode(F.expr(CALLS)).alias("place", "c")
     calls = parsed.where("role = 'assistant'").select("conv_id", "turn", one).select(
         "conv_id", "turn", "place",
         F.expr("try_variant_get(c, '$.id', 'string')").alias("call_id"),
@@ -55,7 +67,12 @@ def events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn",
         F.expr("try_variant_get(v, '$.tool_call_id', 'string')").alias("call_id"),
         F.expr("to_json(try_variant_get(v, '$.content', 'variant'))").alias("content"),
-    ).where("call_id IS NOT NULL")
+        quoted(F.coalesce("text", F.lit(""))).alias("whole"),
+    ).select(
+        "conv_id", "turn", "call_id",
+        F.when(F.col("call_id").isNull(), F.col("whole")).otherwise(F.col("content")).alias("content"),
+        F.when(F.col("call_id").isNull(), F.lit("result:no envelope")).alias("error"),
+    )
     return calls, results
 
 
@@ -117,17 +134,22 @@ def canonical(fields: dict[str, Column]) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A string as a JSON text."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    """A string as a JSON text, null as null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call and per orphan result: conv_id, call_id, status (linked, open, orphan), turn,
+    """One row per call and per orphan result (``results`` may have an ``error``): conv_id, call_id, status (linked, open, orphan), turn,
     result_turn, level, errors, copies, record (canonical JSON)."""
     calls = cut(_first(calls, "place", "name", "arguments"))
-    results = _first(results, "content").select(
-        F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("result_turn"), "content", F.col("copies").alias("r_copies")
-    )
+    if "error" not in results.columns:
+        results = results.withColumn("error", F.lit(None).cast("string"))
+    sound = _first(results.where("error IS NULL"), "content").withColumn("error", F.lit(None).cast("string"))
+    broken = results.where("error IS NOT NULL").groupBy("conv_id", "call_id", "turn", "content", "error").agg(F.count(F.lit(1)).alias("copies"))
+    results = sound.unionByName(broken).select(
+        F.col("conv_id").alias("r_conv"), F.when(F.col("error").isNull(), F.col("call_id")).alias("r_id"),
+        F.col("turn").alias("result_turn"), "content", F.col("error").alias("r_error"), F.col("copies").alias("r_copies"),
+    )
     order = levels(calls)
     if order is None:
         calls = calls.withColumn("level", F.lit(0))
@@ -166,7 +188,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.col("result_turn").cast("long").alias("result_turn"),
         F.col("level").cast("long").alias("level"),
-        F.array_join(F.coalesce("errors", F.array().cast("array<string>")), ";").alias("errors"),
+        F.array_join(F.coalesce("errors", F.array_compact(F.array("r_error"))), ";").alias("errors"),
         (F.coalesce("copies", F.lit(0)) + F.coalesce("r_copies", F.lit(0))).cast("long").alias("copies"),
         record.alias("record"),
     )

@@ -53,3 +53,31 @@ def test_links_orders_and_validates(spark):
     assert got[1, "x"].record == '{"arguments":{"a":1.5,"b":2},"conversation":1,"id":"x","name":"add","result":null}'
     assert got[4, "x"].copies == 3
     assert T.link(*T.events(df.limit(0)), SCHEMAS).count() == 0
+
+
+def test_braces_are_no_envelopes(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.llm import q_tool_calls as Q
+
+    plain = [
+        (1, 0, "user", '{"a": 1}'), (1, 1, "assistant", "sure"), (1, 2, "user", "{% if x %}"), (1, 3, "assistant", '{"b": [2'),
+        (2, 0, "user", "give me json"), (2, 1, "assistant", ' {"tool_calls": []}'), (2, 2, "user", '{"tool_calls": [{"id": "u"}]}'),
+        (3, 0, "user", None), (3, 1, "assistant", '{"tool_calls": not json'), (4, 1, "assistant", "{"),
+    ]
+    tools = [
+        (5, 0, "assistant", '{"tool_calls": [{"id": "k", "name": "reply", "arguments": {"prompt": "p", "turn": 0}}]}'),
+        (5, 1, "tool", '{"tool_call_id": "k", "content": 1}'), (5, 2, "tool", '{"tool_call_id": '), (5, 3, "tool", '{"content": 2}'),
+        (5, 4, "tool", "oh"), (5, 4, "tool", "oh"), (5, 5, "tool", None),
+    ]
+    spark.createDataFrame(plain + tools, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in Q.op5_tool_call_linking(spark, str(tmp_path)).collect() if r.conv_id < 5)
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", plain)
+        assert got == sorted(c.execute(Q.ORACLE).fetchall())
+    rest = [r for r in Q.op5_tool_call_linking(spark, str(tmp_path)).collect() if r.conv_id == 5]
+    assert [(r.call_id, r.errors) for r in rest if r.status == "linked"] == [("k", "")]
+    broken = sorted((r.result_turn, r.status, r.errors, r.copies, json.loads(r.record)["result"]) for r in rest if r.call_id is None)
+    e = "result:no envelope"
+    assert broken == [(2, "orphan", e, 1, '{"tool_call_id": '), (3, "orphan", e, 1, '{"content": 2}'), (4, "orphan", e, 2, "oh"), (5, "orphan", e, 1, "")]
