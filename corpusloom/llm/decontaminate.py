@@ -33,7 +33,8 @@ from corpusloom.llm.common import cut
 WIDTH = 5
 BITS, BLOCK_BITS = 64, 4
 BLOCKS = BITS // BLOCK_BITS
-LANE = 0x0001000100010001
+#: Counters of 16 and of 32 bits in a long, and the largest bag that the first can count: the top one is signed.
+LANE, WIDE_LANE, FULL = 0x0001000100010001, 0x0000000100000001, 32767
 
 
 def words(text: str) -> Column:
@@ -51,19 +52,25 @@ def shingles(words_col: str) -> Column:
 
 def simhash(bag: str) -> Column:
     """64-bit SimHash of an array of shingle hashes. A long carries four 16-bit counters, one for each of the
-    bits k, k + 16, k + 32 and k + 48, so sixteen sums count all bits (for bags of up to 65,535 shingles)."""
-    lanes = [f"aggregate({bag}, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & {LANE}L))" for k in range(16)]
+    bits k, k + 16, k + 32 and k + 48, so sixteen sums count all bits; of bags that these cannot count, two of
+    32 bits each in 32 sums."""
+    return F.when(F.size(F.col(bag)) <= FULL, _counted(bag, 16, LANE)).otherwise(_counted(bag, 32, WIDE_LANE))
+
+
+def _counted(bag: str, width: int, mask: int) -> Column:
+    lanes = [f"aggregate({bag}, 0L, (a, h) -> a + (shiftrightunsigned(h, {k}) & {mask}L))" for k in range(width)]
     counted = F.expr(f"array({', '.join(lanes)})")
     # The array of lanes is bound once, as the element of an array of one.
-    return F.transform(F.array(counted), lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), _bit(x, bag)))[0]
+    bits = F.sequence(F.lit(0), F.lit(BITS - 1))
+    return F.transform(F.array(counted), lambda x: F.aggregate(bits, F.lit(0).cast("long"), _bit(x, bag, width)))[0]
 
 
-def _bit(lanes: Column, bag: str):
-    """Sets bit b where more than half of the shingles have it."""
-    zero, one, low = (F.lit(v).cast("long") for v in (0, 1, 65535))
+def _bit(lanes: Column, bag: str, width: int):
+    """Sets bit b where more than half of the shingles have it; counters are ``width`` bits wide."""
+    zero, one, low = (F.lit(v).cast("long") for v in (0, 1, 2**width - 1))
 
     def step(done: Column, b: Column) -> Column:
-        count = F.call_function("shiftrightunsigned", lanes[b % 16], b - b % 16).bitwiseAND(low)
+        count = F.call_function("shiftrightunsigned", lanes[b % width], b - b % width).bitwiseAND(low)
         return done.bitwiseOR(F.when(count * 2 > F.size(F.col(bag)), F.call_function("shiftleft", one, b)).otherwise(zero))
 
     return step

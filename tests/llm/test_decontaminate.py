@@ -97,3 +97,13 @@ def test_items_with_moved_parts(spark):
     docs += [(802, (items[0][1][27:] + items[0][1][:27]) * 3), (803, items[1][1][52:] + items[1][1][:52])]
     got, want = rows_of(spark, docs, items)
     assert got == want and (800, 1, round(96 / 104, 9), 90) in got and len(want) > 14
+
+
+def test_simhash_of_bags_of_any_size(spark):
+    rng = random.Random(4)
+    bags = [[rng.randrange(-(2**63), 2**63) | rng.getrandbits(64) >> 1 for _ in range(n)] for n in (1, 9, 1000, 32767, 32768, 70000)]
+    bags += [[h | 0x00FF00FF for h in bags[-1]] + [-1] * 65536]
+    votes = lambda bag: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in bag) > len(bag))
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(bags)], "k int, bag array<bigint>")
+    got = [r.f % 2**64 for r in df.select("k", D.simhash("bag").alias("f")).orderBy("k").collect()]
+    assert got == [votes(b) for b in bags]
