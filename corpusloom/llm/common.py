@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of ids that a join may broadcast (16 bytes each); beyond, it shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -21,5 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (a cut table of a few narrow columns) as a side of a join: broadcast if it has at most ``most`` rows, else
+    hashed after a shuffle, of which the adaptive planner splits uneven partitions of the other side."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("shuffle_hash")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

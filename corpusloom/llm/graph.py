@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import cut
 
 MAX_ROUNDS = 64
+#: Edges whose nodes a join may broadcast (16 bytes each); beyond, it shuffles.
+BROADCAST_EDGES = 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -31,11 +33,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
+        # Up to a checked number of edges what joins them travels, and no node's edges meet in one task.
+        light = F.broadcast if before[0] <= BROADCAST_EDGES else lambda df: df
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(light(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = large.join(light(parent), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = cut(small.union(parent.select("u", F.col("m").alias("v"))).distinct())
         after = _state(now)
         if after == before:

@@ -6,19 +6,23 @@ segments are equal or differ by one element. Sizes are cut into bands; a band's
 whose larger set lies in it, so a set is indexed under its own band and, where it is large enough to meet
 the next band, under that one too.
 
-Linked sets share more keys than their spare segments, so pairs that share fewer, such as texts with a common
-passage, are no candidates. Pairs are only made inside keys of at most ``hottest`` sets. Keys of more sets, such
-as those of passages or of large groups of copies, are left to the sets that cannot do without them, which such a
-key joins in a star.
-
 Per band the cheaper of two layouts is taken: H + 1 + spare segments whose subsets are indexed as they are,
 or half as many, longer segments whose subsets are indexed with all their one-deletion neighbours. Per set,
 segments with too few elements to tell sets apart are skipped as long as the spare segments pay for them;
 a set with more of them pays with one-deletion neighbours of its other segments instead.
 
-Candidates form families (connected components), and inside a family every link is verified exactly on the whole sets: members are
-visited from pivot to pivot and only compared to members that no link has reached yet. A family over a
-memory bound is cut into blocks, all pairs of which are verified the same way. Equal sets are one member.
+Segments are allocated by what they cost, counted: a set can do without as many of its keys as it has segments
+above the pigeonhole bound of its own size, its budget. Linked sets share more keys than either's budget.
+* Keys of at most ``hottest`` sets are compared pair by pair; pairs that share too few are no candidates.
+* A set whose keys of more sets (of common passages, of large groups of copies) lie within its budget does
+  without them all. Any other set leaves out its most frequent ones up to its budget and joins the others
+  in a star. All sets rank keys by the same counts, so the rarest key that two linked sets share is in both.
+* A key of many sets in one task's texts is given to a local leader before the shuffle.
+
+Candidates form families (connected components). Every link is verified exactly on whole sets: members are visited
+from pivot to pivot and only compared to members that no link has reached yet. A family over a memory bound
+is compared, in parallel, with a block of pivots at a time, until what is left lies in one component: a
+group of near copies takes as many passes as it has strays, each linear in its size. Equal sets are one member.
 
 Defined results: null and empty texts have no shingles, belong to themselves and link with nothing; rows without
 an id keep their number of shingles, link with nothing and have no component (null); repeated
@@ -29,7 +33,7 @@ read, so other columns cannot clash; texts of any length are read whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -40,22 +44,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow import slices
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, small_side
 from corpusloom.llm.graph import components
 from corpusloom.llm.shingles import U, mix, shingle_set, word_hashes
 
 #: A band's largest size over its smallest.
-BAND = 1.5
+BAND = 1.25
 #: Weight of keys of short segments, which many sets share by chance, against the number of keys.
 CHANCE = 50
 #: Rows of a key beyond which its pairs are not looked at.
 HOT = 16
 #: Spare segments for frequent keys, as a share of the segments.
 SPARE = 0.08
-#: Rows of ids that a join may broadcast (16 bytes each); beyond, it shuffles.
-BROADCAST_ROWS = 4_000_000
-#: Bands of sizes by which large families are cut; the last one holds all larger sizes.
-BANDS = 48
+#: What a hot key of one task's texts, a local leader's key, and keys by the power of two of their rows are ranked.
+PROXY, LOCAL, COUNTED, POWERS = 1, 2, 3, 9
+#: Hot keys that a task remembers.
+REMEMBERED_KEYS = 100_000
 #: Elements of a family that one task holds at once (8 bytes each).
 BLOCK_ELEMENTS = 500_000
 
@@ -109,6 +113,11 @@ class Schemes:
                 best, least_cost = Scheme(band, most, segments, spare, least, deletions), cost
         return best
 
+    @lru_cache(maxsize=4096)
+    def apart(self, band: int, size: int) -> int:
+        """Elements in which a set of this size and a set that it links to in this band can differ."""
+        return (size + min(self.bound(band + 1) - 1, size * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
+
     @lru_cache(maxsize=4096)
     def of(self, size: int) -> tuple[Scheme, ...]:
         band = 0
@@ -120,6 +129,16 @@ class Schemes:
         return tuple(s for s in found if s.most > 0)  # else only equal sets link
 
 
+def budget_of(shingles: np.ndarray, schemes: Schemes) -> int:
+    """How many keys the set can do without in each of its bands; -1: it needs them all."""
+    found = []
+    for s in schemes.of(len(shingles)):
+        sizes = np.bincount((shingles >> U(11)) % U(s.segments), minlength=s.segments)
+        spare = int((sizes >= s.least).sum()) - schemes.apart(s.band, len(shingles)) - 1
+        found.append(-1 if s.deletions else max(spare, -1))
+    return min(found, default=0)
+
+
 def indexed(shingles: np.ndarray, schemes: Schemes) -> list[tuple[int, int, np.ndarray]]:
     """(band, budget, keys) of a set (sorted, distinct, uint64). Of its keys in a band a set can do without
     ``budget`` ones and still shares one of the others with every set it links to; -1: it needs them all."""
@@ -136,18 +155,19 @@ def indexed(shingles: np.ndarray, schemes: Schemes) -> list[tuple[int, int, np.n
         salt = mix((by[starts] << U(20)) + U(s.band * 2 + 2))
         rich = sizes >= s.least
         n_rich = int(rich.sum())
-        budget = s.spare - (s.segments - n_rich)
+        apart = schemes.apart(s.band, len(shingles))
+        budget = n_rich - apart - 1
         if not s.deletions and budget >= 0:
             out.append((s.band, budget, mix(sums[rich] + salt[rich])))
             continue
         wide = sizes >= s.least - 1
         shift = np.repeat(salt, sizes)
         minus = np.repeat(sums, sizes) - elements + shift
-        keys = [mix(sums[wide] + salt[wide]), mix(minus[np.repeat(wide, sizes)])]
-        if 2 * n_rich < s.most + 1:
+        keys = [mix(sums[wide] + salt[wide]), mix(minus[np.repeat(rich, sizes)])]
+        if 2 * n_rich < apart + 1:
             # Too few segments of enough elements: all the others as well, among sets in the same position.
             flag = U(0xA24BAED4963EE407)
-            keys += [mix(sums[~wide] + salt[~wide] + flag), mix(minus[~np.repeat(wide, sizes)] + flag)]
+            keys += [mix(sums[~wide] + salt[~wide] + flag), mix(minus[~np.repeat(rich, sizes)] + flag)]
             empty = np.setdiff1d(np.arange(s.segments, dtype=U), by[starts], assume_unique=True)
             keys.append(mix(mix((empty << U(20)) + U(s.band * 2 + 2)) + flag))
         out.append((s.band, -1, np.unique(np.concatenate(keys))))
@@ -167,6 +187,10 @@ def _sets_of(batch: pa.RecordBatch, shingle_words: int) -> Iterator[tuple[pa.Rec
         yield part, [shingle_set(words.words(t or b""), shingle_words) for t in part.column(part.num_columns - 1).to_pylist()]
 
 
+def _longs(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
 def _describe(shingle_words: int, schemes: Schemes):
     """(id, text) to (id, n, hi, lo, budget): the size and the 128-bit digest of the set, and how many of its keys
     it can do without."""
@@ -177,18 +201,60 @@ def _describe(shingle_words: int, schemes: Schemes):
                 digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
                 two = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
                 n = pa.array([len(s) for s in sets], pa.int64())
-                spare = pa.array([min((b for _, b, _ in indexed(s, schemes)), default=0) if len(s) else 0 for s in sets], pa.int64())
+                budget = pa.array([budget_of(s, schemes) if len(s) else 0 for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), n, pa.array(two[:, 0]), pa.array(two[:, 1]), spare], names=["id", "n", "hi", "lo", "budget"]
+                    [part.column(0), n, pa.array(two[:, 0]), pa.array(two[:, 1]), budget], names=["id", "n", "hi", "lo", "budget"]
                 )
 
     return run
 
 
-def _keys(shingle_words: int, schemes: Schemes):
-    """(id, text) to (key, id); of equal sets in a slice the least id is indexed, as they meet by digest."""
+class _LocalLeaders:
+    """Keys of more than ``hottest`` sets of a task, and for each the set that stands for those after the first ones."""
+
+    def __init__(self, hottest: int):
+        self.hottest = hottest
+        self.keys, self.leaders = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def split(self, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, id, to, led): rows of keys, ``led`` where they are of the set that leads (``to`` is its id), and rows that
+        tell another set's leader ``to`` under a key of the set's own."""
+        out = []
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            out.append((ids[known], self.leaders[at[known]]))
+            key, ids = key[~known], ids[~known]
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(np.append(starts, len(key)))
+        hot = sizes > self.hottest
+        place = np.arange(len(key)) - np.repeat(starts, sizes)
+        leader = ids[np.repeat(starts, sizes)] if len(key) else ids
+        told = np.repeat(hot, sizes) & (place > self.hottest)
+        out.append((ids[told], leader[told]))
+        leads = np.repeat(hot, sizes) & (place == 0)
+        if hot.any() and len(self.keys) < REMEMBERED_KEYS:
+            keys, leaders = np.append(self.keys, key[starts[hot]]), np.append(self.leaders, ids[starts[hot]])
+            by = np.argsort(keys)
+            self.keys, self.leaders = keys[by], leaders[by]
+        tell_ids, tell_to = (np.concatenate(c) for c in zip(*out, strict=True))
+        own = mix(tell_ids.astype(U) + U(0x9E3779B97F4A7C15)).view(np.int64)
+        return (
+            np.concatenate([key[~told], own]),
+            np.concatenate([ids[~told], tell_ids]),
+            np.concatenate([ids[~told], tell_to]),
+            np.concatenate([leads[~told], np.ones(len(tell_ids), dtype=bool)]),
+        )
+
+
+def _keys(shingle_words: int, schemes: Schemes, hottest: int):
+    """(id, text) to (key, id, to): the keys of sets (``to`` is null, or the id where the set leads others of its task)
+    and sets' leaders ``to``, under keys of the sets' own. Of equal sets in a slice the least id is indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders = _LocalLeaders(hottest)
         for batch in batches:
             for part, sets in _sets_of(batch, shingle_words):
                 least: dict[bytes, tuple[int, np.ndarray]] = {}
@@ -203,49 +269,57 @@ def _keys(shingle_words: int, schemes: Schemes):
                         keys.append(k)
                         ids.append(np.full(len(k), i, dtype=np.int64))
                 if keys:
-                    columns = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id"])
+                    key, i, to, led = leaders.split(np.concatenate(keys).view(np.int64), np.concatenate(ids))
+                    columns = [pa.array(key), pa.array(i), pa.array(to, mask=~led)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "to"])
 
     return run
 
 
 def _runs(hottest: int):
-    """Rows (key, id) sorted by both to (a, b, n): how many keys of at most ``hottest`` rows a pair shares, b before
-    a; how many keys of more rows an id has, (id, id, n); and those keys, (key, key, -1)."""
+    """Rows (key, id, to) sorted by key and id to (a, b, n, rank). Rank 0: a pair shares n keys of at most ``hottest``
+    rows, b before a. Else a set a has n keys that b leads: of its task (LOCAL), as the leader of its task
+    (PROXY), or of more than ``hottest`` rows, the more the higher the rank."""
+    most = hottest << (POWERS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = [np.zeros(0, dtype=np.int64)] * 2
-        hot_key = None
+        waiting = [np.zeros(0, dtype=np.int64)] * 3
+        going_key, going_leader = None, 0
         for batch in _then_none(batches):
-            now = [np.concatenate([k, c.to_numpy()]) for k, c in zip(waiting, batch.columns)] if batch is not None else waiting
-            key, ids = now
-            if not len(key):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            hot = sizes > hottest
-            if hot_key is not None and key[0] == hot_key:
-                hot[0] = True
-            done = np.ones(len(sizes), dtype=bool)
-            if batch is not None and not hot[-1]:
-                done[-1] = False  # may go on in the next batch
-            hot_key = key[-1] if batch is not None and hot[-1] else None
-            row_hot, row_done = np.repeat(hot, sizes), np.repeat(done, sizes)
-            waiting = [c[~row_done] for c in now]
-            cold = row_done & ~row_hot
-            pairs = [np.zeros((0, 2), dtype=np.int64)]
-            for d in range(1, hottest):
-                at = np.flatnonzero((key[d:] == key[:-d]) & cold[d:] & (ids[d:] != ids[:-d]))
-                pairs.append(np.stack([ids[d:][at], ids[:-d][at]], axis=1))
-            edges, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
-            known, counts = np.unique(ids[row_hot], return_counts=True)
-            keys = np.unique(key[row_hot])
-            columns = (
-                np.concatenate([edges[:, 0], known, keys]), np.concatenate([edges[:, 1], known, keys]),
-                np.concatenate([shared, counts, np.full(len(keys), -1)]),
-            )
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
+            out = []
+            now = waiting
+            if batch is not None:
+                key, ids = (c.to_numpy() for c in batch.columns[:2])
+                led = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+                to = batch.column(2).fill_null(0).to_numpy()
+                told = led & (to != ids)
+                out.append(np.stack([ids[told], to[told], np.full(int(told.sum()), LOCAL)], axis=1))
+                now = [np.concatenate([w, c[~told]]) for w, c in zip(waiting, (key, ids, led.astype(np.int64)), strict=True)]
+            key, ids, led = now
+            if len(key):
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                sizes = np.diff(np.append(starts, len(key)))
+                leader = ids[starts]
+                rank = COUNTED + np.minimum(np.ceil(np.log2(sizes / hottest)).astype(np.int64), POWERS)
+                hot = sizes > hottest
+                if going_key is not None and key[0] == going_key:
+                    leader[0], rank[0], hot[0] = going_leader, COUNTED + POWERS, True
+                done = np.ones(len(sizes), dtype=bool)
+                going = batch is not None and rank[-1] == COUNTED + POWERS and hot[-1]
+                if batch is not None and not going:
+                    done[-1] = False  # may go on in the next batch
+                going_key, going_leader = (key[-1], leader[-1]) if going else (None, 0)
+                row_hot, row_done = np.repeat(hot, sizes), np.repeat(done, sizes)
+                waiting = [c[~row_done] for c in now]
+                cold, met = row_done & ~row_hot, row_done & row_hot
+                for d in range(1, hottest):
+                    at = np.flatnonzero((key[d:] == key[:-d]) & cold[d:] & (ids[d:] != ids[:-d]))
+                    out.append(np.stack([ids[d:][at], ids[:-d][at], np.zeros(len(at), dtype=np.int64)], axis=1))
+                ranks = np.where(led[met] == 1, PROXY, np.repeat(rank, sizes)[met])
+                out.append(np.stack([ids[met], np.repeat(leader, sizes)[met], ranks], axis=1))
+            if sum(map(len, out)):
+                found, n = np.unique(np.concatenate(out), axis=0, return_counts=True)
+                yield _longs(["a", "b", "n", "rank"], found[:, 0], found[:, 1], n, found[:, 2])
 
     return run
 
@@ -255,33 +329,6 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) sorted by both to edges (a, b) from each id of a key to its first id."""
-    last_key, last_leader = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids = (c.to_numpy() for c in batch.columns)
-        first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        leaders = np.append(ids[first], last_leader)
-        leader = leaders[np.cumsum(first) - 1]  # -1, of rows that go on from the last batch, takes the last entry
-        last_key, last_leader = key[-1], leader[-1]
-        other = ids != leader
-        edges = np.unique(np.stack([ids[other], leader[other]], axis=1), axis=0)
-        if len(edges):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-
-
-def _sets(shingle_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, sets in _sets_of(batch, shingle_words):
-                raw = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], raw], names=["id", "family", "blocks", "elements"])
-
-    return run
-
-
 def linked_groups(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """(id, least id of its component) of all members but those least ones, by exact comparison of sets.
 
@@ -335,40 +382,154 @@ def linked_groups(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
     return out
 
 
-def _verify(num: int, den: int):
-    """Rows (group, id, elements), the groups one after another, to links."""
+class _Roots(dict):
+    """A union-find forest whose roots are least members."""
+
+    def __missing__(self, x: int) -> int:
+        self[x] = x
+        return x
+
+    def find(self, x: int) -> int:
+        while self[x] != x:
+            self[x] = x = self[self[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = sorted((self.find(x), self.find(y)))
+        self[y] = x
+        return x != y
+
 
+def _sets(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        for batch in batches:
+            for part, sets in _sets_of(batch, shingle_words):
+                raw = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], raw], names=["id", "family", "elements"])
+
+    return run
 
-        def done() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            return linked_groups(np.array(ids, dtype=np.int64), sets, num, den)
 
+def _grouped(batches: Iterator[pa.RecordBatch], start: Callable[[], Callable]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, *rest), the groups one after another: ``start()`` makes a group's function of a row, which gives links
+    (a, b), and of nothing at the group's end."""
+    now, take = None, None
+    for batch in _then_none(batches):
         links: list[tuple[int, int]] = []
-        for batch in batches:
-            for part in slices(batch):
-                for group, i, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if group != now:
-                        links += done()
-                        now, ids, sets = group, [], []
-                    ids.append(i)
-                    sets.append(np.frombuffer(raw, dtype=U))
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
-                    links = []
-        links = done()
+        for part in slices(batch) if batch is not None else ():
+            for group, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if take is None or group != now:
+                    links += take() if take else []
+                    now, take = group, start()
+                links += take(*row)
+        if batch is None and take:
+            links += take()
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+            a, b = zip(*links, strict=True)
+            yield _longs(["a", "b"], a, b)
+
+
+def _verify(num: int, den: int):
+    """Rows (family, id, elements), the families one after another, to links."""
+
+    def start() -> Callable:
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def take(i: int | None = None, raw: bytes | None = None) -> list[tuple[int, int]]:
+            if raw is not None:
+                ids.append(i)
+                sets.append(np.frombuffer(raw, dtype=U))
+                return []
+            return linked_groups(np.array(ids, dtype=np.int64), sets, num, den) if len(ids) > 1 else []
+
+        return take
+
+    return lambda batches: _grouped(batches, start)
 
-    return run
 
+def _against(num: int, den: int):
+    """Rows (group, member, id, elements), the groups one after another and in each the pivots (member is false) first,
+    to links that join what links between its members and its pivots join."""
 
-def small_side(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``ids`` (a cut table) as the side of a join with texts: broadcast if it has at most ``rows`` rows, else
-    hashed after a shuffle."""
-    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids.hint("shuffle_hash")
+    def start() -> Callable:
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        roots = _Roots()
+        index: list = []
+
+        def first() -> list[tuple[int, int]]:
+            universe, element = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            by = np.argsort(element, kind="stable")
+            index.extend((universe, owner[by], np.searchsorted(element[by], np.arange(len(universe) + 1)), np.array([len(s) for s in sets])))
+            return [x for x in linked_groups(np.array(ids, dtype=np.int64), sets, num, den) if roots.join(*x)]
+
+        def take(member: bool | None = None, i: int | None = None, raw: bytes | None = None) -> list[tuple[int, int]]:
+            if member is None:
+                return first() if sets and not index else []
+            if not member:
+                ids.append(i)
+                sets.append(np.frombuffer(raw, dtype=U))
+                return []
+            links = [] if index else first()
+            universe, holders, at, sizes = index
+            own = np.frombuffer(raw, dtype=U)
+            k = np.minimum(np.searchsorted(universe, own), len(universe) - 1)
+            k = k[universe[k] == own]
+            if len(k):
+                met = np.concatenate([holders[at[e] : at[e + 1]] for e in k.tolist()])
+                common = np.bincount(met, minlength=len(sizes))
+                for q in np.flatnonzero(common * (num + den) >= num * (sizes + len(own))).tolist():
+                    if roots.join(i, ids[q]):
+                        links.append((i, ids[q]))
+            return links
+
+        return take
+
+    return lambda batches: _grouped(batches, start)
+
+
+def _link_large(sets: DataFrame, num: int, den: int, block_elements: int) -> DataFrame:
+    """(a, b) that join what the links inside large families join. ``sets`` is a cut table (id, family, elements).
+
+    Each pass compares all members of a family with a block of pivots, drawn by hash from the members that are
+    not yet in the family's largest component; a link has an end among them, or joins nothing new."""
+    size = F.length("elements") / 8
+    whole = cut(sets.groupBy("family").agg(F.sum(size).alias("weight")))
+    waiting, links = cut(sets.groupBy("id", "family").agg(F.max(size).alias("n"))), None
+    turn = 0
+    while not waiting.isEmpty():
+        turn += 1
+        draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 1)
+        left = waiting.groupBy("family").agg(F.sum("n").alias("left"), F.min(draw).alias("least"))
+        share = F.lit(block_elements * float(2**63)) / F.col("left")
+        pivots = cut(waiting.join(small_side(cut(left)), "family").where((draw <= share) | (draw == F.col("least"))).select("id", "family"))
+        salts = F.greatest(F.lit(1), F.ceil(F.col("weight") / block_elements)).cast("int")
+        groups = whole.join(small_side(cut(left.select("family"))), "family").select("family", salts.alias("salts"))
+        groups = cut(groups)
+        rows = sets.join(small_side(groups), "family")
+        named = F.concat_ws("/", "family", "salt").alias("group")
+        ahead = (
+            rows.join(small_side(pivots), ["id", "family"])
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            .select(named, F.lit(False).alias("member"), "id", "elements")
+        )
+        after = (
+            rows.join(small_side(pivots), ["id", "family"], "left_anti")
+            .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+            .select(named, F.lit(True).alias("member"), "id", "elements")
+        )
+        both = ahead.union(after).repartition("group").sortWithinPartitions("group", "member", "id")
+        found = both.mapInArrow(_against(num, den), "a long, b long")
+        links = cut(found if links is None else links.union(found))
+        waiting = waiting.join(small_side(pivots), ["id", "family"], "left_anti")
+        of = cut(components(links))
+        placed = cut(sets.select("id", "family", size.alias("n")).join(small_side(of), F.col("id") == F.col("node")).groupBy("family", "root").agg(F.sum("n").alias("n")))
+        settled = placed.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
+        inside = of.join(small_side(cut(settled)), "root").select(F.col("node").alias("id"), "family")
+        waiting = cut(waiting.join(small_side(cut(inside)), ["id", "family"], "left_anti"))
+    return links
 
 
 def near_duplicates(
@@ -387,62 +548,51 @@ def near_duplicates(
     about = cut(docs.mapInArrow(_describe(shingle_words, schemes), "id long, n long, hi long, lo long, budget long"))
     unnamed = about.where("id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     docs, about = docs.where("id IS NOT NULL"), about.where("id IS NOT NULL")
-    classes = about.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    copies = cut(about.where("n > 0").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).where("id <> rep").select("id").distinct())
-    distinct = docs.join(small_side(copies), "id", "left_anti")
-    budgets = about.where("n > 0").groupBy("id").agg(F.min("budget").alias("budget"))
-
-    keys = lambda of: of.select("id", "text").mapInArrow(_keys(shingle_words, schemes), "key long, id long")
-    by_key = lambda rows: rows.repartition("key").sortWithinPartitions("key", "id")
-    level = cut(by_key(keys(distinct)).mapInArrow(_runs(hottest), "a long, b long, n long"))
-    hot = level.where("a = b AND n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("hot")).join(budgets, "id")
+    # Rows of equal sets, of which the least id stands for all; only sets that occur again are joined.
+    full = about.where("n > 0")
+    copied = cut(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
+    placed = full.join(small_side(copied), ["hi", "lo"], "left").select("id", "n", "budget", F.coalesce("rep", "id").alias("rep"))
+    distinct = docs.join(small_side(cut(placed.where("id <> rep").select("id").distinct())), "id", "left_anti")
+
+    level = cut(
+        distinct.mapInArrow(_keys(shingle_words, schemes, hottest), "key long, id long, to long")
+        .repartition("key").sortWithinPartitions("key", "id")
+        .mapInArrow(_runs(hottest), "a long, b long, n long, rank long")
+    )
+    budgets = placed.where("id = rep").groupBy("id").agg(F.min("budget").alias("budget"), F.max("n").alias("n"))
+    by_rank = [F.sum(F.when(F.col("rank") == r, F.col("n")).otherwise(0)) for r in range(1, COUNTED + POWERS + 1)]
+    hot = cut(
+        level.where("rank > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("hot"), F.array(*by_rank).alias("ranked"))
+        .join(budgets, "id").select("id", "hot", "budget", "ranked")
+    )
     # Linked sets share more keys than either's budget, and at most the lesser number of hot keys are hot.
-    pairs = level.where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    side = lambda x: budgets.join(hot.drop("budget"), "id", "left").select(
+    pairs = level.where("rank = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    side = lambda x: budgets.join(small_side(hot.select("id", "hot")), "id", "left").select(
         F.col("id").alias(x), F.col("budget").alias(f"budget_{x}"), F.coalesce("hot", F.lit(0)).alias(f"hot_{x}")
     )
     total = F.greatest("budget_a", "budget_b") + 1
     cold = total - F.least("hot_a", "hot_b")
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("shared") >= F.when(cold >= 1, cold).otherwise(total)).select("a", "b")
-    # The sets that cannot do without hot keys meet under those.
-    bound = docs.join(small_side(cut(hot.where("hot > budget").select("id"))), "id", "left_semi")
-    shared = cut(level.where("n < 0").select(F.col("a").alias("key")).distinct())
-    met = close.union(by_key(keys(bound).join(small_side(shared), "key", "left_semi")).mapInArrow(_stars, "a long, b long"))
-    families = components(met)
-    members = families.join(classes, families["node"] == classes["rep"]).select("rep", F.col("root").alias("family"), "n")
-    weight = members.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Families over the bound are cut by the bands of sizes, in which all links lie, and then into blocks.
-    bounds = f"array({', '.join(f'{schemes.bound(k)}L' for k in range(BANDS + 2))})"
-    own = f"least({BANDS}, size(filter({bounds}, x -> x <= n)) - 1)"
-    bands = f"filter(array({own}, {own} + 1), k -> k = {own} OR n * {den} >= {bounds}[k] * {num})"
-    members = members.join(weight, "family").select(
-        F.col("rep").alias("id"), "family", "n",
-        F.explode(F.expr(f"CASE WHEN weight <= {block_elements} THEN array(-1) ELSE {bands} END")).alias("band"),
-    )
-    weight = members.groupBy("family", "band").agg(F.ceil(F.sum("n") / block_elements).cast("long").alias("blocks"), F.count(F.lit(1)).alias("size"))
-    members = cut(
-        members.join(weight.where("size > 1"), ["family", "band"]).select("id", F.concat_ws("/", "family", "band").alias("family"), "blocks", "band")
-    )
-    sets = (
-        docs.join(small_side(members), "id").select("id", "family", "blocks", "text")
-        .mapInArrow(_sets(shingle_words), "id long, family string, blocks long, elements binary")
-    )
-    block = F.pmod(F.xxhash64("id"), "blocks")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    groups = (
-        sets.withColumn("block", block).withColumn("other", other)
-        .select(F.concat_ws("/", "family", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "id", "elements")
-        .repartition("group").sortWithinPartitions("group", "id")
-    )
-    links = cut(groups.mapInArrow(_verify(num, den), "a long, b long"))
-    if members.where("blocks > 1 OR band >= 0").isEmpty():
-        roots = links.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    else:
-        roots = components(links).select(F.col("node").alias("rep"), "root")
-    named = classes.select("hi", "lo", "rep").join(roots, "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    full = about.where("n > 0").select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select("id", "n", "component_id")
+    # A set that cannot do without hot keys leaves out the ranks from the highest on that its budget pays for.
+    kept = F.expr(f"size(filter(sequence(1, {COUNTED + POWERS}), r -> aggregate(slice(ranked, r, {COUNTED + POWERS}), 0L, (x, y) -> x + y) > budget))")
+    bound = cut(hot.where("hot > budget").select(F.col("id").alias("a"), F.greatest(kept, F.lit(LOCAL)).alias("most")))
+    stars = level.where("rank > 0 AND a <> b")
+    led = stars.where(f"rank > {PROXY}").join(small_side(bound), "a").where("rank <= most").select("a", "b")
+    families = cut(components(close.union(led).union(stars.where(f"rank = {PROXY}").select("a", "b"))))
+    members = cut(families.join(budgets, families["node"] == budgets["id"]).select("id", F.col("root").alias("family"), "n"))
+    weight = members.groupBy("family").agg(F.sum("n").alias("weight"))
+    large = cut(weight.where(F.col("weight") > block_elements).select("family"))
+    texts = lambda of: docs.join(small_side(cut(of.select("id", "family"))), "id").select("id", "family", "text")
+    shaped = "id long, family long, elements binary"
+    small = texts(members.join(small_side(large), "family", "left_anti")).mapInArrow(_sets(shingle_words), shaped).select("family", "id", "elements")
+    roots = small.repartition("family").sortWithinPartitions("family", "id").mapInArrow(_verify(num, den), "a long, b long")
+    roots = cut(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")))
+    if not large.isEmpty():
+        sets = cut(texts(members.join(small_side(large), "family")).mapInArrow(_sets(shingle_words), shaped))
+        roots = cut(roots.union(components(_link_large(sets, num, den, block_elements)).select(F.col("node").alias("rep"), "root")))
+    named = placed.join(small_side(roots), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
     bare = about.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return full.union(bare).union(unnamed).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return named.union(bare).union(unnamed).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
