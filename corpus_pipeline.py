@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, jaccard_join, packing, pii, quality
-from corpusloom.llm.common import ensure_checkpoint_dir, table
+from corpusloom.llm.common import cut, ensure_checkpoint_dir, small_side, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each group that links of 0.8 between five-word shingles join."""
-    return jaccard_join.keep_first(docs, shingle_words=5, num=4, den=5).dropDuplicates(["doc_id"])
+    kept = jaccard_join.keep_first(docs, shingle_words=5, num=4, den=5)
+    again = small_side(cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")))
+    row = F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns))  # only rows of repeated ids are shuffled
+    one = kept.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("key")).agg(row.alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*kept.columns).union(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
