@@ -7,11 +7,16 @@ they are in the DOM, and blocks of the same parent. A maximum flow gives the che
 that stay on the source's side are content. Before the flow, blocks whose own evidence outweighs all their
 edges are fixed, which changes no labelling and leaves few nodes.
 
+A cue of boilerplate in an element's name is evidence, and no verdict: it counts the less, the larger the share of the
+page's prose that the element holds, if the page's first heading or article lies in it too, and less where a word
+of the same name speaks for content. So a layout wrapper does not lose its article. Evidence and edges have one
+scale: the neighbours of a short block without cues outvote it, those of a block with a cue of its own do not.
+
 Text inside a block: character references decoded, white space turned into one space, trimmed. ``<br>`` is
 white space. Scripts, styles, comments and other text that pages do not show are no blocks.
 
 Defined results: null and empty pages give an empty text; a tag, comment or script that the page breaks off
-in is dropped; repeated rows give repeated results; an empty table gives an empty result; only the named
+in is dropped; at equal costs a block is boilerplate; repeated rows give repeated results; an empty table gives an empty result; only the named
 columns are read, so others cannot clash; pages of any length are read whole.
 """
 
@@ -75,22 +80,23 @@ class Block:
     tag: str
     path: tuple[int, ...]  # ids of the open elements, the outermost first
     linked: int  # characters inside links
-    off: bool  # an ancestor says boilerplate
+    off: tuple[int, ...]  # ids of open elements that say boilerplate, the outermost first
     head: bool  # in a header
     article: bool
     hint: bool  # an ancestor's name says content
 
 
 class _Open:
-    __slots__ = ("tag", "key", "off", "head", "article", "hint", "link")
+    __slots__ = ("tag", "key", "off", "weight", "head", "article", "hint", "link")
 
     def __init__(self, tag: str, key: int, up: _Open | None, attributes: str):
         self.tag, self.key = tag, key
         self.off, self.head, self.article, self.hint, self.link = (
-            (up.off, up.head, up.article, up.hint, up.link) if up else (False, False, False, False, False)
+            (up.off, up.head, up.article, up.hint, up.link) if up else ((), False, False, False, False)
         )
+        self.weight = 0.0  # of what it says itself
         if tag in OFF_TAGS:
-            self.off = True
+            self.weight = OFF
         elif tag == "header":
             self.head = True
         elif tag in ("article", "main"):
@@ -99,6 +105,8 @@ class _Open:
             self.link = True
         if attributes and tag not in ("html", "body"):
             self._cues(attributes)
+        if self.weight:
+            self.off = (*self.off, key)
 
     def _cues(self, attributes: str) -> None:
         for m in ATTRIBUTE.finditer(attributes):
@@ -107,14 +115,14 @@ class _Open:
                 for one in value.split():
                     words = {w.lower() for w in CUE.findall(one)}
                     if words & OFF_WORDS and not words & SOFTENERS and self.tag not in ("main",):
-                        self.off = True
+                        self.weight = min(self.weight, MIXED if words & ON_WORDS else OFF)
                     elif words & HEAD_WORDS:
                         self.head = True
                     elif words & ON_WORDS:
                         self.hint = True
             elif name == "role":
                 if value.lower() in OFF_ROLES:
-                    self.off = True
+                    self.weight = min(self.weight, OFF)
                 elif value.lower() in ("main", "article"):
                     self.article = True
             elif name == "itemprop":
@@ -122,14 +130,17 @@ class _Open:
                     self.article = True
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    self.off = True
+                    self.weight = UNSHOWN
             elif name == "hidden" or value.lower() == "true":
-                self.off = True
+                self.weight = UNSHOWN
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page, in page order."""
+def blocks_of(page: str) -> tuple[list[Block], dict[int, float], set[int]]:
+    """The text blocks of a page, in page order; what elements with a cue of boilerplate weigh, by id; and the ids of the
+    elements that hold the first heading or the first article."""
     out: list[Block] = []
+    weights: dict[int, float] = {}
+    leads: dict[str, list[int]] = {}
     stack = [_Open("#page", 0, None, "")]
     n_keys, unseen, at, size = 1, 0, 0, len(page)
     pieces: list[str] = []
@@ -236,19 +247,40 @@ def blocks_of(page: str) -> list[Block]:
             gt = page.find(">", end.end()) if end else -1
             at = size if gt < 0 else gt + 1
             continue
+        if tag in ("h1", "article", "main"):
+            leads.setdefault("h1" if tag == "h1" else "article", [o.key for o in stack])
         stack.append(_Open(tag, n_keys, stack[-1], m[5]))
+        if stack[-1].weight:
+            weights[n_keys] = stack[-1].weight
         unseen += tag in UNSEEN
         n_keys += 1
     flush()
-    return out
+    return out, weights, {k for keys in leads.values() for k in keys}
 
 
-#: Weights of the classifier, in units of log odds.
-BIAS, PER_LOG_WORD, SENTENCE, LINKS, OFF, HEAD, HEAD_IN_ARTICLE, ARTICLE, HINT, RIGHTS = -1.2, 0.6, 0.5, -3.0, -12.0, -9.0, -1.0, 5.0, 2.0, -4.0
+#: Weights of the classifier, in units of log odds. A cue of the page's own names (OFF, HEAD, ARTICLE) outweighs what
+#: a block's length and tag can say, and the edges of two neighbours; what hides an element outweighs all.
+BIAS, PER_LOG_WORD, SENTENCE, LINKS, HEAD_IN_ARTICLE, ARTICLE, HINT, RIGHTS = -1.2, 0.6, 0.5, -3.0, -1.0, 5.0, 2.0, -4.0
+OFF, MIXED, HEAD, UNSHOWN = -7.0, -3.0, -7.0, -20.0
 TAG = {"p": 0.8, "h1": 0.8, "h2": 0.3, "h3": 0.3, "h4": 0.3, "blockquote": 0.5, "pre": 0.5, "li": -0.3, "td": -0.2, "th": -0.2}
+#: Words from which on a block counts as prose.
+PROSE = 8
+
+
+def belief_of(blocks: list[Block], weights: dict[int, float], leads: set[int]) -> dict[int, float]:
+    """How far, from 0 to 1, the cue of each element with one is believed: fully, unless it holds the page's first heading
+    or article; then by the share of the page's prose outside it."""
+    inside, total = dict.fromkeys(weights, 0), 0
+    for b in blocks:
+        if b.text.count(" ") + 1 >= PROSE:
+            plain = len(b.text) - min(b.linked, len(b.text))
+            total += plain
+            for k in b.off:
+                inside[k] += plain
+    return {k: 1 - inside[k] / total if k in leads and total and w > UNSHOWN else 1.0 for k, w in weights.items()}
 
 
-def score(b: Block) -> float:
+def score(b: Block, weights: dict[int, float], belief: dict[int, float]) -> float:
     """Log odds that a block is content."""
     words = b.text.count(" ") + 1
     x = BIAS + PER_LOG_WORD * math.log1p(words) + TAG.get(b.tag, 0.0)
@@ -257,18 +289,13 @@ def score(b: Block) -> float:
         x += SENTENCE
     if words < 40 and (b.text[0] == "©" or "all rights reserved" in b.text.lower() or b.text.lower().startswith("copyright")):
         x += RIGHTS
-    if b.off:
-        x += OFF
-    if b.head:
-        x += HEAD_IN_ARTICLE if b.article else HEAD
-    if b.article:
-        x += ARTICLE
-    if b.hint:
-        x += HINT
-    return x
+    place = ARTICLE * b.article + HINT * b.hint + (HEAD_IN_ARTICLE if b.article else HEAD) * b.head
+    for k in b.off:  # the inner element's cue replaces what is known so far, as far as it is believed
+        place = min(place, place * (1 - belief[k]) + weights[k] * belief[k])
+    return x + place
 
 
-ADJACENT, SIBLING, UNIT = 1.5, 0.5, 1000
+ADJACENT, SIBLING, UNIT = 2.0, 0.5, 1000
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
@@ -367,8 +394,9 @@ def _cut(free: list[int], own: list[int], near: list[dict[int, int]]) -> list[bo
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page) if page else []
-    labels = max_flow_labels([round(UNIT * score(b)) for b in blocks], edges_of(blocks))
+    blocks, weights, leads = blocks_of(page) if page else ([], {}, set())
+    belief = belief_of(blocks, weights, leads)
+    labels = max_flow_labels([round(UNIT * score(b, weights, belief)) for b in blocks], edges_of(blocks))
     return "\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
 
 

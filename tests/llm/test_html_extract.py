@@ -61,3 +61,31 @@ def test_frames(spark):
     n = len(H.main_text(PAGE))
     assert got == [(1, "", 0), (2, "A head", n), (2, "A head", n)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def labelled(page):
+    blocks, weights, leads = H.blocks_of(page)
+    belief = H.belief_of(blocks, weights, leads)
+    own = [round(H.UNIT * H.score(b, weights, belief)) for b in blocks]
+    return {b.text: (x > 0, y) for b, x, y in zip(blocks, own, H.max_flow_labels(own, H.edges_of(blocks)), strict=True)}
+
+
+LONG = "This is a long paragraph of running text that talks about the matter at hand, and then some more of it."
+
+
+def test_neighbours_outvote_a_short_block():
+    page = f"<body><div class=menu><a href=/>Home</a></div><div><h1>Title</h1><p>{LONG}</p><ul><li>One item<li>Two</ul><p>{LONG}!</p></div><div>Impressum</div></body>"
+    got = labelled(page)
+    assert got["One item"] == got["Two"] == (False, True) and got["Home"] == (False, False)
+    assert H.main_text(page).split("\n")[:5] == ["Title", LONG, "One item", "Two", f"{LONG}!"]
+
+
+def test_a_wrapper_named_like_boilerplate_keeps_its_article():
+    for name in ("post-comments-enabled", "sidebar-right", "elementor-widget-container", "newsletter-page"):
+        inner = f"<article><h1>T</h1><p>{LONG}</p><div class=ad><p>Buy these fine shoes, they are cheaper today.</p></div><p>{LONG}!</p></article>"
+        page = f'<body><nav><a href="/">Home</a></nav><div class="{name}">{inner}</div><footer>The paper</footer></body>'
+        assert H.main_text(page).split("\n") == ["T", LONG, f"{LONG}!"], name
+    comments = "".join(f'<article class="comment"><h3>Re: T</h3><p>{LONG} I think so too.</p></article>' for _ in range(9))
+    page = f'<body><article><h1>T</h1><p>{LONG}</p></article><section class="comments">{comments}</section></body>'
+    assert H.main_text(page).split("\n") == ["T", LONG]
+    assert H.main_text(f'<body><div hidden><h1>T</h1><p>{LONG}</p></div></body>') == ""
