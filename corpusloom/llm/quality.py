@@ -2,16 +2,18 @@
 
 Two generative bag-of-n-grams models over hashed features: the target model from documents labelled good
 (a bounded sample, ``most_target``), the raw model from all documents. A document's log weight is the sum
-over its n-grams of log p_target - log p_raw. Sampling without replacement in proportion to the weights is
-Gumbel top-k: the k largest of log weight + Gumbel noise. The noise is a hash of the id, so that a rerun
-takes the same sample. k is either given, or follows from the labels: the cut in the perturbed weights that
-best parts good from bad labelled documents (losing a good one counts ``good_cost`` times), and k is the
-number of documents above it.
+over its n-grams of log p_target - log p_raw, tempered to ``TEMPER`` n-grams where it has more, so that long texts
+do not drown the noise. Sampling without replacement in proportion to the weights is Gumbel top-k: the k
+largest of log weight + Gumbel noise. The noise is a hash of the id, so that a rerun takes the same sample.
+k is either given, or follows from the labels: the cut in the bare weights that best parts good from bad
+labelled documents (losing a good one counts ``good_cost`` times), and k is the number of documents above it.
 
 n-grams are words and runs of punctuation, pairs of neighbours, and one feature for a token that repeats
 the one before.
 
-Defined results: null and empty texts have log weight 0; repeated documents get repeated rows; repeated
+Defined results: null, empty and other texts without n-grams carry no evidence, have log weight 0 and the key
+infinity, and are always kept; texts of any length are read whole, a slice of rows at a time; at equal keys the
+lesser id goes first, and rows equal in both stay together; rows without an id draw one noise; repeated
 labels of a document count once, the least of them; with no good labels all weights are 0, and with only
 one class of labels all documents are kept; an empty table gives an empty result; other columns pass
 through ``keep_good`` untouched and are otherwise not read.
@@ -27,11 +29,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.llm.arrow import slices
+from corpusloom.llm.common import cut
 from corpusloom.llm.memory import held
 from corpusloom.llm.shingles import U, mix
 
@@ -39,6 +42,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 16
 BUCKETS = 1 << BITS
 REPEAT = 0
+#: n-grams whose evidence counts in full; of a longer text the mean of all counts as often.
+TEMPER = 20
 REMEMBERED_WORDS = 200_000
 
 
@@ -88,7 +93,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     log_ratio: np.ndarray  # by bucket, float64
-    cut: float = -math.inf  # perturbed weights under it are rejected
+    cut: float = -math.inf  # k is the number of documents whose weight is not under it
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -103,30 +108,38 @@ def gumbel(ids: list, seed: int) -> np.ndarray:
     return -np.log(-np.log((u + 0.5) / 2.0**64))
 
 
-def _weigh(ratio: np.ndarray, seed: int, cut: float | None, id_at: int, text_at: int):
-    """Adds (log_weight, key) as the last columns; with a cut, keeps the rows at or over it and adds nothing."""
+def weight_of(ratio: np.ndarray, text: str | None) -> float:
+    """The tempered log weight of a text; nan without n-grams."""
+    f = features(text)
+    return float(ratio[f].sum() * min(1.0, TEMPER / len(f))) if len(f) else math.nan
+
+
+def _weigh(ratio: np.ndarray, seed: int, edge: tuple | None, id_at: int, text_at: int):
+    """Adds (log_weight, key) as the last columns; with an edge (key, id), keeps the rows up to it and adds nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                weight = np.array([ratio[features(t)].sum() for t in part.column(text_at).to_pylist()])
-                key = weight + gumbel(part.column(id_at).to_pylist(), seed)
-                if cut is not None:
-                    yield part.filter(pa.array(key >= cut))
+                ids = part.column(id_at).to_pylist()
+                weight = np.array([weight_of(ratio, t) for t in part.column(text_at).to_pylist()])
+                key = np.where(np.isnan(weight), np.inf, weight + gumbel(ids, seed))
+                if edge is not None:
+                    kept = [k > edge[0] or k == edge[0] and (i is None or edge[1] is not None and i <= edge[1]) for k, i in zip(key, ids, strict=True)]
+                    yield part.filter(pa.array(kept, pa.bool_()))
                 else:
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(weight), pa.array(key)], names=[*part.schema.names, "log_weight", "key"]
+                        [*part.columns, pa.array(np.nan_to_num(weight, nan=0.0)), pa.array(key)], names=[*part.schema.names, "log_weight", "key"]
                     )
 
     return run
 
 
-def best_cut(keys: np.ndarray, good: np.ndarray, good_cost: float) -> float:
+def best_cut(weights: np.ndarray, good: np.ndarray, good_cost: float) -> float:
     """The cut with the least cost, in the middle of its widest equally good gap."""
     if len(set(good.tolist())) < 2:
         return -math.inf
-    order = np.argsort(keys, kind="stable")
-    k, g = keys[order], good[order]
+    order = np.argsort(weights, kind="stable")
+    k, g = weights[order], good[order]
     lost = np.concatenate([[0], np.cumsum(g == 1)]) / (g == 1).sum() * good_cost
     kept = 1 - np.concatenate([[0], np.cumsum(g == 0)]) / (g == 0).sum()
     cost = lost + kept
@@ -160,9 +173,9 @@ def train(
     model = Model(log_ratio(raw, target))
     judged = docs.join(sample, "id").select("id", "text", "good")
     schema = StructType([*judged.schema.fields, StructField("log_weight", DoubleType()), StructField("key", DoubleType())])
-    rows = judged.mapInArrow(_weigh(model.log_ratio, seed, None, 0, 1), schema).select("key", "good").collect()
+    rows = judged.mapInArrow(_weigh(model.log_ratio, seed, None, 0, 1), schema).where("key < double('inf')").select("log_weight", "good").collect()
     if rows:
-        model.cut = best_cut(np.array([r["key"] for r in rows]), np.array([r["good"] for r in rows]), good_cost)
+        model.cut = best_cut(np.array([r["log_weight"] for r in rows]), np.array([r["good"] for r in rows]), good_cost)
     return model
 
 
@@ -173,34 +186,63 @@ def weigh(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return docs.mapInArrow(_weigh(model.log_ratio, seed, None, 0, 1), schema).drop(text_col)
 
 
-def keep_good(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """The rows of ``df`` in the Gumbel top-k of the model's cut, with all their columns."""
+def size_of(weighed: DataFrame, model: Model) -> int:
+    """k: how many documents the model's cut would keep, those without n-grams included."""
+    return weighed.where((F.col("log_weight") >= model.cut) | (F.col("key") == float("inf"))).count()
+
+
+def keep_good(df: DataFrame, model: Model, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+    """The rows of ``df`` in the Gumbel top-k, with all their columns: texts are weighed again rather than shuffled."""
+    weighed = cut(weigh(df, model, id_col, text_col, seed))
+    edge = edge_of(weighed, size_of(weighed, model) if k is None else k, id_col)
+    if edge is None:
+        return df
     at = [df.columns.index(c) for c in (id_col, text_col)]
-    return df.mapInArrow(_weigh(model.log_ratio, seed, model.cut, *at), df.schema)
+    return df.mapInArrow(_weigh(model.log_ratio, seed, edge, *at), df.schema)
 
 
-def gumbel_top_k(weighed: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """The k rows with the largest keys (ties by id), found by narrowing a threshold, not by a global sort."""
-    top, low, high = weighed, None, None
-    spread = weighed.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+def edge_of(weighed: DataFrame, k: int, id_col: str = "doc_id") -> tuple | None:
+    """(key, id) of the last of the k rows with the largest keys (ties by id), found by narrowing a threshold, not by a
+    global sort; None if all rows are among them."""
+    finite = F.when(F.abs("key") < float("inf"), F.col("key"))
+    spread = weighed.agg(F.min(finite), F.max(finite), F.count(F.lit(1)), F.count(F.when(F.col("key") == float("inf"), 1))).first()
     if spread[2] <= k:
-        return weighed
-    low, high, above = spread[0], spread[1], 0
+        return None
+    if k <= 0:
+        return math.inf, None  # beyond all rows with an id
+    low, high, above = spread[0], spread[1], spread[3]
+    if above >= k:
+        low = high = math.inf
+        above = 0
     for _ in range(40):
         # ``above`` rows are over high; the threshold is in [low, high].
         width = (high - low) / 256
-        if width <= 0:
+        if not 0 < width < math.inf:
             break
         slot = F.least(F.floor((F.col("key") - low) / width), F.lit(255))
-        rows = top.where((F.col("key") >= low) & (F.col("key") <= high)).groupBy(slot.alias("s")).agg(
+        rows = weighed.where((F.col("key") >= low) & (F.col("key") <= high)).groupBy(slot.alias("s")).agg(
             F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")
         )
-        for r in sorted(rows.collect(), key=lambda r: -r["s"]):
+        for r in sorted(rows.collect(), key=lambda r: -r["s"]):  # at most 256 rows
             if above + r["n"] >= k:
                 low, high, inside = r["lo"], r["hi"], r["n"]
                 break
             above += r["n"]
         if inside <= 1000 or low == high:
             break
-    edge = weighed.where((F.col("key") >= low) & (F.col("key") <= high)).orderBy(F.desc("key"), id_col).limit(k - above)
-    return weighed.where(F.col("key") > high).union(edge)
+    top = weighed.where((F.col("key") >= low) & (F.col("key") <= high)).orderBy(F.desc("key"), id_col).limit(k - above)
+    last = top.orderBy("key", F.desc(id_col)).first()
+    return last["key"], last[id_col]
+
+
+def in_top(edge: tuple | None, id_col: str = "doc_id") -> Column:
+    """Whether a row of (id, key) lies up to the edge."""
+    if edge is None:
+        return F.lit(True)
+    same = F.col(id_col).isNull() if edge[1] is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(edge[1]))
+    return (F.col("key") > edge[0]) | (F.col("key") == edge[0]) & same
+
+
+def gumbel_top_k(weighed: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+    """The k rows with the largest keys (ties by id; rows equal in both stay together)."""
+    return weighed.where(in_top(edge_of(weighed, k, id_col), id_col))
