@@ -4,22 +4,26 @@ Calls and results of chat conversations are joined by (conversation, identifier)
 topological order: a call whose arguments refer to another call's result, as {"$ref": "<identifier>"},
 comes a level after it, a result belongs to its call's level, and inside a level calls go by turn and place.
 Arguments are validated against the tools' schemas, and every call with its result is serialised as
-canonical JSON: keys sorted, no white space, strict JSON only.
+canonical JSON: keys sorted, no white space, strict JSON only: a text that goes on after its value is none.
 
 Conversations are never gathered: a conversation of any length is joined row by row, and identifiers that
-many rows share are aggregated before they are shuffled.
+many rows share are aggregated before they are shuffled. Chains of calls that refer to one other call each are
+followed by pointer doubling, in as many rounds as the logarithm of their length; calls that refer to
+several wait for those, a round for each such call on the longest path.
 
 Defined results: of several calls, or results, with one identifier in a conversation the first by turn,
 then by content, counts and ``copies`` says how many there were; results without a call are rows of their
 own with status "orphan", and so are tool turns that are no envelope, with an error and their text as result
 (equal ones of one turn are one row); calls whose arguments are no JSON object, or break the schema, or refer to one
 another in a circle (level null) stay, with their errors; rows without a conversation or identifier never
-link; null and empty texts are contents like others; empty tables give an empty result; only the named
+link; null, empty and very long texts are contents like others; calls of equal level, turn and place go by identifier; empty tables give an empty result; only the named
 columns are read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +46,30 @@ REF = r'"\$ref"\s*:\s*"([^"\\]+)"'
 CALLS = "try_variant_get(v, '$.tool_calls', 'array<variant>')"
 
 
+def strict(text: str) -> str:
+    """SQL of the variant of a JSON text, null where it is none. The parser takes a text that goes on after its value, so
+    it gets an array that ends with the text's checksum, and has to find both."""
+    array = f"try_variant_get(try_parse_json(concat('[', {text}, ',', crc32({text}), ']')), '$', 'array<variant>')"
+    return f"transform(array({array}), a -> if(size(a) = 2 AND try_variant_get(a[1], '$', 'bigint') = crc32({text}), a[0], NULL))[0]"
+
+
+def _braced() -> Column:
+    return F.coalesce(F.col("text").rlike(r"^[\x20\t\n\r]*\{"), F.lit(False))
+
+
 def holds_calls() -> Column:
     """Whether an assistant turn's ``text`` is an envelope of one call or more."""
-    some = F.expr(f"coalesce(size({CALLS.replace('(v,', '(try_parse_json(text),')}), 0) > 0")
-    return F.when(F.ltrim("text").startswith("{"), some).otherwise(False)
+    some = F.expr(f"coalesce(size({CALLS.replace('(v,', '(' + strict('text') + ',')}), 0) > 0")
+    return F.when(_braced(), some).otherwise(False)
 
 
 def events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of messages (conv_id, turn, role, text) in envelopes: {"tool_calls": [{"id", "name",
     "arguments"}]} in assistant turns, {"tool_call_id", "content"} in tool turns. Tool turns that are none are
     results without an identifier, with an error."""
-    envelope = F.ltrim("text").startswith("{")
+    envelope = _braced()
     parsed = messages.where((F.col("role") == "tool") | (envelope & (F.col("role") == "assistant"))).select(
-        "conv_id", "turn", "role", "text", F.when(envelope, F.expr("try_parse_json(text)")).alias("v")
+        "conv_id", "turn", "role", "text", F.when(envelope, F.expr(strict("text"))).alias("v")
     )
     one = F.posexplode(F.expr(CALLS)).alias("place", "c")
     calls = parsed.where("role = 'assistant'").select("conv_id", "turn", one).select(
@@ -99,23 +114,58 @@ def schema_errors(schemas: Schemas) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame | None:
-    """(conv_id, call_id, level) of calls that depend on others, None if none does. Calls in a circle are missing."""
+    """(conv_id, call_id, level) of calls that depend on others, None if none does. Calls in a circle, or after one, are
+    missing."""
     ids = calls.select("conv_id", F.col("call_id").alias("dep")).where("conv_id IS NOT NULL AND dep IS NOT NULL")
     refs = calls.select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(REF), F.lit(1))).alias("dep"))
     deps = cut(refs.join(ids, ["conv_id", "dep"], "left_semi").distinct())
     if deps.isEmpty():
         return None
-    waiting = deps.select("conv_id", "call_id").distinct()
-    free = deps.select("conv_id", F.col("dep").alias("call_id")).distinct().join(waiting, ["conv_id", "call_id"], "left_anti")
-    done = cut(free.select("conv_id", "call_id", F.lit(0).alias("level")))
-    while True:
-        known = deps.join(done.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left")
-        ready = known.groupBy("conv_id", "call_id").agg(F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open"))
-        ready = ready.where("open = 0").join(done, ["conv_id", "call_id"], "left_anti")
-        new = cut(ready.select("conv_id", "call_id", (F.col("top") + 1).alias("level")))
+    same = ["conv_id", "call_id"]
+    number = deps.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    free = deps.select("conv_id", F.col("dep").alias("call_id")).distinct().join(number.select(*same), same, "left_anti")
+    ways = _followed(cut(number.where("n = 1").select(*same, "dep")))
+    known = [cut(free.withColumn("level", F.lit(0).cast("long")))]
+    # Calls with several dependencies, each at the end of a way or met at once.
+    end = ways.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("end"), F.col("far").alias("more"))
+    single = number.where("n = 1").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("single"))
+    waiting = (
+        deps.join(number.where("n > 1").select(*same), same).join(end, ["conv_id", "dep"], "left").join(single, ["conv_id", "dep"], "left")
+        .select(*same, F.when(F.col("single"), F.col("end")).otherwise(F.col("dep")).alias("dep"), (1 + F.coalesce("more", F.lit(0))).alias("far"))
+        .withColumn("top", F.lit(None).cast("long"))
+    )
+    waiting = cut(waiting)
+    while not waiting.isEmpty():
+        now = known[-1].select("conv_id", F.col("call_id").alias("dep"), "level")
+        met = waiting.join(now, ["conv_id", "dep"], "left").select(*same, "dep", "far", F.coalesce("top", F.col("level") + F.col("far")).alias("top"))
+        waiting = cut(met)
+        ready = waiting.groupBy(*same).agg(F.max("top").alias("level"), F.count_if(F.col("top").isNull()).alias("open"))
+        new = cut(ready.where("open = 0").select(*same, "level"))
+        if new.isEmpty():
+            break  # what is left waits for circles
+        known.append(new)
+        waiting = cut(waiting.join(new.select(*same), same, "left_anti"))
+    ends = reduce(DataFrame.union, known)
+    last = ends.select("conv_id", F.col("call_id").alias("dep"), "level")
+    return ends.union(ways.join(last, ["conv_id", "dep"]).select(*same, (F.col("level") + F.col("far")).alias("level")))
+
+
+def _followed(ways: DataFrame) -> DataFrame:
+    """(conv_id, call_id, dep, far): where the way of each call (conv_id, call_id, dep) ends, and after how many steps, by
+    doubling. Ways that run in circles are missing."""
+    own = ways.select("conv_id", F.col("call_id").alias("dep"), F.lit(False).alias("ended"))
+    first = cut(ways.join(own, ["conv_id", "dep"], "left").select("conv_id", "call_id", "dep", F.lit(1).cast("long").alias("far"), F.coalesce("ended", F.lit(True)).alias("ended")))
+    done, going = [first.where("ended")], first.where("NOT ended")
+    while not going.isEmpty():
+        ahead = reduce(DataFrame.union, [*done, going]).select(
+            "conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("far").alias("more"), F.col("ended").alias("ends")
+        )
+        step = cut(going.join(ahead, ["conv_id", "dep"]).select("conv_id", "call_id", F.col("next").alias("dep"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("ended")))
+        new, going = step.where("ended"), step.where("NOT ended")
         if new.isEmpty():
-            return done
-        done = cut(done.union(new))
+            break
+        done.append(new)
+    return reduce(DataFrame.union, done).drop("ended")
 
 
 def _first(df: DataFrame, *content: str) -> DataFrame:
@@ -165,7 +215,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
             .drop("ordered", "bound")
         )
     checked = (
-        calls.withColumn("v", F.expr("try_parse_json(arguments)"))
+        calls.withColumn("v", F.expr(strict("arguments")))
         .withColumn("keys", F.when(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.json_object_keys("arguments")))
         .withColumn("errors", F.concat(schema_errors(schemas), F.when(F.col("level").isNull(), F.array(F.lit("order:circle"))).otherwise(F.array().cast("array<string>"))))
         .withColumn("plain", F.expr("to_json(v)"))

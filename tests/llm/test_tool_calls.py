@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from corpusloom.llm import tool_calls as T
 
@@ -62,7 +65,7 @@ def test_braces_are_no_envelopes(spark, tmp_path):
 
     plain = [
         (1, 0, "user", '{"a": 1}'), (1, 1, "assistant", "sure"), (1, 2, "user", "{% if x %}"), (1, 3, "assistant", '{"b": [2'),
-        (2, 0, "user", "give me json"), (2, 1, "assistant", ' {"tool_calls": []}'), (2, 2, "user", '{"tool_calls": [{"id": "u"}]}'),
+        (2, 0, "user", "give me json"), (2, 1, "assistant", '\n {"tool_calls": []}'), (2, 2, "user", '{"tool_calls": [{"id": "u"}]}'),
         (3, 0, "user", None), (3, 1, "assistant", '{"tool_calls": not json'), (4, 1, "assistant", "{"),
     ]
     tools = [
@@ -81,3 +84,47 @@ def test_braces_are_no_envelopes(spark, tmp_path):
     broken = sorted((r.result_turn, r.status, r.errors, r.copies, json.loads(r.record)["result"]) for r in rest if r.call_id is None)
     e = "result:no envelope"
     assert broken == [(2, "orphan", e, 1, '{"tool_call_id": '), (3, "orphan", e, 1, '{"content": 2}'), (4, "orphan", e, 2, "oh"), (5, "orphan", e, 1, "")]
+
+
+def leveled(deps):
+    """Levels by waiting for all that a call refers to; calls in or after a circle are missing."""
+    known = {}
+    while True:
+        new = {k: 1 + max((known[d] for d in ds if d in deps), default=-1) for k, ds in deps.items() if k not in known and all(d in known for d in ds if d in deps)}
+        if not new:
+            return known
+        known |= new
+
+
+def test_levels_equal_brute_force(spark):
+    rng = random.Random(6)
+    calls, want = [], {}
+    for conv in range(60):
+        n = rng.choice((1, 4, 12, 40))
+        deps = {f"c{k}": sorted({f"c{rng.randrange(n)}" if rng.random() < 0.02 else f"c{rng.randrange(k)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))} if k else []) for k in range(n)}
+        if conv % 9 == 0:
+            deps["c0"] = [f"c{n - 1}"]
+        want |= {(conv, k): v for k, v in leveled(deps).items() if any(d in deps for d in deps[k])}
+        calls += [(conv, k, 0, 0, "f", json.dumps({"a": [{"$ref": d} for d in ds], "b": {"$ref": "gone"}})) for k, ds in deps.items()]
+    calls += [(100, f"c{k}", 0, 0, "f", json.dumps({"a": {"$ref": f"c{k - 1}"}})) for k in range(300)]
+    want |= {(100, f"c{k}"): k for k in range(1, 300)}
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, place int, name string, arguments string").repartition(5)
+    got = {(r.conv_id, r.call_id): r.level for r in T.levels(df).collect()}
+    assert {k: v for k, v in got.items() if v} == want and len(want) > 500
+    assert not {(0, "c0")} & set(got)
+
+
+def test_envelopes_are_strict(spark):
+    texts = ['{"a":1}', ' {"a":[1,2]}', '{"a":1} x', '{"a":1},2', '{"a":1}]', "{'a':1}", '{"a":1', "", None, '{"a":1},0] y', "7", '{"a":"]"}']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k for r in df.select("k", F.expr(T.strict("t")).alias("v")).where("v IS NOT NULL").select("k").collect()}
+    assert got == {0, 1, 10, 11}
+
+
+def test_a_very_long_turn_and_ties(spark):
+    long = "x" * 3_000_000
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call("k", "add", a=1, note=long), call("j", "add", a=1)]})), (1, 1, "tool", json.dumps({"tool_call_id": "k", "content": long}))]
+    rows += [(1, 1, "tool", json.dumps({"tool_call_id": "j", "content": c})) for c in ("b", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in T.link(*T.events(df), SCHEMAS).collect()}
+    assert len(got["k"].record) > 6_000_000 and got["k"].errors == "" and json.loads(got["j"].record)["result"] == "a" and got["j"].copies == 3
