@@ -107,6 +107,41 @@ def widest_rewrite(c: Column) -> Column:
     return _struct(widest_object)(c)
 
 
+def has_rewrite(text: str | None) -> bool:
+    """The object from the first to the last brace after the last </think> has a string rewrite, be it empty."""
+    answer = (text or "").rsplit("</think>", 1)[-1]
+    low, high = answer.find("{"), answer.rfind("}")
+    try:
+        o = json.loads(answer[low : high + 1]) if 0 <= low < high else None
+    except ValueError:
+        return False
+    return isinstance(o, dict) and isinstance(o.get("rewrite"), str)
+
+
+def valid_reply(c: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(has_rewrite).astype("boolean")
+
+    return run(c)
+
+
+def strict_object(text: str | None) -> str | None:
+    """The text if all of it is a JSON object, else null."""
+    try:
+        return text if isinstance(json.loads(text or ""), dict) else None
+    except ValueError:
+        return None
+
+
+def object_text(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(strict_object)
+
+    return run(c)
+
+
 def issues_contract(c: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -159,10 +194,22 @@ def real_issues(issues: Column) -> Column:
 
 
 def filtered_output(c: Column) -> Column:
-    """struct<inventory, issues, parse_error>: what the text holds, without issues that are not real."""
-    v = F.from_json(c, ISSUES)
+    """struct<inventory, issues, parse_error>: what the text holds, without issues that are not real. A text that is no
+    object, by a strict decoder, is a parse error."""
+    v = F.from_json(object_text(c), ISSUES)
     return F.struct(
         F.coalesce(v["inventory"], F.array().cast("array<string>")).alias("inventory"),
         real_issues(v["issues"]).alias("issues"),
         (v.isNull() | (v["inventory"].isNull() & v["issues"].isNull())).alias("parse_error"),
     )
+
+
+def issue_types(issues: Column) -> Column:
+    """array<string>: the kinds that any of the issues names, each once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(issues, lambda i: all_types(i["type"])))))
+
+
+def raw_types(c: Column) -> Column:
+    """The kinds in an output as it is; none where it does not parse."""
+    v = F.from_json(object_text(c), ISSUES)
+    return F.coalesce(issue_types(v["issues"]), F.array().cast("array<string>"))

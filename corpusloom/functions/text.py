@@ -94,9 +94,10 @@ def quoted_literal(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def flat_content(parts: Column) -> Column:
-    """Text of message parts array<struct<type, text>>, joined by spaces."""
-    return F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), " ")
+def flat_content(parts: Column, plain: Column | None = None) -> Column:
+    """Text of message parts array<struct<type, text>>, joined by spaces; ``plain`` where the content is a string."""
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), " ")
+    return joined if plain is None else F.coalesce(plain, joined, F.lit(""))
 
 
 def wilson(x: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

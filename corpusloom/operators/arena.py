@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.split import side
+from corpusloom.operators.split import hash_sample, side
 
 #: The outcomes of a vote.
 WINNERS = ("finetune", "base", "tie", "both_bad")
@@ -55,6 +55,16 @@ def bars(tallied: DataFrame, least: int = 4) -> DataFrame:
     return tallied.withColumn("width", F.greatest(F.lit(least), F.round(100 * F.col("n") / most)).cast("int"))
 
 
+def drawn(briefs: DataFrame, key: Column, seed: str) -> DataFrame:
+    """One brief, by the hash of seed and key: another seed draws another one."""
+    return hash_sample(briefs, key, 1, seed)
+
+
+def dealt_arm(session: Column, arms: tuple[str, str] = WINNERS[:2]) -> Column:
+    """Which arm a session sees as a, by a hash that its arms do not show."""
+    return F.when(side(session, F.lit(arms[0]), F.lit(arms[1])) == 0, arms[0]).otherwise(arms[1])
+
+
 def pinned(rows: DataFrame, picks: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The picked rows by the picks' order; of rows with one key the one of the largest ``order`` counts. Picks are a short list."""
     last = rows.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rows.columns if c not in (*keys, order)])).alias("_r"))

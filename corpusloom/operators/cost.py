@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import wilson
+from corpusloom.operators.leakage import GateError, assert_empty
+from corpusloom.operators.split import ranges
 
 
 def run_summary(rows: DataFrame, prompt: str, completion: str, valid: Column, changed: Column, elapsed_s: float, load_s: float, usd_per_hour: float) -> DataFrame:
@@ -38,14 +40,41 @@ def at_list_prices(run: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def complete_runs(runs: DataFrame) -> DataFrame:
-    """Checkpoints of unfinished runs do not count."""
-    return runs.where(F.coalesce("complete", F.lit(False)))
+    """The runs; GateError if one is the checkpoint of an unfinished run."""
+    assert_empty(runs.where(~F.coalesce("complete", F.lit(False))), "unfinished runs")
+    return runs
 
 
 def running_totals(batches: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Adds running sums over a table of batches (one row each, few)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return batches.withColumns({f"total_{c}": F.sum(c).over(w) for c in columns})
+    """Adds running sums in an order without ties: inside ranges of ``order``, plus the sums of the ranges before."""
+    cut = batches.withColumn("_b", ranges(batches, order))
+    sums = cut.groupBy("_b").agg(*[F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns)])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over a few hundred rows
+    offsets = sums.select("_b", *[F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in range(len(columns))])
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(offsets), "_b")
+    return joined.select(*batches.columns, *[(F.sum(c).over(inside) + F.col(f"_o{k}")).alias(f"total_{c}") for k, c in enumerate(columns)])
+
+
+def ok_of_total(df: DataFrame, bucket: Column, ok: Column) -> DataFrame:
+    """(bucket, ok, total) by class of failure; rows without a class do not count."""
+    return df.select(bucket.alias("bucket"), ok.alias("_ok")).where("bucket IS NOT NULL").groupBy("bucket").agg(
+        F.count_if("_ok").alias("ok"), F.count(F.lit(1)).alias("total")
+    )
+
+
+def assert_counts(df: DataFrame, label: str, expected: dict[str, int], anchors: tuple[str, list[str]] | None = None) -> None:
+    """GateError unless every label occurs as often as expected, and all anchors occur in their column: a sample that was
+    drawn again is the same one."""
+    seen = {r["l"]: r["n"] for r in df.where(F.col(label).isin(*expected)).groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    off = {k: (n, seen.get(k, 0)) for k, n in expected.items() if seen.get(k, 0) != n}
+    if off:
+        raise GateError(f"counts drifted (expected, found): {off}")
+    if anchors is not None:
+        column, wanted = anchors
+        there = {r["v"] for r in df.where(F.col(column).isin(*wanted)).select(F.col(column).alias("v")).distinct().collect()}
+        if set(wanted) - there:
+            raise GateError(f"anchors missing: {sorted(set(wanted) - there)}")
 
 
 def rates(df: DataFrame, by: list[str], hit: Column, population: Column | None = None) -> DataFrame:

@@ -27,7 +27,13 @@ NOT_UI_PATH = (
     r"(?i)(\.test\.|\.spec\.|\.stories\.|__mocks__|/test/|/tests/|cypress|/e2e/|\.cy\."
     r"|mocks?\.tsx?$|fixtures|\.schemas?\.ts$|generated|schema\.json$)"
 )
-PRIMITIVES = "string number boolean object array null any void integer float bigint symbol undefined unknown never".split()
+PRIMITIVES = (
+    "string", "number", "boolean", "object", "array", "null", "any", "void", "integer", "float", "bigint", "symbol", "undefined",
+    "unknown", "never",
+)
+#: Lines of code around a value.
+BOUND_NAME, CONSTANT = r"""(?:^|[\s,{(\[])([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*['"]""", "^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$"
+TYPE_OF, COLOUR, NAME_KEY, MODULE = r"""['"]?type['"]?\s*:\s*['"]""", r"#[0-9a-fA-F]{3,8}\b", r"\bname\b\s*:", r"(?U)\([\w.\-]+\)\s*$"
 CSS_CHARS, CSS_MARK = r"^[a-z0-9:\[\]/.%#-]+$", r"[-0-9:\[\]/.%#]"
 
 
@@ -49,40 +55,36 @@ def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def _matches(text: Column, pattern: str, value: int, prefix: int | None, source: int) -> Column:
-    """array<struct<source, value, prefix, line>> of a pattern whose matches have no line feed after the value."""
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    zipped = F.arrays_zip(
-        F.transform(found, _newlines).alias("inside"),
-        F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), _newlines).alias("before"),
-        F.regexp_extract_all(text, p, F.lit(value)).alias("value"),
-        (F.regexp_extract_all(text, p, F.lit(prefix)) if prefix is not None else F.transform(found, lambda _: F.lit(""))).alias("prefix"),
-    )
-    kind = "array<struct<source:int,value:string,prefix:string,line:int>>"
+HITS = "array<struct<source:int,value:string,prefix:string,line:int>>"
+
+
+def _hits(found: Column, gaps: Column, pattern: str, value: int, prefix: int | None, source: int) -> Column:
+    """array<struct<source, value, prefix, line>> of a pattern's matches and the texts between them. Value and prefix
+    are read from each match, not from the text again; matches have no line feed after the value."""
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
 
     def step(acc: Column, x: Column) -> Column:
-        line = acc["line"] + x["before"] + x["inside"]
-        one = F.struct(F.lit(source).alias("source"), x["value"].alias("value"), x["prefix"].alias("prefix"), line.alias("line"))
+        line = acc["line"] + _newlines(x["gap"]) + _newlines(x["match"])
+        name = part(x["match"], prefix) if prefix is not None else F.lit("")
+        one = F.struct(F.lit(source).alias("source"), collapse(part(x["match"], value)).alias("value"), name.alias("prefix"), line.alias("line"))
         return F.struct(line.alias("line"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(1).alias("line"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+    zipped = F.arrays_zip(found.alias("match"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+    return F.aggregate(zipped, F.struct(F.lit(1).alias("line"), F.array().cast(HITS).alias("out")), step, lambda a: a["out"])
 
 
 def literals(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(path, *keep, source, value, prefix, line, lines) of all pattern matches: literals (0) and tag texts (1), or the
-    key and value pairs (2) of .json files."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    own = F.when(F.lower(path).endswith(".json"), _matches(t, JSON_PAIR, 2, 1, 2)).otherwise(
-        F.concat(_matches(t, LITERAL, 3, 1, 0), _matches(t, TAG_TEXT, 1, None, 1))
-    )
-    return (
-        files.select(path, *keep, F.split(t, "\n", -1).alias("lines"), own.alias("found"))
-        # An outer explode: for a plain one a filter would be inferred that finds all matches once more.
-        .select(path, *keep, "lines", F.explode_outer("found").alias("m"))
-        .where("m IS NOT NULL")
-        .select(path, *keep, "m.source", collapse(F.col("m.value")).alias("value"), "m.prefix", "m.line", "lines")
+    """(path, *keep, hits array<struct<source, value, prefix, line>>, lines), a row a file: literals (0) and tag texts
+    (1), or the key and value pairs (2) of .json files. Each pattern runs over a text twice."""
+    t, is_json = F.coalesce(F.col(text), F.lit("")), F.lower(path).endswith(".json")
+    own = lambda pattern, of: (F.when(of, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), F.when(of, F.split(t, pattern, -1)))
+    kinds = {"literal": (LITERAL, ~is_json), "tag": (TAG_TEXT, ~is_json), "pair": (JSON_PAIR, is_json)}
+    parts = [c.alias(f"_{k}_{n}") for k, (pattern, of) in kinds.items() for n, c in zip(("found", "gaps"), own(pattern, of))]
+    col = lambda k: (F.col(f"_{k}_found"), F.col(f"_{k}_gaps"))
+    hits = F.when(is_json, _hits(*col("pair"), JSON_PAIR, 2, 1, 2)).otherwise(
+        F.concat(_hits(*col("literal"), LITERAL, 3, 1, 0), _hits(*col("tag"), TAG_TEXT, 1, None, 1))
     )
+    return files.select(path, *keep, F.split(t, "\n", -1).alias("lines"), *parts).select(path, *keep, hits.alias("hits"), "lines")
 
 
 def interesting(v: Column) -> Column:
@@ -106,22 +108,21 @@ def ui_shape(v: Column) -> Column:
 
 def constant_value(v: Column, line: Column) -> Column:
     """The line binds the value to a constant in capitals, or to a name that equals it."""
-    head = F.lit(r"""(?:^|[\s,{(\[])([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*['"]""")
-    key = F.call_function("regexp_extract", line, F.concat(head, quoted_literal(v), F.lit("['\"]")), F.lit(1))
-    return (key != "") & (key.rlike("^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$") | (F.lower(key) == F.lower(v)))
+    key = F.call_function("regexp_extract", line, F.concat(F.lit(BOUND_NAME), quoted_literal(v), F.lit("['\"]")), F.lit(1))
+    return (key != "") & (key.rlike(CONSTANT) | (F.lower(key) == F.lower(v)))
 
 
 def type_annotation(v: Column, line: Column) -> Column:
-    pattern = F.concat(F.lit(r"""['"]?type['"]?\s*:\s*['"]"""), quoted_literal(v), F.lit("['\"]"))
+    pattern = F.concat(F.lit(TYPE_OF), quoted_literal(v), F.lit("['\"]"))
     return F.lower(v).isin(*PRIMITIVES) & F.regexp_like(line, pattern)
 
 
 def colour_map(line: Column) -> Column:
-    return line.rlike(r"#[0-9a-fA-F]{3,8}\b") & line.rlike(r"\bname\b\s*:")
+    return line.rlike(COLOUR) & line.rlike(NAME_KEY)
 
 
 def module_path(v: Column) -> Column:
-    return v.rlike(r"(?U)\([\w.\-]+\)\s*$")
+    return v.rlike(MODULE)
 
 
 def not_ui(v: Column, line: Column) -> Column:
@@ -152,18 +153,26 @@ def context(lines: Column, line: Column, window: int = WINDOW) -> Column:
     return F.array_join(F.transform(part, lambda x, k: F.concat((first + k).cast("string"), F.lit(": "), x)), "\n")
 
 
-def candidates(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(path, *keep, line, kind, current_copy, context) of all strings that pass the gates."""
-    v, p = F.col("value"), F.col(path)
-    return (
-        literals(files, path, text, keep)
-        .where(interesting(v))
-        .withColumn("line_text", F.coalesce(F.try_element_at("lines", F.col("line")), F.lit("")))
-        .where(ui_copy(v, F.col("line_text"), p))
-        .withColumn("context", context(F.col("lines"), F.col("line")))
-        .where(F.length("context") <= MOST_CONTEXT)
-        .select(path, *keep, "line", kind(F.col("prefix"), v, p).alias("kind"), v.alias("current_copy"), "context")
-    )
+def candidates(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """(path, *keep, line, kind, current_copy, context) of all strings that pass the gates. Gates and contexts work inside
+    a file's row, so that only what passes becomes a row, without the file's lines. ``most``: the first ones in the
+    order of paths and, in a file, of patterns and places."""
+    p, lines = F.col(path), F.col("lines")
+
+    def passes(h: Column) -> Column:
+        line = F.coalesce(F.try_element_at(lines, h["line"]), F.lit(""))
+        return interesting(h["value"]) & ui_shape(h["value"]) & ~not_ui(h["value"], line)
+
+    def row(h: Column) -> Column:
+        around = context(lines, h["line"]).alias("context")
+        return F.struct(h["line"].alias("line"), kind(h["prefix"], h["value"], p).alias("kind"), h["value"].alias("current_copy"), around)
+
+    found = F.filter(F.transform(F.filter("hits", passes), row), lambda c: F.length(c["context"]) <= MOST_CONTEXT)
+    # An outer explode: for a plain one a filter would be inferred that finds all matches once more.
+    out = literals(files.where(ui_path(p)), path, text, keep).select(path, *keep, F.posexplode_outer(found).alias("_at", "c")).where("c IS NOT NULL")
+    if most is not None:
+        out = out.orderBy(path, "_at").limit(most)
+    return out.select(path, *keep, "c.*")
 
 
 def source_line(context_col: Column, line: Column) -> Column:

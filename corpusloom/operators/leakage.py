@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import stem, words
+from corpusloom.functions.text import phrases, stem, words
 
 #: Phrases of a source that a join may broadcast.
 BROADCAST_PHRASES = 1_000_000
@@ -16,20 +16,29 @@ class GateError(RuntimeError):
 
 
 def _phrase_hashes(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
-    """(*keep, h, g): two independent hashes, 96 bits, of every n-word phrase. Words are found once a row, and no
-    phrase is ever built as a string."""
+    """(*keep, h): a hash of every n-word phrase, made of the hashes of its words; no phrase is built as a string."""
+    hashed = df.select(*keep, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("_w"))
     last = F.size("_w") - (n - 1)
-    pair = lambda i: F.struct(F.xxhash64(F.slice("_w", i, n)).alias("h"), F.hash(F.slice("_w", i, n)).alias("g"))
-    each = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), pair))
-    return df.select(*keep, words(F.col(text)).alias("_w")).select(*keep, F.explode(each).alias("_p")).select(*keep, "_p.h", "_p.g")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, n)))
+    return hashed.select(*keep, F.explode(F.when(last > 0, each)).alias("h"))
 
 
 def copies_source(df: DataFrame, sources: DataFrame, id_col: str, text: str = "text", source_text: str = "text", n: int = 14) -> DataFrame:
-    """(id) of the rows that hold an n-word phrase of a source."""
+    """(id) of the rows that hold an n-word phrase of a source. Hashes find the rows, and only theirs are compared word
+    by word."""
     known = _phrase_hashes(sources, source_text, n).distinct()
     if known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
         known = F.broadcast(known)
-    return _phrase_hashes(df, text, n, id_col).join(known, ["h", "g"], "left_semi").select(id_col).distinct()
+    likely = _phrase_hashes(df, text, n, id_col).join(known, "h", "left_semi").select(id_col).distinct()
+    spelled = lambda of, t, *keep: of.select(*keep, F.explode(phrases(words(F.col(t)), n)).alias("_phrase"))
+    mine = spelled(df.join(likely, id_col, "left_semi"), text, id_col)
+    return mine.join(spelled(sources, source_text).distinct(), "_phrase", "left_semi").select(id_col).distinct()
+
+
+def collisions(df: DataFrame, known: DataFrame, content: str, known_content: str, known_path: str) -> DataFrame:
+    """The rows whose content's SHA-256 is that of a known row, with ``matched``: the first path of such a row."""
+    paths = known.groupBy(F.sha2(F.col(known_content), 256).alias("_h")).agg(F.min(known_path).alias("matched"))
+    return df.withColumn("_h", F.sha2(F.col(content), 256)).join(paths, "_h").drop("_h")
 
 
 def same_content(df: DataFrame, known: DataFrame, content: str, known_content: str) -> DataFrame:
@@ -42,6 +51,7 @@ def denied(df: DataFrame, denylist: list[str], path: Column, substrate: Column)
     """``df`` with by_name (the path's stem is on the list) and by_substrate (the text names an entry),
     rows with neither left out. The list is a literal of a few entries, so no join is needed."""
     low = F.lower(F.coalesce(substrate, F.lit("")))
+    denylist = [entry.lower() for entry in denylist]
     by_text = F.lit(False)
     for entry in denylist:
         by_text = by_text | low.contains(entry)

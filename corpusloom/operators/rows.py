@@ -125,6 +125,22 @@ def before_vote(df: DataFrame) -> DataFrame:
     return df.drop(*HIDDEN)
 
 
+def after_vote(df: DataFrame, id_col: str) -> DataFrame:
+    """What the vote revealed: the id and the columns that were hidden."""
+    return df.select(id_col, *[c for c in df.columns if c in HIDDEN])
+
+
+def brief_prompt(category: Column, surface: Column, current: Column) -> Column:
+    """The prompt of an arena brief, in the labels that models were tuned on (fixed values)."""
+    fields = {
+        "Product surface": surface, "Audience": F.lit("general product user"),
+        "User state": F.concat(F.lit("interacting with this "), F.replace(category, F.lit("_"), F.lit(" "))),
+        "Content type": category, "Current copy": current,
+    }
+    code = F.concat(F.lit("Code/context:\n"), F.coalesce(current, F.lit("")))
+    return F.concat_ws("\n", prompt(fields), code, F.lit("Constraints: Preserve the intended product behavior."))
+
+
 def rubric(rules: DataFrame, group: str, text: str, order: str) -> DataFrame:
     """(group, rubric): the rules of each group as bullet lines, in order. Rubrics are a page of text."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.concat(F.lit("- "), x[text]))

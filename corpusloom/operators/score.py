@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,34 @@ def slices(df: DataFrame, gold: str, predicted: str, natural: Column, types: tup
     return recall(bugs.withColumn("slice", F.explode(names)), gold, predicted, ["slice"])
 
 
+def two_systems(df: DataFrame, systems: dict[str, tuple[str, str]], natural: Column, types: tuple[str, ...]) -> DataFrame:
+    """(system, slice, tp, fn, recall, over_flags, n) of rows with gold labels (gold, clean) for each system's columns
+    (its label set, its number of flags). Slices are natural, full, multi and one for each type; recall is null
+    where a type has no rows. over_flags and n are those of the slice clean, and n the rows of the others."""
+    bugs, parts = df.where("NOT clean"), []
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(s,) for s in ("natural", "full", "multi", *[f"type:{t}" for t in types])], "slice string")
+    for name, (predicted, flags) in systems.items():
+        named = F.array_compact(
+            F.array(F.lit("full"), F.when(natural, "natural"), F.when(F.size("gold") >= 2, "multi"), *[F.when(F.array_contains("gold", t), f"type:{t}") for t in types])
+        )
+        each = bugs.withColumn("slice", F.explode(named))
+        n = each.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+        found = recall(each, "gold", predicted, ["slice"]).join(n, "slice")
+        found = wanted.join(found, "slice", "left")  # a row a slice on either side
+        zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fn")]
+        empty = F.when(~F.col("slice").startswith("type:"), 0.0)
+        parts.append(found.select(F.lit(name).alias("system"), "slice", *zero, F.coalesce("recall", empty).alias("recall"), F.lit(None).cast("long").alias("over_flags"), F.coalesce("n", F.lit(0)).alias("n")))
+        null = F.lit(None)
+        parts.append(
+            df.where("clean").agg(F.coalesce(F.sum(flags), F.lit(0)).cast("long").alias("over_flags"), F.count(F.lit(1)).alias("n")).select(
+                F.lit(name).alias("system"), F.lit("clean").alias("slice"), null.cast("long").alias("tp"), null.cast("long").alias("fn"),
+                null.cast("double").alias("recall"), "over_flags", "n",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def over_flags(df: DataFrame, gold: str, n_flags: Column) -> DataFrame:
     """Flags on rows without gold labels."""
     return df.where(F.size(gold) == 0).agg(F.coalesce(F.sum(n_flags), F.lit(0)).cast("long").alias("over_flags"), F.count(F.lit(1)).alias("n_clean"))

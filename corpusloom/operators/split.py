@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.leakage import assert_empty
+
 
 def split_dedup(df: DataFrame, category: Column, copy: Column, order: str, eval_size: int = 60, cap: int = 3) -> DataFrame:
     """``df`` with split: the first row of each of the ``eval_size`` keys least by SHA-1 is eval, no other row of
@@ -32,10 +34,11 @@ def shared_keys(df: DataFrame, key: Column, split: str = "split") -> DataFrame:
 
 
 def first_by(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """The row of each key with the least ``order``, chosen by a map-side combined aggregation."""
+    """The row of each key with the least ``order``, chosen by a map-side combined aggregation; of rows that are equal in
+    both any fixed one."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    best = df.select(*named, F.col(order).alias("_o")).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_o").alias(order))
-    return df.join(best.select(order), order, "left_semi")
+    row = F.min_by(F.struct(*df.columns), F.struct(F.col(order), F.xxhash64(*df.columns)))
+    return df.groupBy(*named).agg(row.alias("_row")).select("_row.*")
 
 
 def hash_sample(df: DataFrame, key: Column, n: int, seed: str) -> DataFrame:
@@ -73,20 +76,32 @@ def pages(df: DataFrame, order: str, size: int = 4) -> DataFrame:
     return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
 
 
-def by_position(a: DataFrame, order_a: str, b: DataFrame, order_b: str) -> DataFrame:
-    """Rows of two tables by rank. Ranks come from range partitions and their counts, so neither table is
-    gathered in one task."""
-    return ranked(a, order_a, "_at").join(ranked(b, order_b, "_at"), "_at").withColumnRenamed("_at", "position")
-
-
-def ranked(df: DataFrame, order: str, name: str, buckets: int = 32) -> DataFrame:
-    """Adds the rank, from 1, of each row by a numeric ``order`` without ties."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(1).cast("long"))
-    width = max((high - low + 1) / buckets, 1e-9)
-    cut = df.withColumn("_b", F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``buckets`` rows
+def by_position(a: DataFrame, order_a: str, b: DataFrame, order_b: str, agree: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of two tables by rank. Ranks come from value ranges and their counts, so neither table is gathered in one
+    task. ``agree``: a column of either table that have to be equal in every pair; else GateError."""
+    both = ranked(a, order_a, "_at").join(ranked(b, order_b, "_at"), "_at").withColumnRenamed("_at", "position")
+    if agree is not None:
+        assert_empty(both.where(~F.col(agree[0]).eqNullSafe(F.col(agree[1]))).select("position", *agree), f"{agree[0]} and {agree[1]} differ")
+    return both
+
+
+def ranges(df: DataFrame, order: str, buckets: int = 256, sample: int = 4096) -> Column:
+    """The number of the range, of ``buckets`` about equally full ones, that ``order`` lies in. Bounds are quantiles of a
+    sample of distinct values, the first by their hash, so values of any type and spread are dealt evenly."""
+    some = df.select(F.col(order).alias("v")).where("v IS NOT NULL").distinct().orderBy(F.xxhash64("v")).limit(sample)
+    values = sorted(r["v"] for r in some.collect())  # at most ``sample`` values
+    bounds = values[:: max(1, len(values) // buckets)]
+    if not bounds:
+        return F.lit(0)
+    kind = df.schema[order].dataType
+    listed = F.array(*[F.lit(v).cast(kind) for v in bounds])
+    return F.size(F.filter(listed, lambda b: b <= F.col(order)))
+
+
+def ranked(df: DataFrame, order: str, name: str, buckets: int = 256) -> DataFrame:
+    """Adds the rank, from 1, of each row by an ``order`` without ties, of any type that sorts."""
+    cut = df.withColumn("_b", ranges(df, order, buckets))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over a few hundred rows
     offsets = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(order)
     return (

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import estimated_tokens
+from corpusloom.functions.contract import issues_contract, rewrite_contract
+from corpusloom.functions.text import estimated_tokens, flat_content
+from corpusloom.operators.leakage import copies_source
 
 ROLES = ("system", "user", "assistant")
 #: Labels and provenances of an evaluation manifest.
@@ -66,9 +68,52 @@ def vision_errors(system: Column, parts: Column, answer: Column, image: Column)
     )
 
 
-def manifest_errors(df: DataFrame, known_images: DataFrame | None = None) -> DataFrame:
+def row_errors(rows: DataFrame, most_tokens: int, sources: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(id, errors) of chat rows of both modalities. ``rows`` has id, messages array<struct<role, content, parts>> (a content
+    is a string or parts), modality, task, image and provenance struct<source_policy_ids, license, url>.
+
+    Not three messages: nothing more is looked at. Else roles, contents by modality, the token budget, the contract
+    of the answer, phrases that a keyed-out answer copies from ``sources`` (text), and the provenance of its
+    modality. Copies are found by one join over all answers."""
+    m, p = F.col("messages"), F.col("provenance")
+    three = F.coalesce(F.size("messages"), F.lit(0)) == len(ROLES)
+    vision = modality(F.col("modality"), F.col("task"), F.exists(m, lambda x: x["parts"].isNotNull())) == "vision"
+    seen = rows.select(F.col(id_col).alias("id"), "messages", "image", "provenance", three.alias("_three"), F.when(three, vision).otherwise(False).alias("_vision"))
+    answer = F.when(F.col("_three"), m[2]["content"])
+    fault = F.when(F.col("_vision"), issues_contract(answer)).otherwise(F.coalesce(rewrite_contract(answer)["error"], F.lit("")))
+    seen = seen.withColumn("_contract", F.when(F.col("_three"), fault))
+    copied = F.lit(False)
+    if sources is not None:
+        said = seen.where("_three AND _contract = ''").select("id", answer.alias("text"))
+        seen = seen.join(copies_source(said, sources, "id").withColumn("_copied", F.lit(True)), "id", "left")
+        copied = F.coalesce("_copied", F.lit(False))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    empty = F.transform(m, lambda x, k: F.when(blank(x["content"]), F.concat(F.lit("empty:"), k.cast("string"))))
+    contents = F.when(F.col("_vision"), vision_errors(m[0]["content"], m[1]["parts"], m[2]["content"], F.col("image"))).otherwise(empty)
+    total = F.aggregate(F.transform(m, lambda x: estimated_tokens(flat_content(x["parts"], x["content"]))), F.lit(0).cast("long"), lambda a, x: a + x)
+    policies = F.coalesce(F.size(p["source_policy_ids"]), F.lit(0)) > 0
+    licensed = F.col("_vision") & (~blank(p["license"]) | ~blank(p["url"]))
+    rest = F.concat(
+        F.array(F.when(~F.transform(m, lambda x: x["role"]).eqNullSafe(F.array(*[F.lit(r) for r in ROLES])), "roles")),
+        contents,
+        F.array(
+            F.when(total > most_tokens, "tokens"), F.when(F.col("_contract") != "", F.concat(F.lit("contract:"), "_contract")), F.when(copied, "copy"),
+            F.when(~(policies | licensed), "provenance"),
+        ),
+    )
+    return seen.select(F.col("id").alias(id_col), F.when(F.col("_three"), F.array_compact(rest)).otherwise(F.array(F.lit("messages"))).alias("errors"))
+
+
+def missing_keys(raw: Column, required: list[str]) -> Column:
+    """array<string>: ``missing:`` and the name of each key that the JSON object does not have."""
+    gone = F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")))
+    return F.transform(gone, lambda k: F.concat(F.lit("missing:"), k))
+
+
+def manifest_errors(df: DataFrame, known_images: DataFrame | None = None, raw: str | None = None, required: list[str] | None = None) -> DataFrame:
     """``df`` (id, image, clean, gold_types, n_issues, within_screen, provenance, planted_from) with errors.
-    Ids are counted by an aggregation, and images looked up by a join, so no table is gathered."""
+    Ids are counted by an aggregation, and images looked up by a join, so no table is gathered. ``raw`` names a
+    column with the row's JSON, in which all ``required`` keys have to stand."""
     counts = df.groupBy("id").agg(F.count(F.lit(1)).alias("_copies"))
     out = df.join(counts, "id", "left")
     found = F.lit(True)
@@ -92,6 +137,8 @@ def manifest_errors(df: DataFrame, known_images: DataFrame | None = None) -> Dat
             F.when(~found, "no image"),
         )
     )
+    if raw is not None:
+        errors = F.concat(missing_keys(F.col(raw), required or []), errors)
     return out.withColumn("errors", errors).select(*df.columns, "errors")
 
 

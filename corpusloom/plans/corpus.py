@@ -60,7 +60,7 @@ _PHRASES = "(SELECT {id}, array_to_string(w[i:i+13], ' ') AS phrase FROM (SELECT
 
 @query(f"SELECT DISTINCT doc_id FROM {_PHRASES.format(id='doc_id', t='documents')} WHERE phrase IN (SELECT phrase FROM {_PHRASES.format(id='item_id', t='benchmark')})")
 def contaminated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.copies_source(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
+    return leakage.copies_source(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
 @query(f"SELECT item_id, CAST(count(DISTINCT phrase) AS BIGINT) AS n_phrases FROM {_PHRASES.format(id='item_id', t='benchmark')} GROUP BY item_id")
@@ -87,10 +87,12 @@ def validate_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.count_errors(chats.select(validate.chat_errors(F.col("messages"), 300).alias("errors")))
 
 
-@query("SELECT CASE WHEN lang = 'en' THEN 'text' ELSE 'vision' END AS modality, lang, source, count(*) AS n FROM documents GROUP BY ALL")
+@query("""SELECT CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'vision' WHEN doc_id % 5 = 1 OR doc_id % 7 = 1 THEN 'text' WHEN lang = 'en' THEN 'text' ELSE 'vision' END AS modality,
+lang, source, count(*) AS n FROM documents GROUP BY ALL""")
 def modality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    docs = table(spark, sf_dir, "documents").withColumn("modality", validate.modality(none, none, F.col("lang") != "en"))
+    said = lambda n, a, b: F.when(F.col("doc_id") % n == 0, a).when(F.col("doc_id") % n == 1, b).otherwise("")
+    kind = validate.modality(said(5, "vision", "text"), said(7, "consistency", "rewrite"), F.col("lang") != "en")
+    docs = table(spark, sf_dir, "documents").withColumn("modality", kind)
     return docs.groupBy("modality", "lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -234,6 +236,13 @@ def rubric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rubric(rules, "source", "lang", "o")
 
 
+@query("""SELECT url, 'oss_n' || CASE WHEN r < 10 THEN '0' ELSE '' END || CAST(r AS VARCHAR) AS id FROM (SELECT url, row_number() OVER (ORDER BY url) AS r FROM (SELECT DISTINCT url FROM pages))""")
+def named_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by the order of names."""
+    placed = split.ranked(table(spark, sf_dir, "pages").select("url").distinct(), "url", "r")
+    return rows.numbered_ids(placed, F.lit("oss"), F.col("r")).select("url", "id")
+
+
 @query("""SELECT page_id, 'oss_n' || CASE WHEN r < 10 THEN '0' ELSE '' END || CAST(r AS VARCHAR) AS id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM pages)""")
 def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = split.ranked(table(spark, sf_dir, "pages").select("page_id"), "page_id", "r")

@@ -12,7 +12,7 @@ from corpusloom.plans.registry import query, table
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", spread=True)
     return pages.select("page_id", F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
 
 
@@ -66,26 +66,43 @@ def ui_shape_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_texts(spark, sf_dir).where(X.ui_shape(F.col("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT event_id, true AS constant_value, false AS type_annotation, event_id % 5 = 0 AS colour_map, false AS module_path FROM events""")
+@query(r"""WITH e AS (SELECT event_id, event_id % 7 AS k, event_type AS t FROM events),
+l AS (SELECT event_id, CASE k WHEN 2 THEN 'string' WHEN 3 THEN t || ' (lib.' || t || ')' ELSE t END AS v, CASE k WHEN 0 THEN t || ' = ''' || t || '''' WHEN 1 THEN 'MAX_' || upper(t) || ': "' || t || '"'
+WHEN 2 THEN '''type'': ''string''' WHEN 4 THEN 'type: "' || t || '"' WHEN 5 THEN '#a1b2c3 name: x' WHEN 6 THEN '#a1b2c3 named: ''' || t || '''' ELSE 'label: ''' || t || '''' END AS line FROM e),
+c AS (SELECT *, regexp_extract(line, '([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*[''"]' || v || '[''"]', 1) AS key FROM l WHERE NOT contains(v, '('))
+SELECT event_id, key <> '' AND NOT starts_with(line, '''') AND (regexp_matches(key, '^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$') OR lower(key) = lower(v)) AS constant_value,
+v = 'string' AND regexp_matches(line, '[''"]?type[''"]?\s*:\s*[''"]string[''"]') AS type_annotation,
+regexp_matches(line, '#[0-9a-fA-F]{3,8}\b') AND regexp_matches(line, '\bname\b\s*:') AS colour_map, false AS module_path FROM c
+UNION ALL SELECT event_id, false, false, false, regexp_matches(v, '\([\w.\-]+\)\s*$') FROM l WHERE contains(v, '(')""")
 def line_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    colour = F.when(F.col("event_id") % 5 == 0, "#a1b2c3 name: x").otherwise("")
-    v = F.col("event_type")
-    line = F.concat(v, F.lit(" = '"), v, F.lit("'; type: \""), v, F.lit('"; '), colour)
-    rows = table(spark, sf_dir, "events").select("event_id", v, line.alias("line"))
-    line = F.col("line")
+    """Lines that bind a value to its own name, to a constant, as a type, in a list of colours, and near misses of these."""
+    k, t, lit = F.col("event_id") % 7, F.col("event_type"), F.lit
+    quoted = lambda head, mark="'": F.concat(head, lit(mark), t, lit(mark))
+    value = F.when(k == 2, "string").when(k == 3, F.concat(t, lit(" (lib."), t, lit(")"))).otherwise(t)
+    made = (
+        F.when(k == 0, quoted(F.concat(t, lit(" = ")))).when(k == 1, quoted(F.concat(lit("MAX_"), F.upper(t), lit(": ")), '"')).when(k == 2, "'type': 'string'")
+        .when(k == 4, quoted(lit("type: "), '"')).when(k == 5, "#a1b2c3 name: x").when(k == 6, quoted(lit("#a1b2c3 named: "))).otherwise(quoted(lit("label: ")))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", value.alias("v"), made.alias("line"))
+    v, line = F.col("v"), F.col("line")
     return rows.select(
         "event_id", X.constant_value(v, line).alias("constant_value"), X.type_annotation(v, line).alias("type_annotation"),
         X.colour_map(line).alias("colour_map"), X.module_path(v).alias("module_path"),
     )
 
 
-@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN contains(lower(v), 'error') OR contains(lower(v), 'invalid') OR contains(lower(v), 'failed') THEN 'error'
-WHEN len(string_split(v, ' ')) <= 4 THEN 'button_or_label' ELSE 'body_copy' END AS kind FROM {TAG_TEXTS_SQL}) GROUP BY kind""")
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN k IN (1, 2) THEN 'accessibility_label' WHEN k = 3 THEN 'form_label' WHEN contains(lower(v), 'error') OR contains(lower(v), 'invalid') OR contains(lower(v), 'failed') THEN 'error'
+WHEN k = 4 THEN 'i18n_string' WHEN len(string_split(v, ' ')) <= 4 THEN 'button_or_label' ELSE 'body_copy' END AS kind
+FROM (SELECT length(v) % 6 AS k, CASE WHEN length(v) % 10 = 0 THEN v || ' failed' ELSE v END AS v FROM {TAG_TEXTS_SQL})) GROUP BY kind""")
 def kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = tag_texts(spark, sf_dir).select(X.kind(F.lit(""), F.col("v"), F.lit("a.html")).alias("kind"))
+    k = F.length("v") % 6
+    prefix = F.when(k == 1, "alt").when(k == 2, "aria-label").when(k == 3, "placeholder").otherwise("title")
+    v = F.when(F.length("v") % 10 == 0, F.concat("v", F.lit(" failed"))).otherwise(F.col("v"))
+    kinds = tag_texts(spark, sf_dir).select(X.kind(prefix, v, F.when(k == 4, "en.JSON").otherwise("a.html")).alias("kind"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Fixed value, once more for the SQL.
 _PATH = r"(?i)(\.test\.|\.spec\.|\.stories\.|__mocks__|/test/|/tests/|cypress|/e2e/|\.cy\.|mocks?\.tsx?$|fixtures|\.schemas?\.ts$|generated|schema\.json$)"
 
 
@@ -121,9 +138,9 @@ def _snippet():
 @query(r"""SELECT doc_id, CAST(n AS BIGINT) AS line, array_to_string(list_transform(range(greatest(1, n - 3), least(len(ls), n + 3) + 1), lambda k: CAST(k AS VARCHAR) || ': ' || ls[k]), chr(10)) AS context
 FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    numbered = docs.select("doc_id", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("line"))
-    return numbered.select("doc_id", F.col("line").cast("long").alias("line"), X.context(F.col("lines"), F.col("line")).alias("context"))
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    contexts = F.transform("lines", lambda _, k: X.context(F.col("lines"), k + 1))
+    return docs.select("doc_id", F.posexplode_outer(contexts).alias("k", "context")).where("k IS NOT NULL").select("doc_id", (F.col("k") + 1).cast("long").alias("line"), "context")
 
 
 @query(r"""SELECT doc_id, ls[2] AS source, array_to_string(ls[1:4], chr(10)) AS plain FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) WHERE len(ls) >= 4""")
@@ -142,10 +159,12 @@ def captured_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.captured_whole(fragments, scanned, on="page_id").withColumnRenamed("current_copy", "fragment")
 
 
-@query("""SELECT doc_id, regexp_matches(text, '^[^ ]*') AND starts_with(substr(text, length(w) + 1), '''s') AS cut FROM (SELECT doc_id, text || '''s' AS text, text AS w FROM (SELECT doc_id, split_part(text, ' ', 1) AS text FROM documents))""")
+@query(r"""SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 3 AND w = 'The' AS cut FROM (SELECT doc_id, trim(regexp_replace(split_part(text, ' ', 1), '\s+', ' ', 'g')) AS w FROM documents)""")
 def apostrophe_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.substring_index(F.col("text"), " ", 1)).alias("w"))
-    return docs.select("doc_id", X.cut_at_apostrophe(F.col("w"), F.concat(F.col("w"), F.lit("'s"))).alias("cut"))
+    k = F.col("doc_id") % 4
+    after = F.when(k == 0, F.concat("w", F.lit("'s"))).when(k == 1, F.concat("w", F.lit(" 's"))).when(k == 2, F.concat("w", F.lit("'5"))).otherwise("so The't it")
+    return docs.select("doc_id", X.cut_at_apostrophe(F.col("w"), after).alias("cut"))
 
 
 @query()
@@ -163,8 +182,8 @@ def extract_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH d AS (SELECT doc_id, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, ['Terminology', 'Brand mix', 'casing', 'tone', 'duplicate'][1 + doc_id % 5] AS t FROM documents),
 e AS (SELECT doc_id, a, CASE WHEN doc_id % 3 = 0 THEN a || ' ' ELSE b END AS b2, t FROM d)
-SELECT doc_id, CAST(CASE WHEN doc_id % 5 < 3 AND trim(regexp_replace(a, '\s+', ' ', 'g')) = trim(regexp_replace(b2, '\s+', ' ', 'g')) THEN 0 ELSE 1 END AS BIGINT) AS n_kept,
-['terminology', 'brand', 'casing', 'tone', 'duplicate'][1 + doc_id % 5] AS one_type, ['terminology', 'brand', 'casing', 'tone', 'duplication'][1 + doc_id % 5] AS all_types, false AS parse_error FROM e""")
+SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 6 THEN 0 WHEN doc_id % 5 < 3 AND trim(regexp_replace(a, '\s+', ' ', 'g')) = trim(regexp_replace(b2, '\s+', ' ', 'g')) THEN 0 ELSE 1 END AS BIGINT) AS n_kept,
+['terminology', 'brand', 'casing', 'tone', 'duplicate'][1 + doc_id % 5] AS one_type, ['terminology', 'brand', 'casing', 'tone', 'duplication'][1 + doc_id % 5] AS all_types, doc_id % 7 = 6 AS parse_error FROM e""")
 def issue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda k: F.split_part(F.col("text"), F.lit(" "), F.lit(k))
     kinds = F.array(*[F.lit(x) for x in ("Terminology", "Brand mix", "casing", "tone", "duplicate")])
@@ -172,6 +191,7 @@ def issue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(F.col("doc_id") % 3 == 0, F.concat(word(1), F.lit(" "))).otherwise(word(2))
     issue = F.struct(kind.alias("type"), F.array(word(1), second).alias("strings"), F.lit("p").alias("problem"), F.lit("f").alias("fix"))
     raw = F.to_json(F.struct(F.array(word(1)).alias("inventory"), F.array(issue).alias("issues")))
+    raw = F.when(F.col("doc_id") % 7 == 6, F.concat(raw, F.lit(" trailing"))).otherwise(raw)
     out = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), contract.filtered_output(raw).alias("o"))
     return out.select(
         "doc_id", F.size("o.issues").cast("long").alias("n_kept"), contract.one_type(F.col("kind")).alias("one_type"),

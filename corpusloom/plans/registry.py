@@ -22,8 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; ``spread``, for work that is heavy a row: dealt to all cores if it is read in fewer tasks than there are
+    cores, as small files are. Larger tables stay as they are read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-from corpusloom.plans import corpus, evaluation, extraction  # noqa: E402, F401
+from corpusloom.plans import corpus, evaluation, extraction, gates  # noqa: E402, F401

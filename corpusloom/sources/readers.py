@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from corpusloom.operators.extract import decoded, scannable
+from corpusloom.operators.extract import EXTENSIONS, MOST_BYTES, SKIPPED_FOLDERS, decoded, scannable
 
 
 class BadLine(ValueError):
-    """A line that is not an object of the schema; the message names the file and the line's text."""
+    """A line that is not an object of the schema; the message names the file, the line's number and its text."""
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -26,10 +27,17 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     if strict:
         first = rows.where(bad).select("file", "value").first()
         if first is not None:
-            raise BadLine(f"{first['file']}: {first['value'][:200]}")
+            raise BadLine(f"{first['file']}:{_line_number(spark, first['file'], first['value'])}: {first['value'][:200]}")
     return rows.where(~bad).select("r.*").drop("_bad")
 
 
+def _line_number(spark: SparkSession, file: str, line: str) -> int:
+    """Where a line first stands in a file, from 1. The file is only read again when it is known to be at fault."""
+    lines = spark.read.text(file).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+    first = lines.where(F.col("value") == line).orderBy("block", "at").select("block", "at").first()
+    return 1 + lines.where((F.col("block") < first["block"]) | ((F.col("block") == first["block"]) & (F.col("at") < first["at"]))).count()
+
+
 def jsonl_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """No rows where there is no such path."""
     try:
@@ -41,8 +49,20 @@ def jsonl_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def jsonl_head(spark: SparkSession, path: str, schema: str, most: int) -> DataFrame:
-    """``most`` rows at most."""
-    return jsonl(spark, path, schema).limit(most)
+    """The first ``most`` objects in the order of files and lines: a top-k, no global sort."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    head = lines.select("value", *place).orderBy("_file", "_block", "_at").limit(most)
+    return head.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def split_rows(spark: SparkSession, path: str, task: str | None = None, split: str | None = None, modality: str | None = None) -> DataFrame:
+    """Storage rows as ``writers.by_split`` wrote them; folders of other splits and tasks are not read."""
+    rows = spark.read.parquet(path)
+    for column, value in (("split", split), ("task", task), ("modality", modality)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
@@ -59,13 +79,18 @@ def guides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to the root, text) of the scannable files under a folder. Names and sizes are filtered
-    before any content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^[a-z]+:/*", "/")
+    """(path relative to the root, text) of the scannable files under a folder. The extension is a glob of the listing, the
+    skipped folders a condition on the files' metadata, and the size one that the scan takes, so no content is
+    read of files that they drop."""
+    either = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{either}}}").load(root)
+    base = re.sub("^[a-z]+:/*", "/", root.rstrip("/") + "/")
+    folders = "|".join(re.escape(f) for f in SKIPPED_FOLDERS)
+    outside = ~F.col("_metadata.file_path").rlike(rf"^(?:[a-z]+:/*)?/?{re.escape(base.lstrip('/'))}(?:.*/)?(?:{folders})/")
     own = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    relative = F.replace(own, base, F.lit(""))
-    return scannable(files.withColumn("path", relative)).select("path", decoded(F.col("content")).alias("text"))
+    relative = F.when(own.startswith(base), F.substring(own, F.lit(len(base) + 1), F.length(own))).otherwise(own)
+    kept = files.where(outside & (F.col("length") <= MOST_BYTES))
+    return scannable(kept.withColumn("path", relative)).select("path", decoded(F.col("content")).alias("text"))
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:

@@ -52,10 +52,11 @@ def markdown(df: DataFrame, most: int = 200) -> str:
 
 
 def checkpointed(stream: DataFrame, path: str, checkpoint: str, summary: Callable[[DataFrame, int], None] | None = None):
-    """Appends each micro-batch and hands it to ``summary``; started again with the same checkpoint it goes on."""
+    """Writes each micro-batch, to a folder of its number, and hands it to ``summary``; started again with the same
+    checkpoint it goes on, and a batch that is run twice is there once."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if summary is not None:
             summary(batch, number)
 
