@@ -4,7 +4,8 @@ A document is the ids of its text followed by an end id; only documents longer t
 into full pieces and a shorter last one. Pieces are packed by vector best-fit, in order of decreasing
 length: a bin has residual tokens, residual documents and residual attention cost (the sum of squared
 lengths); of the bins in which a piece fits under every capacity the one with the least weighted norm of
-what would be left is chosen.
+what would be left is chosen. ``tighten`` lowers the capacities of documents and attention as far as the packing
+still needs no more sequences than one by tokens alone, so that no sequence is a heap of scraps.
 
 Pieces of one length are alike, so the packing is decided on the histogram of lengths, which has at most
 ``max_tokens`` entries at any corpus size. Bins with equal content are one group with a count. The pieces
@@ -18,6 +19,7 @@ their own; an empty table packs into nothing; other columns are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,8 +49,19 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
         self.tokenizer = Tokenizer.from_file(path)
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Remembers the words of some texts, encoded together."""
+        new = {w for t in texts if t for w in t.split() if len(w) <= 64}
+        missing = [w for w in new if w not in self]
+        if len(self) + len(missing) > REMEMBERED_WORDS:
+            self.clear()
+            missing = list(new)
+        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -78,6 +91,7 @@ def _tokenise(path: str, end_id: int, max_tokens: int, keep_ids: bool):
         width = 4 * max_tokens
 
         def work(docs: list, texts: list):
+            words.learn(texts)
             for doc, text in zip(docs, texts, strict=True):
                 ids = (words.ids(text) if text else b"") + end
                 for k, at in enumerate(range(0, len(ids), width)):
@@ -172,6 +186,26 @@ def best_fit(
     return closed + [Group(r, int(c)) for r, c in zip(runs, counts[: len(runs)], strict=True) if c]
 
 
+def tightest(histogram: dict[int, int], max_tokens: int, multiples: tuple[int, ...] = (8, 32, 128)) -> tuple[list[Group], int, int]:
+    """(groups, max_docs, max_attention): the packing under the least limits, among multiples of what a sequence holds on
+    average, that needs no more sequences than tokens alone do. Few tries, each over the histogram only."""
+    limits = [max_tokens, max_tokens**2]
+    best = best_fit(histogram, max_tokens, *limits)
+    bins = sum(g.count for g in best)
+    least = max((s for s, n in histogram.items() if n), default=0) ** 2  # of a piece's own attention
+    total = [sum(histogram.values()), sum(s * s * n for s, n in histogram.items())]
+    for k in (0, 1):
+        for m in multiples:
+            limit = max(math.ceil(m * total[k] / max(bins, 1)), k * least)
+            if limit >= limits[k]:
+                break
+            tried = best_fit(histogram, max_tokens, *(limit if j == k else limits[j] for j in (0, 1)))
+            if sum(g.count for g in tried) <= bins:
+                limits[k], best, bins = limit, tried, sum(g.count for g in tried)
+                break
+    return best, *limits
+
+
 def places(groups: list[Group]) -> dict[str, np.ndarray]:
     """For each run of each group the ranks of its length that it takes: key = length << 44 | first rank."""
     taken: dict[int, int] = {}
@@ -209,14 +243,19 @@ def pack(
     max_tokens: int = 4096,
     max_docs: int | None = None,
     max_attention: int | None = None,
+    tighten: bool = False,
 ) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (id_col, piece, length, ...).
 
     ``max_docs`` pieces and a sum of squared lengths of ``max_attention`` per sequence; where they are None
-    the token capacity implies them (max_tokens and max_tokens squared)."""
+    the token capacity implies them (max_tokens and max_tokens squared), or, with ``tighten``, the least limits hold that
+    cost no sequence."""
     pieces = cut(pieces)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    groups = best_fit(histogram, max_tokens, max_docs or max_tokens, max_attention or max_tokens**2)
+    if tighten and max_docs is None and max_attention is None:
+        groups = tightest(histogram, max_tokens)[0]
+    else:
+        groups = best_fit(histogram, max_tokens, max_docs or max_tokens, max_attention or max_tokens**2)
     at = places(groups)
     total = sum(histogram.values())
     salts = min(65_536, max(16, math.ceil(total / 200_000)))

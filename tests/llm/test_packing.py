@@ -69,3 +69,27 @@ def test_pieces_and_places(spark):
         assert (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all() and g.length.sum() <= 4096
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) + 2
     assert K.pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_tightest_limits_cost_no_sequence():
+    rng = random.Random(9)
+    hist = {4096: 40, **{rng.randint(1, 4000): rng.randint(1, 40) for _ in range(700)}, 1: 3000, 5: 900}
+    alone = K.best_fit(hist, 4096, 4096, 4096**2)
+    groups, docs, attention = K.tightest(hist, 4096)
+    count = lambda gs: sum(g.count for g in gs)
+    most = lambda gs: max(sum(n for _, n in g.runs) for g in gs)
+    assert count(groups) <= count(alone) and most(groups) <= docs < 4096 and attention == 4096**2
+    short = {k: n for k, n in hist.items() if k < 1000}
+    groups, docs, attention = K.tightest(short, 4096)
+    assert attention < 4096**2 and count(groups) <= count(K.best_fit(short, 4096, 4096, 4096**2))
+    assert all(sum(s * s * n for s, n in g.runs) <= attention for g in groups)
+
+
+def test_the_vector_decides():
+    # Under tokens alone the piece of 2 goes to the bin with the least tokens left, which has no attention to spare for it later.
+    hist = {60: 1, 30: 3, 20: 4, 10: 6}
+    by = lambda weights: sorted((g.runs, g.count) for g in K.best_fit(hist, 100, 5, 4500, weights))
+    assert by((1.0, 0.0, 0.0)) != by((0.1, 1.0, 1.0))
+    for weights in ((1.0, 0.0, 0.0), (0.1, 1.0, 1.0)):
+        for g in K.best_fit(hist, 100, 5, 4500, weights):
+            assert sum(n for _, n in g.runs) <= 5 and sum(s * s * n for s, n in g.runs) <= 4500 and sum(s * n for s, n in g.runs) <= 100
