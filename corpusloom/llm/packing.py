@@ -186,7 +186,7 @@ def best_fit(
     return closed + [Group(r, int(c)) for r, c in zip(runs, counts[: len(runs)], strict=True) if c]
 
 
-def tightest(histogram: dict[int, int], max_tokens: int, multiples: tuple[int, ...] = (8, 32, 128)) -> tuple[list[Group], int, int]:
+def tightest(histogram: dict[int, int], max_tokens: int, multiples: tuple[int, ...] = (2, 8, 32, 128)) -> tuple[list[Group], int, int]:
     """(groups, max_docs, max_attention): the packing under the least limits, among multiples of what a sequence holds on
     average, that needs no more sequences than tokens alone do. Few tries, each over the histogram only."""
     limits = [max_tokens, max_tokens**2]

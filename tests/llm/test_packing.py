@@ -86,10 +86,9 @@ def test_tightest_limits_cost_no_sequence():
 
 
 def test_the_vector_decides():
-    # Under tokens alone the piece of 2 goes to the bin with the least tokens left, which has no attention to spare for it later.
-    hist = {60: 1, 30: 3, 20: 4, 10: 6}
-    by = lambda weights: sorted((g.runs, g.count) for g in K.best_fit(hist, 100, 5, 4500, weights))
-    assert by((1.0, 0.0, 0.0)) != by((0.1, 1.0, 1.0))
-    for weights in ((1.0, 0.0, 0.0), (0.1, 1.0, 1.0)):
-        for g in K.best_fit(hist, 100, 5, 4500, weights):
-            assert sum(n for _, n in g.runs) <= 5 and sum(s * s * n for s, n in g.runs) <= 4500 and sum(s * n for s, n in g.runs) <= 100
+    hist = {27: 4, 22: 5, 43: 1, 29: 5, 56: 2, 38: 5, 18: 4, 8: 4, 60: 3, 41: 5, 17: 5}
+    by = lambda weights: sorted((g.runs, g.count) for g in K.best_fit(hist, 100, 4, 4200, weights))
+    scalar, vector = by((1.0, 0.0, 0.0)), by((0.1, 1.0, 1.0))
+    assert scalar != vector
+    for runs, _ in scalar + vector:
+        assert sum(n for _, n in runs) <= 4 and sum(s * s * n for s, n in runs) <= 4200 and sum(s * n for s, n in runs) <= 100
