@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.contract import issues_contract, rewrite_contract
@@ -15,11 +15,16 @@ RECOGNIZED = ("duplication", "plural", "brand", "casing", "tone", "terminology")
 PROVENANCES = ("natural", "planted")
 
 
-def folded(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """(conv, messages array<struct<turn, role, content>>) in order of turns. A conversation is one row here, so
-    this is for chats that fit a row."""
+def numbered(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """``turns`` with n, their place in the conversation, from 1."""
+    return turns.withColumn("n", F.row_number().over(Window.partitionBy(conv).orderBy(turn)))
+
+
+def folded(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", most: int = len(ROLES) + 1) -> DataFrame:
+    """(conv, messages array<struct<turn, role, content>>) in order of turns: the first ``most`` of each conversation, by
+    which too long ones are told, so that no conversation is gathered whole."""
     message = F.struct(F.col(turn).alias("turn"), F.col("role"), F.col("text").alias("content"))
-    return turns.groupBy(conv).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    return numbered(turns, conv, turn).where(F.col("n") <= most).groupBy(conv).agg(F.array_sort(F.collect_list(message)).alias("messages"))
 
 
 def tokens(messages: Column) -> Column:

@@ -168,17 +168,19 @@ def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS position FROM conversations""")
 def turn_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = validate.folded(table(spark, sf_dir, "conversations"))
-    return chats.select("conv_id", F.posexplode("messages").alias("p", "m")).select("conv_id", F.col("m.turn").alias("turn"), (F.col("p") + 1).cast("long").alias("position"))
+    placed = validate.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"))
+    return placed.select("conv_id", "turn", F.col("n").cast("long").alias("position"))
 
 
 @query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE n <= 2) AS prompt, first(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS gold,
 count(*) FILTER (WHERE role <> 'assistant') AS n_rest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id""")
 def prompts_and_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = validate.folded(table(spark, sf_dir, "conversations"))
-    m = F.col("messages")
-    first = F.array_join(F.transform(rows.prompt_part(m), lambda x: x["content"]), "\n")
-    return chats.select("conv_id", first.alias("prompt"), rows.gold_answer(m).alias("gold"), F.size(rows.without_answers(m)).cast("long").alias("n_rest"))
+    turns = table(spark, sf_dir, "conversations")
+    start = validate.folded(turns, most=2)
+    first = F.array_join(F.transform(rows.prompt_part(F.col("messages")), lambda x: x["content"]), "\n")
+    said = F.col("role") == "assistant"
+    rest = turns.groupBy("conv_id").agg(F.min_by("text", F.when(said, F.col("turn"))).alias("gold"), F.count_if(~said).alias("n_rest"))
+    return start.select("conv_id", first.alias("prompt")).join(rest, "conv_id").select("conv_id", "prompt", "gold", "n_rest")
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS id, 'rewrite' AS task, 'text' AS modality, source, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, '' AS image,

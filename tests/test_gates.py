@@ -164,6 +164,8 @@ def test_small_pieces(spark):
     assert [r["name"] for r in leakage.missing(spark.createDataFrame([("a",), ("b",), ("b",)], "name string"), index, "name").collect()] == ["b"]
     votes = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("z", 1, "no")], "key string, at int, v string")
     assert [(r.key, r.v) for r in arena.pinned(votes, spark.createDataFrame([("k",)], "key string"), ["key"], "at").collect()] == [("k", "new")]
+    message = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in (("user", "u"), ("assistant", "a"), ("assistant", "b"))])
+    assert get(rows.gold_answer(message)) == "a" and [m.content for m in get(rows.without_answers(message))] == ["u"]
     cells = spark.createDataFrame([(0, "q", 1.0, 0.25), (1, "k", 4.0, 1.0)], "layer int, module string, norm double, intensity double")
     assert tensors.hottest(cells).first().module == "k"
     assert tuple(tensors.extent(cells).first()) == (2, 2)
