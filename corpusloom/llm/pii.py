@@ -5,7 +5,7 @@ identifier cues. At each anchor a deterministic local parser expands to the left
 the candidate. The spans equal a leftmost, non-overlapping scan per kind in which failing candidates are
 dropped without a retry. A text without anchors costs the automaton's pass and nothing else.
 
-Defined results: null and empty texts have no spans; repeated rows give repeated results; an empty table
+Defined results: null and empty texts have no spans; spans that start together are listed in the order of kinds; repeated rows give repeated results; an empty table
 gives an empty result; only the id and text columns are read, so other columns cannot clash. Offsets are
 code points, ends exclusive, over whole texts of any length.
 """

@@ -469,29 +469,43 @@ def read(data: bytes) -> Image:
     return Reader(data).read()
 
 
+#: Blocks that are transformed at once, so that floating-point memory is bounded for images of any size.
+STRIP_BLOCKS = 65_536
+
+
+def _plane(blocks: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The samples of a component, by strips of block rows."""
+    rows, cols, _ = blocks.shape
+    out = np.empty((8 * rows, 8 * cols), dtype=np.uint8)
+    step = max(1, STRIP_BLOCKS // max(1, cols))
+    for r in range(0, rows, step):
+        x = blocks[r : r + step].reshape(-1, 64).astype(np.float64) @ matrix
+        x = np.clip(np.rint(x + 128), 0, 255).astype(np.uint8).reshape(-1, cols, 8, 8)
+        out[8 * r : 8 * (r + len(x))] = x.transpose(0, 2, 1, 3).reshape(8 * len(x), 8 * cols)
+    return out
+
+
 def tensor(image: Image) -> np.ndarray:
     """(height, width, 3) uint8, RGB at full resolution; one component is grey."""
     hm, vm = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
     planes = []
     for c in image.components.values():
-        rows, cols, _ = c.blocks.shape
-        q = image.quantisers[c.quantiser]
-        x = c.blocks.reshape(-1, 64).astype(np.float64) @ (inverse_dct() * q[:, None])
-        x = np.clip(np.rint(x + 128), 0, 255).astype(np.uint8)
-        x = x.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * cols)
+        x = _plane(c.blocks, inverse_dct() * image.quantisers[c.quantiser][:, None])
         if (vm // c.v, hm // c.h) != (1, 1):
             x = x.repeat(vm // c.v, axis=0).repeat(hm // c.h, axis=1)
         planes.append(x[: image.height, : image.width])
     if len(planes) == 1:
         return np.repeat(planes[0][..., None], 3, axis=2)
-    y, cb, cr = (p.astype(np.float32) for p in planes[:3])
-    cb -= 128
-    cr -= 128
-    out = np.empty((*y.shape, 3), dtype=np.uint8)
-    for k, x in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
-        np.rint(x, out=x)
-        np.clip(x, 0, 255, out=x)
-        out[..., k] = x
+    out = np.empty((*planes[0].shape, 3), dtype=np.uint8)
+    step = max(1, 64 * STRIP_BLOCKS // max(1, image.width))
+    for r in range(0, len(out), step):
+        y, cb, cr = (p[r : r + step].astype(np.float32) for p in planes[:3])
+        cb -= 128
+        cr -= 128
+        for k, x in enumerate((y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb)):
+            np.rint(x, out=x)
+            np.clip(x, 0, 255, out=x)
+            out[r : r + step, :, k] = x
     return out
 
 

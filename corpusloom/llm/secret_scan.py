@@ -10,7 +10,8 @@ Offsets are not available from Spark's regular-expression functions, so they are
 gives the text between matches and ``regexp_extract_all`` the matches themselves, and their lengths
 in code points add up to the spans.
 
-Defined results: null and empty texts have no findings and stay in the output; repeated rows are kept
+Defined results: null and empty texts have no findings and stay in the output; texts of any length are scanned whole;
+spans that start together are listed in the order of the rules; repeated rows are kept
 one for one; an empty table gives an empty result; only the id and text columns of the input are read,
 so other columns of any name cannot clash.
 """

@@ -107,3 +107,12 @@ def test_simhash_of_bags_of_any_size(spark):
     df = spark.createDataFrame([(k, b) for k, b in enumerate(bags)], "k int, bag array<bigint>")
     got = [r.f % 2**64 for r in df.select("k", D.simhash("bag").alias("f")).orderBy("k").collect()]
     assert got == [votes(b) for b in bags]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(7)
+    item = [f"w{rng.randrange(400)}" for _ in range(60)]
+    long = [f"v{k % 9973}" for k in range(400_000)] + item + [f"u{k}" for k in range(1000)]
+    d = spark.createDataFrame([(1, " ".join(long)), (2, "v1 v2 v3 v4 v5 v6")], "doc_id long, text string")
+    b = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.similarity, r.start) for r in D.contaminated(d, b).collect()] == [(1, 0, 1.0, 400_000)]

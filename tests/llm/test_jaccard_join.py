@@ -86,3 +86,20 @@ def test_rows_without_an_id(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(None, 58, None)] * 3 + [(None, 0, None), (4, 58, 4), (5, 59, 4), (6, 0, 6)], key=repr)
     assert sorted(r["at"] for r in J.keep_first(df).collect()) == [4, 6]
+
+
+def test_very_long_texts_and_a_large_group(spark):
+    long = [f"v{k}" for k in range(300_000)]
+    other = long[:290_000] + ["x"] + long[290_001:]
+    rng = random.Random(3)
+    base, passage = [f"b{k}" for k in range(80)], [f"p{k}" for k in range(40)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:100_000]))]
+    for k in range(400):  # one group of near copies, and texts that share a passage only
+        copy = list(base)
+        copy[rng.randrange(80)] = f"e{k}"
+        rows.append((100 + k, " ".join(copy)))
+        rows.append((1000 + k, " ".join([*passage, *(f"o{k}x{j}" for j in range(20))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(df, block_elements=5_000).collect()}
+    assert got[1] == got[2] == 1 and got[3] == 3 and {got[k] for k in range(100, 500)} == {100}
+    assert all(got[k] == k for k in range(1000, 1400))
