@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +75,19 @@ class Shard:
     owner: np.ndarray  # of features of the vocabulary: the word
     bucket: np.ndarray  # of features of the vocabulary
 
-    KINDS = ("<f8", "<f8", "<i4", "<i4", "<i4", "<i4", "<i4")
+    KINDS = ("<f8", "<f8", "<i4", "<i4", "<i4", "u1", "<i4")
 
     def pack(self) -> list[bytes]:
-        return [np.asarray(getattr(self, f.name), k).tobytes() for f, k in zip(fields(self), self.KINDS, strict=True)]
+        """The arrays as bytes; those that only rise as how often each number occurs."""
+        sizes = np.bincount(self.doc, minlength=len(self.y)), np.bincount(self.sentence, minlength=len(self.doc))
+        parts = self.y, self.scale, *sizes, self.word, np.bincount(self.owner), self.bucket
+        return [np.asarray(x, k).tobytes() for x, k in zip(parts, self.KINDS, strict=True)]
 
     @classmethod
     def unpack(cls, parts: list[bytes]) -> Shard:
-        return cls(*(np.frombuffer(b, k) for b, k in zip(parts, cls.KINDS, strict=True)))
+        y, scale, in_doc, in_sentence, word, of_word, bucket = (np.frombuffer(b, k) for b, k in zip(parts, cls.KINDS, strict=True))
+        whole = lambda sizes: np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return cls(y, scale, whole(in_doc), whole(in_sentence), word, whole(of_word), bucket)
 
 
 def shard_of(texts: list[str], y: list[int], scale: list[float]) -> Shard:
@@ -279,17 +284,19 @@ def train(
         known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(most) for y, most in ((1, most_toxic), (0, most_clean))
     ]
     sample = picked[0].union(picked[1])  # at most most_toxic + most_clean ids and labels
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").where("text <> ''").groupBy(F.sha2("text", 256).alias("digest"))
-    rows = cut(rows.agg(F.min(F.struct("id", "text", "y")).alias("r")).select("r.*"))  # copies teach nothing new
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
+    known = texts.join(F.broadcast(sample), "id").select("id", "y", F.sha2("text", 256).alias("digest"))
+    rows = cut(known.groupBy("digest").agg(F.min(F.struct("id", "y")).alias("r")).select("r.*", "digest"))  # copies teach nothing new
     taken = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(taken) < 2:
         return None
     scale = F.when(F.col("y") == 1, total[1] / taken[1]).otherwise(total[0] / taken[0]) / sum(total[y] for y in taken)
     parts = max(1, min(SHARDS, sum(taken.values()) // 200))
     blobs = ", ".join(f"c{k} binary" for k in range(len(Shard.KINDS) + 2))
-    packed = rows.select("text", "y", scale.alias("scale")).repartition(parts).mapInArrow(_shards, blobs)
-    shards = cut(packed.coalesce(parts))
+    chosen = F.broadcast(rows.select("id", "digest", "y", scale.alias("scale")))
+    picked = texts.join(chosen, "id").where(F.sha2("text", 256) == F.col("digest"))
+    picked = picked.repartition(parts, "digest").dropDuplicates(["digest"])  # rows that repeat an id
+    shards = cut(picked.select("text", "y", "scale").mapInArrow(_shards, blobs).coalesce(parts))
     seen = np.zeros(BUCKETS, dtype=np.int64)
     names = shards.columns
     for r in shards.select(*names[-2:]).collect():  # at most BUCKETS pairs of numbers a shard
