@@ -10,7 +10,12 @@ from corpusloom.llm.common import table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.scan_versions(table(spark, sf_dir, "documents"))
+    """In two increments: about half of the documents as an earlier one, whose blobs go to the ledger, then all documents, of
+    which only unseen blobs are scanned; old and new findings are joined back to every document."""
+    documents = table(spark, sf_dir, "documents")
+    earlier = documents.where(F.xxhash64("doc_id") > 0)
+    ledger, findings = S.scan_increment(earlier)
+    found = S.scan_versions(documents, ledger=ledger, findings=findings)
     base = F.filter("spans", lambda x: x["rank"] < len(S.BASE_RULES))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(

@@ -174,6 +174,16 @@ def scan_versions(
     )
 
 
+def scan_increment(
+    df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES
+) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows, findings) of what ``ledger`` has not seen of ``df``, scanned once: to be appended to both."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    versions = df.select(blob_id(text).alias("blob"), text.alias("text"))
+    scanned = cut(scan_blobs(unseen_blobs(versions, ledger, rules), rules))
+    return ledger_rows(scanned), finding_rows(scanned, rules)
+
+
 def render(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))

@@ -54,3 +54,13 @@ def test_findings_reach_paths_of_later_increments(spark):
         got = spans(S.scan_versions(second, "path", ledger=ledger, rules=rules, findings=findings.union(findings)))
         assert got == spans(S.scan_versions(second, "path", rules=rules))
         assert got["a/2"] == got["a/1"] == [(0, 0, 14, "assign")] and len(got["b/2"]) == (2 if rules is S.RULES else 1)
+
+
+def test_increments_add_up(spark):
+    texts = ["token=abcdefgh", "f" * 32, "plain", None, "token=abcdefgh " * 3, "AKIA" + "ABCDEFGH1234"]
+    df = spark.createDataFrame([(k, texts[k % 6]) for k in range(60)], "doc_id long, text string")
+    ledger, findings = S.scan_increment(df.where("doc_id < 8"))
+    more = S.scan_increment(df.where("doc_id < 8"), ledger=ledger)
+    assert [x.count() for x in more] == [0, 0] and ledger.count() == 6 * len(S.RULES)
+    spans = lambda of: {r.doc_id: [tuple(s) for s in r.spans] for r in of.collect()}
+    assert spans(S.scan_versions(df, ledger=ledger, findings=findings)) == spans(S.scan_versions(df))
