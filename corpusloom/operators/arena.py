@@ -23,6 +23,12 @@ def blind(df: DataFrame, id_col: str, a: str, b: str, label_a: str, label_b: str
     )
 
 
+def paired(benchmark: DataFrame, a: DataFrame, b: DataFrame, on: list[str], prediction: str = "prediction") -> DataFrame:
+    """The benchmark's rows that both systems have predicted, with a and b: a sheet compares nothing else."""
+    sides = [p.select(*on, F.col(prediction).alias(name)) for name, p in (("a", a), ("b", b))]
+    return benchmark.join(sides[0], on).join(sides[1], on)
+
+
 def choice(text: Column) -> Column:
     """a, b, tie or both_bad of what a reviewer wrote; null for all else. Whole words count, so that
     "both bad" is no vote for b."""
@@ -65,7 +71,9 @@ def dealt_arm(session: Column, arms: tuple[str, str] = WINNERS[:2]) -> Column:
     return F.when(side(session, F.lit(arms[0]), F.lit(arms[1])) == 0, arms[0]).otherwise(arms[1])
 
 
-def pinned(rows: DataFrame, picks: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The picked rows by the picks' order; of rows with one key the one of the largest ``order`` counts. Picks are a short list."""
+def pinned(rows: DataFrame, picks: DataFrame, keys: list[str], order: str, most: int = 10_000) -> DataFrame:
+    """The picked rows by the picks' order; of rows with one key the one of the largest ``order`` counts. Picks are a short list, broadcast up to ``most`` of them."""
+    if picks.limit(most + 1).count() <= most:
+        picks = F.broadcast(picks)
     last = rows.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rows.columns if c not in (*keys, order)])).alias("_r"))
-    return last.join(F.broadcast(picks), keys).select(*picks.columns, "_r.*")
+    return last.join(picks, keys).select(*picks.columns, "_r.*")

@@ -9,6 +9,10 @@ from corpusloom.functions.text import collapse, stable_id
 from corpusloom.operators.extract import escape
 
 
+#: Variants of a scenario that a join may broadcast.
+MOST_VARIANTS = 1_000
+
+
 def code_sample(surface: Column, area: Column, copy: Column) -> Column:
     """A snippet that shows the copy where it is used."""
     safe = F.replace(copy, F.lit('"'), F.lit('\\"'))
@@ -22,7 +26,9 @@ def prompt(fields: dict[str, Column]) -> Column:
 
 def chat_rows(scenarios: DataFrame, variants: DataFrame, system: str) -> DataFrame:
     """Every scenario (category, area, state, current, rewrite, reason, risk, policy_ids) in every variant
-    (surface, audience, constraint) as a chat row. Variants are a short list and are broadcast."""
+    (surface, audience, constraint) as a chat row. Variants are a short list, which is checked, and are broadcast."""
+    if variants.limit(MOST_VARIANTS + 1).count() > MOST_VARIANTS:
+        raise ValueError(f"more than {MOST_VARIANTS} variants")
     both = scenarios.crossJoin(F.broadcast(variants))
     user = prompt(
         {
@@ -51,8 +57,13 @@ def placeholder_rows(candidates: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def tagged(df: DataFrame, task: str, modality: str, source: Column, split: str, image: Column | None = None) -> DataFrame:
-    """Constant columns of one dataset; an image keeps its base name under screens/."""
+def tagged(
+    df: DataFrame, task: str, modality: str, source: Column, split: str, image: Column | None = None, provenance: Column | None = None
+) -> DataFrame:
+    """Constant columns of one dataset; an image keeps its base name under screens/, and rows without a provenance get the
+    dataset's."""
+    if provenance is not None:
+        df = df.withColumn("provenance", F.coalesce("provenance", provenance))
     name = F.lit(None).cast("string") if image is None else F.concat(F.lit("screens/"), F.substring_index(image, "/", -1))
     return df.withColumns({"task": F.lit(task), "modality": F.lit(modality), "source": source, "split": F.lit(split), "image": name})
 
@@ -130,15 +141,28 @@ def after_vote(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(id_col, *[c for c in df.columns if c in HIDDEN])
 
 
+def product_prompt(surface: Column, audience: Column, state: Column, category: Column, current: Column, code: Column, constraints: str) -> Column:
+    """The prompt that models were tuned on; its labels are fixed values."""
+    fields = {"Product surface": surface, "Audience": audience, "User state": state, "Content type": category, "Current copy": current}
+    shown = F.concat(F.lit("Code/context:\n"), F.coalesce(code, F.lit("")))
+    return F.concat_ws("\n", prompt(fields), shown, F.lit(f"Constraints: {constraints}"))
+
+
+#: What the prompts of a run say beside the copy.
+KEEP_BEHAVIOUR = "Preserve the intended product behavior."
+ONLY_WITH_CONTEXT = f"Suggest a UX writing rewrite only if the context supports it. {KEEP_BEHAVIOUR}"
+
+
 def brief_prompt(category: Column, surface: Column, current: Column) -> Column:
-    """The prompt of an arena brief, in the labels that models were tuned on (fixed values)."""
-    fields = {
-        "Product surface": surface, "Audience": F.lit("general product user"),
-        "User state": F.concat(F.lit("interacting with this "), F.replace(category, F.lit("_"), F.lit(" "))),
-        "Content type": category, "Current copy": current,
-    }
-    code = F.concat(F.lit("Code/context:\n"), F.coalesce(current, F.lit("")))
-    return F.concat_ws("\n", prompt(fields), code, F.lit("Constraints: Preserve the intended product behavior."))
+    """The prompt of an arena brief."""
+    state = F.concat(F.lit("interacting with this "), F.replace(category, F.lit("_"), F.lit(" ")))
+    return product_prompt(surface, F.lit("general product user"), state, category, current, current, KEEP_BEHAVIOUR)
+
+
+def review_prompt(path: Column, line: Column, kind: Column, current: Column, context: Column) -> Column:
+    """The prompt of a string that a scan found."""
+    state = F.concat(F.lit("using the screen that contains "), path, F.lit(":"), line.cast("string"))
+    return product_prompt(F.lit("existing codebase"), F.lit("product user"), state, kind, current, context, ONLY_WITH_CONTEXT)
 
 
 def rubric(rules: DataFrame, group: str, text: str, order: str) -> DataFrame:

@@ -167,13 +167,16 @@ def apostrophe_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.cut_at_apostrophe(F.col("w"), after).alias("cut"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, text, (conv_id + turn) % 5 AS k FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, k <> 3 AND text IS NOT NULL AS last_ok, CASE WHEN k <> 3 THEN text END AS last_rewrite, k IN (0, 1, 4) AND trim(coalesce(text, '')) <> '' AS widest_ok,
+CASE WHEN k <> 4 THEN 'not json' WHEN trim(coalesce(text, '')) = '' THEN 'rewrite missing' END AS strict_error FROM t""")
 def extract_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies around the conversations' texts: prose, thinking, two objects, or a cut one."""
+    """Replies around the conversations' texts: prose, thinking, two objects, a cut one, or a plain one."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
     one = F.to_json(F.struct(F.col("text").alias("rewrite"), F.lit("because").alias("reason")))
-    k = F.col("turn") % 4
-    raw = F.when(k == 0, F.concat(F.lit("Sure: "), one, F.lit(" done"))).when(k == 1, F.concat(F.lit("<think>{ hm</think>"), one)).when(k == 2, F.concat(one, F.lit(" or "), one)).otherwise(F.substring(one, F.lit(1), F.length(one) - 1))
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    raw = F.when(k == 0, F.concat(F.lit("Sure: "), one, F.lit(" done"))).when(k == 1, F.concat(F.lit("<think>{ hm</think>"), one, F.lit(" ok")))
+    raw = raw.when(k == 2, F.concat(one, F.lit(" or "), one)).when(k == 3, F.substring(one, F.lit(1), F.length(one) - 1)).otherwise(one)
     last, widest, strict = contract.last_rewrite(raw), contract.widest_rewrite(raw), contract.rewrite_contract(raw)
     return turns.select(
         "conv_id", "turn", last["ok"].alias("last_ok"), last["rewrite"].alias("last_rewrite"), widest["ok"].alias("widest_ok"), strict["error"].alias("strict_error")

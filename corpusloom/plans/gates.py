@@ -155,3 +155,37 @@ def brief_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SHEET} SELECT id, a_is, b_is FROM sheet")
 def ab_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.after_vote(_sheet(spark, sf_dir), "id")
+
+
+@query("""SELECT item_id, 'Product surface: existing codebase' || chr(10) || 'Audience: product user' || chr(10) || 'User state: using the screen that contains b/' || item_id || '.ts:' || (item_id % 9) || chr(10)
+|| 'Content type: body_copy' || chr(10) || 'Current copy: ' || text || chr(10) || 'Code/context:' || chr(10) || '1: ' || text || chr(10)
+|| 'Constraints: Suggest a UX writing rewrite only if the context supports it. Preserve the intended product behavior.' AS prompt FROM benchmark""")
+def review_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    path = F.concat(F.lit("b/"), F.col("item_id").cast("string"), F.lit(".ts"))
+    made = rows.review_prompt(path, F.col("item_id") % 9, F.lit("body_copy"), F.col("text"), F.concat(F.lit("1: "), F.col("text")))
+    return items.select("item_id", made.alias("prompt"))
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS id, 'consistency' AS task, 'vision' AS modality, 'synthetic' AS source, 'train' AS split, 'screens/' || page_id || '.png' AS image,
+CASE WHEN page_id % 2 = 0 THEN 'mit' ELSE 'cc0' END AS license FROM pages""")
+def vision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.col("page_id").cast("string")
+    source = lambda name: F.struct(F.lit(name).alias("license"))
+    made = table(spark, sf_dir, "pages").select(
+        id_.alias("id"), F.array(F.struct(F.lit("user").alias("role"), F.col("url").alias("content"))).alias("messages"),
+        F.create_map(F.lit("k"), F.lit("v")).alias("metadata"), F.when(F.col("page_id") % 2 == 0, source("mit")).alias("provenance"),
+    )
+    tagged = rows.tagged(made, "consistency", "vision", F.lit("synthetic"), "train", F.concat(F.lit("x/y/"), F.col("id"), F.lit(".png")), source("cc0"))
+    stored = rows.storage(tagged)
+    return stored.select("id", "task", "modality", "source", "split", "image", F.from_json("provenance_json", "license string")["license"].alias("license"))
+
+
+@query("""SELECT u.conv_id, u.turn, a.text AS a, b.text || '!' AS b FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+JOIN conversations b ON b.conv_id = u.conv_id AND b.turn = u.turn + 1 AND b.role = 'assistant' AND b.conv_id % 3 > 0 WHERE u.role = 'user' AND u.conv_id % 4 > 0""")
+def two_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    bench = turns.where("role = 'user' AND conv_id % 4 > 0").select("conv_id", "turn")
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    other = said.where("conv_id % 3 > 0").withColumn("prediction", F.concat("prediction", F.lit("!")))
+    return arena.paired(bench, said, other, ["conv_id", "turn"])

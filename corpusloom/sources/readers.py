@@ -133,6 +133,7 @@ def tensors(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(_tensors, "path string, name string, dtype string, shape array<int>, data array<float>")
 
 
-def votes(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of votes from a folder of JSON-lines files, one for each session."""
-    return spark.readStream.schema(schema).json(path)
+def votes(spark: SparkSession, path: str, schema: str, batch: int | None = None) -> DataFrame:
+    """A stream of votes from a folder of JSON-lines files, one for each session; ``batch`` files in a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if batch is None else reader.option("maxFilesPerTrigger", batch)).json(path)

@@ -14,7 +14,8 @@ def running_tally(stream: DataFrame, winner: str = "winner") -> DataFrame:
 
 
 def windowed_tally(stream: DataFrame, ts: str, late: str, width: str, winner: str = "winner") -> DataFrame:
-    """(start, winner, n) by windows of event time; votes later than ``late`` are left out and their state dropped."""
+    """(start, winner, n) by windows of event time. Written in append or update mode, votes later than ``late`` are left out
+    and their state is dropped; complete mode keeps the state of all windows."""
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     counted = timed.groupBy(F.window("_ts", width), F.col(winner).alias("winner")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("start"), "winner", "n")
