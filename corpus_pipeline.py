@@ -4,8 +4,9 @@ Each stage is a function (spark, docs, sf_dir) to a DataFrame, of which ``run``
 the folder that spark.checkpoint.dir names, and reads them again as the next stage's documents. All stages
 but the last return the columns of the documents they were given, those of other names included.
 
-Null and empty texts pass every filter and are packed as documents of the end id alone; rows without a
-doc_id end in the near-duplicate stage; of repeated rows one stays; an empty table packs into nothing.
+Null, empty and other texts without n-grams pass every filter; null and empty ones are packed as documents of the end id
+alone. Rows without a doc_id end in the near-duplicate stage; of repeated rows, and of rows that repeat an id, one
+stays; an empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, of the least id, of each group that links of 0.8 between five-word shingles join."""
     kept = jaccard_join.keep_first(docs, shingle_words=5, num=4, den=5)
     again = small_side(cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")))
-    row = F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns))  # only rows of repeated ids are shuffled
+    row = F.min_by(F.struct(*kept.columns), F.xxhash64("text"))  # only rows of repeated ids are shuffled
     one = kept.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("key")).agg(row.alias("row")).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(*kept.columns).union(one)
 
