@@ -35,8 +35,8 @@ from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.common import cut
 from corpusloom.llm.memory import held
 
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED_WORDS = 1_000_000
+#: Words from which on a worker's memory of ids is a generation, of which the last two are kept; words encoded at once.
+REMEMBERED_WORDS, WORDS_AT_ONCE = 100_000, 8_192
 #: str.split() takes these as white space, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -51,16 +51,27 @@ class WordIds(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
         self.tokenizer = Tokenizer.from_file(path)
+        self.before: dict[str, bytes] = {}  # the generation before: words that recur are taken over from it
 
     def learn(self, texts: list[str | None]) -> None:
         """Remembers the words of some texts, encoded together."""
-        new = {w for t in texts if t for w in t.split() if len(w) <= 64}
-        missing = [w for w in new if w not in self]
-        if len(self) + len(missing) > REMEMBERED_WORDS:
+        self._make_room()
+        missing = []
+        for word in {w for t in texts if t for w in t.split() if len(w) <= 64}:
+            if word not in self:
+                if word in self.before:
+                    self[word] = self.before[word]
+                else:
+                    missing.append(word)
+        for k in range(0, len(missing), WORDS_AT_ONCE):
+            part = missing[k : k + WORDS_AT_ONCE]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+
+    def _make_room(self) -> None:
+        if len(self) >= REMEMBERED_WORDS:
+            self.before = dict(self)
             self.clear()
-            missing = list(new)
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -68,8 +79,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.direct(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBERED_WORDS:
-                self.clear()
+            self._make_room()
             self[word] = ids
         return ids
 

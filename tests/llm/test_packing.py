@@ -20,6 +20,18 @@ def test_word_ids_equal_whole_text_ids():
         assert words.ids(text) == words.direct(text), repr(text)
 
 
+def test_remembered_words_are_bounded_and_recurring_ones_stay(monkeypatch):
+    monkeypatch.setattr(K, "REMEMBERED_WORDS", 50)
+    monkeypatch.setattr(K, "WORDS_AT_ONCE", 7)
+    words = K.WordIds(PATH)
+    for k in range(40):
+        texts = [None, "", " ".join(["the", "again", *(f"word{k}x{j}" for j in range(20))])]
+        words.learn(texts)
+        assert words.ids(texts[2]) == words.direct(texts[2])
+        assert len(words) < 50 + 22 and len(words.before) < 50 + 22
+    assert "again" in words
+
+
 def one_by_one(hist, capacity):
     bins = []
     for size in sorted((k for k, n in hist.items() for _ in range(n)), reverse=True):
