@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import q_decontaminate, q_filter_audit, q_html, q_jaccard_join, q_media, q_packing, q_pii, q_quality, q_secret_scan, q_tool_calls, q_toxicity
+from corpusloom.llm import q_decontaminate, q_filter_audit, q_html, q_jaccard_join, q_media, q_merkle, q_packing, q_pii, q_quality, q_secret_scan, q_tool_calls, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": q_secret_scan.op1_secret_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": q_jaccard_join.op8_ngram_jaccard_join,
     "op9_quality_resampling": q_quality.op9_quality_resampling,
     "op10_toxicity_mil": q_toxicity.op10_toxicity_mil,
+    "op11_merkle_manifest": q_merkle.op11_merkle_manifest,
     "op13_filter_audit": q_filter_audit.op13_filter_audit,
 }
 
@@ -28,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op5_tool_call_linking": q_tool_calls.ORACLE,
     "op7_benchmark_simhash": q_decontaminate.ORACLE,
     "op8_ngram_jaccard_join": q_jaccard_join.ORACLE,
+    "op11_merkle_manifest": q_merkle.ORACLE,
     "op13_filter_audit": q_filter_audit.ORACLE,
 }
