@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import q_decontaminate, q_filter_audit, q_html, q_jaccard_join, q_media, q_merkle, q_packing, q_pii, q_quality, q_secret_scan, q_tool_calls, q_toxicity
+from corpusloom.llm import q_decontaminate, q_filter_audit, q_html, q_jaccard_join, q_media, q_merkle, q_packing, q_pii, q_quality, q_secret_scan, q_simhash_trie, q_tool_calls, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": q_secret_scan.op1_secret_scan,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_resampling": q_quality.op9_quality_resampling,
     "op10_toxicity_mil": q_toxicity.op10_toxicity_mil,
     "op11_merkle_manifest": q_merkle.op11_merkle_manifest,
+    "op12_simhash_trie": q_simhash_trie.op12_simhash_trie,
     "op13_filter_audit": q_filter_audit.op13_filter_audit,
 }
 
