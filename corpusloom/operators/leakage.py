@@ -5,34 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import phrases, stem, words
-
-#: Phrases of a source that a join may broadcast.
-BROADCAST_PHRASES = 1_000_000
+from corpusloom.functions.text import stem
+from corpusloom.operators.phrases import holding
 
 
 class GateError(RuntimeError):
     """A gate that has to be empty is not."""
 
 
-def _phrase_hashes(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
-    """(*keep, h): a hash of every n-word phrase, made of the hashes of its words; no phrase is built as a string."""
-    hashed = df.select(*keep, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("_w"))
-    last = F.size("_w") - (n - 1)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, n)))
-    return hashed.select(*keep, F.explode(F.when(last > 0, each)).alias("h"))
-
-
 def copies_source(df: DataFrame, sources: DataFrame, id_col: str, text: str = "text", source_text: str = "text", n: int = 14) -> DataFrame:
-    """(id) of the rows that hold an n-word phrase of a source. Hashes find the rows, and only theirs are compared word
-    by word."""
-    known = _phrase_hashes(sources, source_text, n).distinct()
-    if known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
-        known = F.broadcast(known)
-    likely = _phrase_hashes(df, text, n, id_col).join(known, "h", "left_semi").select(id_col).distinct()
-    spelled = lambda of, t, *keep: of.select(*keep, F.explode(phrases(words(F.col(t)), n)).alias("_phrase"))
-    mine = spelled(df.join(likely, id_col, "left_semi"), text, id_col)
-    return mine.join(spelled(sources, source_text).distinct(), "_phrase", "left_semi").select(id_col).distinct()
+    """(id) of the rows that hold an n-word phrase of a source."""
+    return holding(df, sources, id_col, text, source_text, n)
 
 
 def collisions(df: DataFrame, known: DataFrame, content: str, known_content: str, known_path: str) -> DataFrame:
