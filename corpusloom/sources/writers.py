@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.leakage import not_done
 from corpusloom.operators.rows import storage
+from corpusloom.sources import committed, stores
 
 
 def jsonl(df: DataFrame, path: str) -> None:
@@ -16,15 +17,21 @@ def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_missing(df: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key the sink does not have, so that an interrupted run can go on."""
+def append_missing(df: DataFrame, path: str, key: str, job: str | None = None) -> None:
+    """Appends the rows whose key the sink does not have, so that an interrupted run can go on: all of them in one commit, so a
+    job that fails leaves none of its rows, and a retry adds each once. A ``job`` that was committed adds nothing."""
     spark = df.sparkSession
+    if stores.reachable(path):
+        committed.recover(path)
     try:
         df = not_done(df, spark.read.json(path), key)
     except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    df.write.mode("append").json(path)
+    if stores.reachable(path):
+        committed.commit({"rows": (df, committed.json_line(df), path)}, path, job)
+    else:  # a store that only Spark reaches: its own committer moves files task by task
+        df.write.mode("append").json(path)
 
 
 def by_split(rows: DataFrame, path: str) -> None:
@@ -33,10 +40,12 @@ def by_split(rows: DataFrame, path: str) -> None:
 
 
 def sheets(blinded: DataFrame, sheet: str, key: str, id_col: str, shown: list[str]) -> None:
-    """A blind sheet with empty columns to fill in, and its key."""
+    """A blind sheet with empty columns to fill in, and its key, replacing what was there: both in one commit, so a sheet never
+    meets the key of another one."""
     page = blinded.select(id_col, *shown, "option_a", "option_b", F.lit("").alias("preferred"), F.lit("").alias("why"))
-    page.write.mode("overwrite").option("header", True).option("escape", '"').csv(sheet)
-    blinded.select(id_col, "a_is", "b_is").write.mode("overwrite").option("header", True).csv(key)
+    answers = blinded.select(id_col, "a_is", "b_is")
+    tables = {n: (df, committed.csv_line(*df.columns), path) for n, df, path in (("sheet", page, sheet), ("key", answers, key))}
+    committed.commit(tables, sheet, heads={"sheet": ",".join(page.columns), "key": ",".join(answers.columns)}, ending=".csv", replace=True)
 
 
 def report(one_row: DataFrame, path: str) -> None:
