@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from corpusloom.operators.extract import EXTENSIONS, MOST_BYTES, SKIPPED_FOLDERS, decoded, scannable
+from corpusloom.sources import tensor_files
 
 
 class BadLine(ValueError):
@@ -104,33 +103,10 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
-def _tensors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import json
-    import struct
-
-    import numpy as np
-
-    for batch in batches:
-        for path, raw in zip(batch["path"], batch["content"]):
-            size = struct.unpack_from("<Q", raw)[0]
-            rows = []
-            for name, about in json.loads(raw[8 : 8 + size]).items():
-                if name == "__metadata__" or about["dtype"] not in ("F32", "F16", "BF16"):
-                    continue
-                low, high = about["data_offsets"]
-                data = raw[8 + size + low : 8 + size + high]
-                if about["dtype"] == "BF16":  # the upper half of a float32
-                    values = (np.frombuffer(data, "<u2").astype(np.uint32) << 16).view(np.float32)
-                else:
-                    values = np.frombuffer(data, "<f4" if about["dtype"] == "F32" else "<f2").astype(np.float32)
-                rows.append((path, name, about["dtype"], about["shape"], values))
-            yield pd.DataFrame(rows, columns=["path", "name", "dtype", "shape", "data"])
-
-
 def tensors(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, dtype, shape, data) of the floating-point tensors of safetensors files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_tensors, "path string, name string, dtype string, shape array<int>, data array<float>")
+    """(path, name, dtype, shape, data) of the floating-point tensors of safetensors files; ``tensor_files.slices`` has those
+    that are too large for a row."""
+    return tensor_files.whole(spark, path)
 
 
 def votes(spark: SparkSession, path: str, schema: str, batch: int | None = None) -> DataFrame:
