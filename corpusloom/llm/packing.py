@@ -5,15 +5,18 @@ into full pieces and a shorter last one. Pieces are packed by vector best-fit, i
 length: a bin has residual tokens, residual documents and residual attention cost (the sum of squared
 lengths); of the bins in which a piece fits under every capacity the one with the least weighted norm of
 what would be left is chosen. ``tighten`` lowers the capacities of documents and attention as far as the packing
-still needs no more sequences than one by tokens alone, so that no sequence is a heap of scraps.
+still needs no more sequences than one by tokens alone, so that no sequence is a heap of scraps; full pieces, which
+nothing can join, are sequences of their own and set no limit.
 
 Pieces of one length are alike, so the packing is decided on the histogram of lengths, which has at most
 ``max_tokens`` entries at any corpus size. Bins with equal content are one group with a count. The pieces
 are then dealt to the places of their length by rank, in a distributed way: a rank inside (length, salt)
 plus the offset of the salt. No piece is dropped and no task sees more than its share of a hot length.
 
-Defined results: null and empty texts are documents of the end id alone; repeated rows are documents of
-their own; an empty table packs into nothing; other columns are not read.
+Defined results: null and empty texts are documents of the end id alone; very long texts are tokenised whole and cut into
+as many pieces as they fill; of equally good bins the one made first is taken, and pieces of one length are dealt by the hash
+and then the order of their ids, so ties never change the number of sequences; repeated rows are documents of their own; an
+empty table packs into nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -143,6 +146,8 @@ def best_fit(
     weights: tuple[float, float, float] = (1.0, 0.001, 0.001),
 ) -> list[Group]:
     """Vector best-fit decreasing over a histogram of lengths; equal pieces and equal bins move together."""
+    if not any(histogram.values()):
+        return []
     capacity = np.array([max_tokens, max_docs, max_attention], dtype=np.float64)
     weight = np.asarray(weights) / capacity
     left = np.zeros((1024, 3), dtype=np.int64)
@@ -196,23 +201,37 @@ def best_fit(
     return closed + [Group(r, int(c)) for r, c in zip(runs, counts[: len(runs)], strict=True) if c]
 
 
-def tightest(histogram: dict[int, int], max_tokens: int, multiples: tuple[int, ...] = (2, 8, 32, 128)) -> tuple[list[Group], int, int]:
-    """(groups, max_docs, max_attention): the packing under the least limits, among multiples of what a sequence holds on
-    average, that needs no more sequences than tokens alone do. Few tries, each over the histogram only."""
+def used(groups: list[Group], k: int) -> int:
+    """The most documents (0) or attention (1) of a bin."""
+    return max((sum(n * (s * s if k else 1) for s, n in g.runs) for g in groups), default=0)
+
+
+def tightest(histogram: dict[int, int], max_tokens: int, tries: int = 6) -> tuple[list[Group], int, int]:
+    """(groups, max_docs, max_attention): the packing under the least limits found that needs no more sequences than tokens
+    alone do, and the limits that all sequences keep. Full pieces are sequences of their own, whatever the limits, so these are
+    sought for the others: first of documents, then of attention, halving what lies between a sequence's average and the
+    most that the best packing so far puts into one. Each try is over the histogram only."""
+    others = {s: n for s, n in histogram.items() if n and s < max_tokens}
+    full = histogram.get(max_tokens, 0)
     limits = [max_tokens, max_tokens**2]
-    best = best_fit(histogram, max_tokens, *limits)
+    best = best_fit(others, max_tokens, *limits) if others else []
     bins = sum(g.count for g in best)
-    least = max((s for s, n in histogram.items() if n), default=0) ** 2  # of a piece's own attention
-    total = [sum(histogram.values()), sum(s * s * n for s, n in histogram.items())]
+    total = [sum(others.values()), sum(s * s * n for s, n in others.items())]
     for k in (0, 1):
-        for m in multiples:
-            limit = max(math.ceil(m * total[k] / max(bins, 1)), k * least)
-            if limit >= limits[k]:
+        if not best:
+            break
+        low, limits[k] = max(total[k] // bins, (max(others) ** 2 if k else 1) - 1), used(best, k)
+        for _ in range(tries):
+            if limits[k] - low <= 1:
                 break
-            tried = best_fit(histogram, max_tokens, *(limit if j == k else limits[j] for j in (0, 1)))
+            limit = (low + limits[k]) // 2
+            tried = best_fit(others, max_tokens, *(limit if j == k else limits[j] for j in (0, 1)))
             if sum(g.count for g in tried) <= bins:
-                limits[k], best, bins = limit, tried, sum(g.count for g in tried)
-                break
+                best, bins, limits[k] = tried, sum(g.count for g in tried), used(tried, k)
+            else:
+                low = limit
+    if full:
+        best, limits = [Group(((max_tokens, 1),), full), *best], [max(limits[0] if others else 1, 1), max_tokens**2]
     return best, *limits
 
 

@@ -97,6 +97,21 @@ def test_tightest_limits_cost_no_sequence():
     assert all(sum(s * s * n for s, n in g.runs) <= attention for g in groups)
 
 
+def test_limits_bind_beside_full_pieces():
+    rng = random.Random(4)
+    hist = {4096: 25, **{rng.randint(1, 4000): rng.randint(1, 9) for _ in range(300)}, 2: 500, 3: 700}
+    alone, (groups, docs, _) = K.best_fit(hist, 4096, 4096, 4096**2), K.tightest(hist, 4096)
+    rest = lambda gs: [g for g in gs if g.runs != ((4096, 1),)]
+    assert sum(g.count for g in groups) <= sum(g.count for g in alone) and sum(g.count for g in groups if g.runs == ((4096, 1),)) == 25
+    assert K.used(groups, 0) == docs < K.used(rest(alone), 0) and K.used(rest(groups), 1) < 4096**2 * 0.99
+    total = {}
+    for g in groups:
+        for s, n in g.runs:
+            total[s] = total.get(s, 0) + n * g.count
+    assert total == hist
+    assert K.tightest({}, 4096)[0] == K.best_fit({}, 4096, 0, 0) == [] and K.tightest({4096: 3}, 4096) == ([K.Group(((4096, 1),), 3)], 1, 4096**2)
+
+
 def test_the_vector_decides():
     hist = {27: 4, 22: 5, 43: 1, 29: 5, 56: 2, 38: 5, 18: 4, 8: 4, 60: 3, 41: 5, 17: 5}
     by = lambda weights: sorted((g.runs, g.count) for g in K.best_fit(hist, 100, 4, 4200, weights))
