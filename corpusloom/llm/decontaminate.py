@@ -18,7 +18,8 @@ Only texts that hold a window move, and only where the windows are too many to b
 to ``broadcast_rows`` of them, the index of blocks up to a bound of its own; beyond, they are shuffled. Windows of a
 weighted similarity of 0.8 differ in about 10 of 64 bits, with a deviation of 3; ``radius`` lies beyond four deviations.
 
-Defined results: null and empty texts, and items of fewer than five words, match nothing; repeated rows of
+Defined results: null and empty texts, and items of fewer than five words, match nothing; texts of any length are read
+whole, and very long ones in runs of neighbouring windows; repeated rows of
 a document or an item count once; of equally similar windows the first is reported; empty tables give an
 empty result; only the id and text columns are read.
 """
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import BROADCAST_ROWS, cut, small_side
 
 WIDTH = 5
+#: Neighbouring starts whose windows are cut from one split of their text.
+RUN = 256
 BITS, BLOCK_BITS = 64, 8
 BLOCKS = BITS // BLOCK_BITS
 #: Counters of 16 and of 32 bits in a long, and the largest bag that the first can count: the top one is signed.
@@ -151,15 +154,27 @@ def contaminated(
     )
     windows = cut(long.union(pairs.select("id", "m", F.lit(0).alias("s"), F.lit(True).alias("whole"))).distinct())
 
-    # 2. Fingerprints of the windows.
+    # 2. Fingerprints of the windows: a text is split once for each run of neighbouring starts, and its shingles are sliced.
+    runs = cut(
+        windows.groupBy("id", "m", F.expr(f"cast(s div {RUN} AS int)").alias("run"))
+        .agg(F.collect_list(F.struct("s", "whole")).alias("starts"), F.min("s").alias("low"), F.max("s").alias("high"))
+    )
+    light = F.broadcast if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df.hint("shuffle_hash")
     held = docs.join(small_side(cut(windows.select("id").distinct())), "id", "left_semi")  # no other text moves
+    near_by_words = (
+        held.join(light(runs), "id")
+        .select("id", "m", "starts", "low", "high", words("text").alias("all"))
+        .select("id", "m", "starts", "low", F.size("all").alias("total"), F.expr("slice(all, low + 1, high - low + m)").alias("ws"))
+        .withColumn("hs", shingles("ws"))
+    )
+    fits = "CASE WHEN w.whole THEN total < m ELSE w.s <= total - m END"
+    # The shingles are bound once, as the element of an array of one.
+    bags = F.expr(
+        f"transform(array(hs), h -> transform(filter(starts, w -> {fits}), w -> named_struct('start', cast(w.s AS int), 'bag', slice(h, w.s - low + 1, {n}))))[0]"
+    )
     printed = cut(  # also keeps conditions on fingerprints from being pushed, and computed, below them
-        held.join(small_side(windows), "id")
-        .select("id", "m", "s", "whole", words("text").alias("all"))
-        .where("CASE WHEN whole THEN size(all) < m ELSE s <= size(all) - m END")
-        .select("id", "m", "all", F.col("s").cast("int").alias("start"))
-        .select("id", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("ws"))
-        .select("id", "m", "start", shingles("ws").alias("bag"))
+        near_by_words.select("id", "m", F.explode(bags).alias("w"))
+        .select("id", "m", "w.start", "w.bag")
         .withColumn("fingerprint", simhash("bag"))
     )
 
