@@ -1,13 +1,14 @@
 """Checks of JSON that models return.
 
-Spark's JSON readers accept what strict decoders refuse (single quotes, trailing text, numbers for strings),
-so the contracts are checked in Arrow-batched functions around a strict decoder."""
+Columns are checked by built-in functions: Spark's variants, made strict, and a state machine over braces and quotes that
+finds objects in prose. Functions of a single reply are around Python's decoder, for predictors that answer one by one and as a
+plain statement of the same rules. They differ in two cases: columns refuse objects that repeat a key, and NaN or Infinity."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,24 +88,130 @@ def check_issues(text: str | None) -> str:
     return ""
 
 
-def _struct(check):
-    @F.pandas_udf(REWRITE)
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check(t) for t in s], columns=["ok", "rewrite", "reason", "risk", "error"])
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once: as the element of an array of one."""
+    return F.transform(F.array(c), use)[0]
 
-    return run
+
+def blank(c: Column) -> Column:
+    return ~c.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def strict(c: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null for any other. The parser reads on past bad ends, so
+    it gets an array that ends with the text's checksum and has to find two elements and the checksum."""
+    crc = F.crc32(c)
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), crc.cast("string"), F.lit("]"))), "$", "array<variant>")
+    return bound(both, lambda a: F.when((F.size(a) == 2) & (F.try_variant_get(a[1], "$", "bigint") == crc), a[0]))
+
+
+def kind(v: Column) -> Column:
+    """STRING, OBJECT, ARRAY, ... of a variant; null for null and for what is not there."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def member(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def string_in(v: Column, name: str) -> Column:
+    """A member that is a string, else null."""
+    return F.when(kind(member(v, name)) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+
+def is_object(v: Column) -> Column:
+    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+
+
+def _outcome(v: Column, error: Column) -> Column:
+    """struct REWRITE of a variant and what is wrong with it, null for nothing."""
+    good = error.isNull()
+    return F.struct(good.alias("ok"), *[F.when(good, string_in(v, k)).alias(k) for k in ("rewrite", "reason", "risk")], error.alias("error"))
 
 
 def rewrite_contract(c: Column) -> Column:
-    return _struct(check_rewrite)(c)
+    """See ``check_rewrite``."""
+
+    def judged(v: Column) -> Column:
+        error = F.when(v.isNull(), "not json").when(~is_object(v), "not an object")
+        for k in ("rewrite", "reason"):
+            error = error.when(F.coalesce(blank(string_in(v, k)), F.lit(True)), f"{k} missing")
+        error = error.when(member(v, "risk").isNotNull() & string_in(v, "risk").isNull(), "risk not a string")
+        return _outcome(v, error)
+
+    return bound(strict(F.coalesce(c, F.lit(""))), judged)
+
+
+def answer(c: Column) -> Column:
+    """What follows the last </think>."""
+    return F.substring_index(F.coalesce(c, F.lit("")), "</think>", -1)
+
+
+def closed_at(text: Column) -> Column:
+    """For a text that starts with a brace: the length up to the brace that closes it, 0 without one. Escaped characters are
+    masked, so a string ends at the next quote; a token is a string, a brace or a lone quote and what stands before it, and
+    the depth of braces runs over the tokens."""
+    masked = F.regexp_replace(text, r"(?s)\\.", "__")
+    tokens = F.regexp_extract_all(masked, F.lit(r'([^{}"]*+(?:"[^"]*+"|[{}"]))'), F.lit(1))
+
+    def step(s: Column, token: Column) -> Column:
+        last = F.right(token, F.lit(1))
+        depth = s["depth"] + F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
+        return F.when(s["over"], s).otherwise(
+            F.struct(depth.cast("int").alias("depth"), (s["length"] + F.length(token)).cast("int").alias("length"), (depth == 0).alias("over"))
+        )
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("over"))
+    return F.aggregate(tokens, zero, step, lambda s: F.when(s["over"], s["length"]).otherwise(0))
+
+
+def last_object_text(c: Column) -> Column:
+    """The text of the last object with a string rewrite, null without one: as many steps as there are opening braces, each from
+    the next brace that no object found before contains."""
+    opening = lambda t: F.when(F.instr(t, "{") > 0, F.substring(t, F.instr(t, "{"), F.length(t))).otherwise("")
+
+    def step(s: Column, _: Column) -> Column:
+        def taken(piece: Column) -> Column:
+            return bound(
+                strict(piece),
+                lambda v: F.struct(
+                    opening(F.substring(s["rest"], F.when(v.isNull(), 1).otherwise(F.length(piece)) + 1, F.length(s["rest"]))).alias("rest"),
+                    F.when(string_in(v, "rewrite").isNotNull(), piece).otherwise(s["found"]).alias("found"),
+                ),
+            )
+
+        return F.when(s["rest"] == "", s).otherwise(bound(F.substring(s["rest"], F.lit(1), closed_at(s["rest"])), taken))
+
+    def folded(text: Column) -> Column:
+        braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+        zero = F.struct(opening(text).alias("rest"), F.lit(None).cast("string").alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), braces), zero, step, lambda s: s["found"])
+
+    return bound(answer(c), folded)
 
 
 def last_rewrite(c: Column) -> Column:
-    return _struct(last_object)(c)
+    """See ``last_object``."""
+    return bound(strict(last_object_text(c)), lambda v: _outcome(v, F.when(v.isNull(), "no object")))
+
+
+def widest(c: Column) -> Column:
+    """The variant of the text from the first to the last brace of the answer, null if that is no object."""
+    return bound(strict(F.regexp_extract(answer(c), r"(?s)(\{.*\})", 1)), lambda v: F.when(is_object(v), v))
 
 
 def widest_rewrite(c: Column) -> Column:
-    return _struct(widest_object)(c)
+    """See ``widest_object``."""
+
+    def judged(v: Column) -> Column:
+        missing = F.coalesce(blank(string_in(v, "rewrite")), F.lit(True))
+        return _outcome(v, F.when(missing, "no object"))
+
+    return bound(bound(widest(c), judged), lambda o: o.withField("rewrite", stripped(o["rewrite"])))
 
 
 def has_rewrite(text: str | None) -> bool:
@@ -119,11 +226,8 @@ def has_rewrite(text: str | None) -> bool:
 
 
 def valid_reply(c: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(has_rewrite).astype("boolean")
-
-    return run(c)
+    """See ``has_rewrite``."""
+    return bound(widest(c), lambda v: string_in(v, "rewrite").isNotNull())
 
 
 def strict_object(text: str | None) -> str | None:
@@ -135,19 +239,29 @@ def strict_object(text: str | None) -> str | None:
 
 
 def object_text(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(strict_object)
-
-    return run(c)
+    """See ``strict_object``."""
+    return F.when(is_object(strict(c)), c)
 
 
 def issues_contract(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(check_issues)
-
-    return run(c)
+    """See ``check_issues``."""
+    listed = lambda v, name: F.try_variant_get(v, f"$.{name}", "array<variant>")
+    strings = lambda items: F.coalesce(F.forall(items, lambda x: F.coalesce(kind(x) == "STRING", F.lit(False))), F.lit(False))
+
+    def fault(issue: Column) -> Column:
+        named = listed(issue, "strings")
+        fields = [F.coalesce(blank(string_in(issue, k)), F.lit(True)) for k in ("type", "problem", "fix")]
+        return F.when(~(strings(named) & (F.size(named) > 0)), "strings").when(fields[0] | fields[1] | fields[2], "issue fields")
+
+    def judged(v: Column) -> Column:
+        issues = listed(v, "issues")
+        first = F.get(F.filter(F.transform(issues, fault), lambda e: e.isNotNull()), F.lit(0))
+        return (
+            F.when(v.isNull(), "not json").when(~is_object(v), "not an object").when(~strings(listed(v, "inventory")), "inventory")
+            .when(issues.isNull(), "issues").otherwise(F.coalesce(first, F.lit("")))
+        )
+
+    return bound(strict(F.coalesce(c, F.lit(""))), judged)
 
 
 ISSUES = "struct<inventory:array<string>,issues:array<struct<type:string,strings:array<string>,problem:string,fix:string>>>"
