@@ -37,9 +37,18 @@ def rewrite_metrics(df: DataFrame, current: Column, rewrite: Column, category: C
     return out.withColumn("overall", sum((F.col(m) for m in METRICS[1:]), F.col(METRICS[0])) / len(METRICS))
 
 
-def mean_metrics(scored: DataFrame, by: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """Rounded means of the metrics, overall being the mean of the rounded ones, and rows."""
-    means = scored.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), *[F.round(F.avg(m), digits).alias(m) for m in METRICS])
+def with_totals(df: DataFrame, by: list[str], aggregates: list[Column], total: str = "*") -> DataFrame:
+    """Aggregates of each group of ``by``, and of what is left when its columns are dropped from the last to the first, in one
+    pass: a rollup, whose partial aggregates meet once. A column that is summed over holds ``total``; a null group stays null."""
+    rolled = df.rollup(*by).agg(*aggregates, *[F.grouping(c).alias(f"_{c}") for c in by])
+    return rolled.withColumns({c: F.when(F.col(f"_{c}") == 1, total).otherwise(F.col(c)) for c in by}).drop(*[f"_{c}" for c in by])
+
+
+def mean_metrics(scored: DataFrame, by: list[str] | None = None, digits: int = 4, total: str | None = None) -> DataFrame:
+    """Rounded means of the metrics, overall being the mean of the rounded ones, and rows; with ``total`` also over all groups,
+    under that name."""
+    aggregates = [F.count(F.lit(1)).alias("n_rows"), *[F.round(F.avg(m), digits).alias(m) for m in METRICS]]
+    means = scored.groupBy(*(by or [])).agg(*aggregates) if total is None else with_totals(scored, by or [], aggregates, total)
     return means.withColumn("overall", F.round(sum((F.col(m) for m in METRICS[1:]), F.col(METRICS[0])) / len(METRICS), digits))
 
 

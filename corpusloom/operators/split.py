@@ -61,19 +61,23 @@ def capped(df: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:
     return df.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
 
 
+#: Rows that ``cycled`` may broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def cycled(df: DataFrame, order: str, n: int) -> DataFrame:
-    """``n`` rows: those of a small table over and over, in order. For benches, not for tables at scale."""
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    """``n`` rows: those of a table over and over, by an ``order`` without ties."""
     size = df.count()
     if not size:
         return df
-    slots = df.sparkSession.range(n).select((F.col("id") % size).cast("int").alias("_i"), F.col("id").alias("slot"))
-    return slots.join(F.broadcast(rows), "_i").drop("_i")
+    rows = ranked(df, order, "_i").withColumn("_i", F.col("_i") - 1)
+    slots = df.sparkSession.range(n).select((F.col("id") % size).alias("_i"), F.col("id").alias("slot"))
+    return slots.join(F.broadcast(rows) if size <= BROADCAST_ROWS else rows, "_i").drop("_i")
 
 
 def pages(df: DataFrame, order: str, size: int = 4) -> DataFrame:
-    """Adds page, counted from 0, to a small ordered table."""
-    return df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+    """Adds page, counted from 0, by an ``order`` without ties."""
+    return ranked(df, order, "_i").withColumn("page", F.floor((F.col("_i") - 1) / size).cast("int")).drop("_i")
 
 
 def by_position(a: DataFrame, order_a: str, b: DataFrame, order_b: str, agree: tuple[str, str] | None = None) -> DataFrame:

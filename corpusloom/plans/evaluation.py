@@ -58,8 +58,7 @@ def rewrite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT '*', count(*), {_MEANS} FROM scored WHERE rewrite IS NOT NULL) SELECT *, round(({_SUM}) / 5, 4) AS overall FROM g""")
 def rewrite_score_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = _scored(spark, sf_dir).where("rewrite IS NOT NULL")
-    both = rated.withColumn("category", F.explode(F.array("category", F.lit("*"))))
-    return score.mean_metrics(both, ["category"])
+    return score.mean_metrics(rated, ["category"], total="*")
 
 
 @query(f"""WITH {_SCORED}, h AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE rewrite IS NULL) AS n_missing,

@@ -29,15 +29,15 @@ def leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.problems(mine, ["SRC1", "es"], content="text", known=known, known_content="text", text_fields=["text"])
 
 
-_ANSWER = """'{"rewrite":' || CAST(to_json(CASE WHEN doc_id % 8 = 7 THEN text ELSE substr(text, 1, 60) END) AS VARCHAR) || ',"reason":"r"}'"""
+_ANSWER = """'{"rewrite":' || CAST(to_json(text) AS VARCHAR) || ',"reason":"r"}'"""
 
 
 @query(rf"""WITH d AS (SELECT doc_id, doc_id % 8 AS k, coalesce(text, '') AS text FROM documents),
-a AS (SELECT doc_id, k, text, {_ANSWER} AS answer, CASE WHEN k = 3 THEN ' ' ELSE substr(text, 1, 400) END AS asked FROM d),
+a AS (SELECT doc_id, k, text, {_ANSWER} AS answer, CASE WHEN k = 3 THEN ' ' ELSE text END AS asked FROM d),
 b AS (SELECT *, CASE WHEN k = 4 THEN 'no json' WHEN k = 6 THEN '{{"inventory":["a"],"issues":[]}}' ELSE answer END AS said FROM a),
-c AS (SELECT doc_id, k, CASE WHEN k = 4 THEN 'contract:not json' WHEN k <> 6 AND trim(regexp_replace(CASE WHEN k = 7 THEN text ELSE substr(text, 1, 60) END, '\s', '', 'g')) = '' THEN 'contract:rewrite missing' END AS fault,
+c AS (SELECT doc_id, k, CASE WHEN k = 4 THEN 'contract:not json' WHEN k <> 6 AND trim(regexp_replace(text, '\s', '', 'g')) = '' THEN 'contract:rewrite missing' END AS fault,
   CASE WHEN k <> 6 AND trim(asked) = '' THEN 'empty:1' END AS hollow,
-  CASE WHEN 2 + (CASE WHEN k = 6 THEN 1 ELSE greatest(1, length(asked) // 4) END) + greatest(1, length(said) // 4) > 150 THEN 'tokens' END AS tokens FROM b),
+  CASE WHEN 2 + (CASE WHEN k = 6 THEN 1 ELSE greatest(1, length(asked) // 4) END) + greatest(1, length(said) // 4) > 1000 THEN 'tokens' END AS tokens FROM b),
 copied AS (SELECT DISTINCT doc_id FROM {_PHRASES.format(id="doc_id", t="(SELECT doc_id, said AS text FROM b)")} WHERE phrase IN (SELECT phrase FROM {_PHRASES.format(id="item_id", t="benchmark")})),
 e AS (SELECT unnest(CASE WHEN k = 2 THEN ['messages'] ELSE list_filter([CASE WHEN k = 1 THEN 'roles' END, hollow, CASE WHEN k = 6 THEN 'no image part' END, CASE WHEN k = 6 THEN 'image' END, tokens, fault,
   CASE WHEN fault IS NULL AND doc_id IN (SELECT doc_id FROM copied) THEN 'copy' END, CASE WHEN k = 5 THEN 'provenance' END], lambda x: x IS NOT NULL) END) AS error FROM c)
@@ -47,11 +47,11 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, text = F.col("doc_id") % 8, F.coalesce("text", F.lit(""))
     none = F.lit(None).cast("array<struct<type:string,text:string>>")
     message = lambda role, content, parts=none: F.struct(F.lit(role).alias("role"), content.alias("content"), parts.alias("parts"))
-    answer = F.to_json(F.struct(F.when(k == 7, text).otherwise(F.substring(text, 1, 60)).alias("rewrite"), F.lit("r").alias("reason")))
+    answer = F.to_json(F.struct(text.alias("rewrite"), F.lit("r").alias("reason")))
     said = F.when(k == 4, "no json").when(k == 6, '{"inventory":["a"],"issues":[]}').otherwise(answer)
     parts = F.when(k == 6, F.array(F.struct(F.lit("text").alias("type"), F.lit("t").alias("text"))))
     system, reply = message("system", F.lit("Be brief.")), message("assistant", said)
-    user = message("user", F.when(k == 3, " ").when(k != 6, F.substring(text, 1, 400)), parts)
+    user = message("user", F.when(k == 3, " ").when(k != 6, text), parts)
     messages = F.when(k == 1, F.array(user, system, reply)).when(k == 2, F.array(system, user)).otherwise(F.array(system, user, reply))
     source = F.struct(
         F.when(k == 5, F.array().cast("array<string>")).when(k != 6, F.array(F.lit("p"))).alias("source_policy_ids"),
@@ -61,7 +61,7 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", messages.alias("messages"), F.lit(None).cast("string").alias("modality"), F.when(k == 6, "consistency").alias("task"),
         F.lit(None).cast("string").alias("image"), source.alias("provenance"),
     )
-    return validate.count_errors(validate.row_errors(made, 150, table(spark, sf_dir, "benchmark"), "doc_id"))
+    return validate.count_errors(validate.row_errors(made, 1000, table(spark, sf_dir, "benchmark"), "doc_id"))
 
 
 @query("""WITH r AS (SELECT unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'missing:license' END, CASE WHEN doc_id % 5 = 0 THEN 'missing:image' END,
@@ -84,18 +84,18 @@ def _model(prompts: list[str]) -> list[str]:
     return ["well" if len(p) % 3 == 0 else "Here: " + json.dumps({"rewrite": p + "!", "reason": "louder"}) for p in prompts]
 
 
-@query("""WITH u AS (SELECT conv_id, turn, substr(text, 1, 40) AS p FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+@query("""WITH u AS (SELECT conv_id, turn, text AS p FROM conversations WHERE role = 'user' AND text IS NOT NULL)
 SELECT conv_id, turn, CASE WHEN p[1] = 'T' OR length(p) % 3 = 0 THEN '' ELSE p || '!' END AS suggested_copy,
 CASE WHEN p[1] = 'T' THEN 'request failed: no T' WHEN length(p) % 3 = 0 THEN 'well' ELSE 'louder' END AS reason,
 CASE WHEN p[1] = 'T' THEN 'endpoint_error' WHEN length(p) % 3 = 0 THEN 'Model returned non-JSON output.' ELSE '' END AS risk FROM u""")
 def review_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.substring("text", 1, 40).alias("p"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("p"))
     return review.review(asked, "p", _model).drop("p")
 
 
-@query("""SELECT conv_id, turn, substr(text, 1, 40) AS rewrite, 'kept' AS reason, '' AS dry FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+@query("""SELECT conv_id, turn, text AS rewrite, 'kept' AS reason, '' AS dry FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
 def review_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.substring("text", 1, 40).alias("p"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("p"))
     dry = review.review(asked, "p").withColumnRenamed("suggested_copy", "dry").drop("reason", "risk")
     return review.predictions(review.asked(dry, review.identity, "p")).select("conv_id", "turn", "rewrite", "reason", "dry")
 

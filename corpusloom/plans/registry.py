@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-from corpusloom.plans import corpus, evaluation, extraction, gates  # noqa: E402, F401
+from corpusloom.plans import corpus, evaluation, extraction, gates, stores  # noqa: E402, F401

@@ -82,7 +82,7 @@ class SessionTally(StatefulProcessor):
 
 
 def _shared(votes: DataFrame, shares: int) -> DataFrame:
-    return votes.select(
+    return votes.withColumn("ts", F.col("ts").cast("timestamp")).select(
         F.col("session").cast("string").alias("session"), F.pmod(F.xxhash64("vote"), F.lit(shares)).cast("int").alias("share"),
         F.col("vote").cast("string").alias("vote"), "winner", "ts", F.unix_millis("ts").alias("ms"),
     )
