@@ -18,6 +18,7 @@ so other columns of any name cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,8 @@ RULES = BASE_RULES + EXTRA_RULES
 
 LEDGER_SCHEMA = "blob string, kind string, version int"
 FINDINGS_SCHEMA = "blob string, kind string, version int, start bigint, end bigint"
+#: Elements whose places are summed by one growing array, and blobs that a join may broadcast (64 digits each).
+BLOCK, BROADCAST_BLOBS = 128, 500_000
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -75,19 +78,46 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         F.transform(judged, lambda x: F.length(x) >= rule.min_chars).alias("ok"),
         F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda x: F.length(x).cast("long")).alias("gap"),
     )
-    span = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+    spans = _bound(rows, lambda x: _bound(_blocks(x), lambda blocks: _placed(blocks, rule.kind, rank)))
+    hit = text.rlike(rule.pattern)
+    if rule.hint:
+        hit = text.contains(rule.hint) & hit
+    return F.when(hit, spans).otherwise(F.array().cast(SPANS))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: as the element of an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(x: Column) -> Column:
+    """An array in pieces of BLOCK elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, BLOCK))
+
+
+def _placed(blocks: Column, kind: str, rank: int) -> Column:
+    """The spans of blocks of (n, ok, gap). Arrays grow by copies, so positions are summed in two levels: where each block
+    begins, and from there on within the block."""
+    begun = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, block: F.struct(
+            F.aggregate(block, acc["pos"], lambda p, x: p + x["gap"] + x["n"]).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + x["gap"]
         end = start + x["n"]
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
+        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")))
         return F.struct(end.alias("pos"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(span).alias("out"))
-    hit = text.rlike(rule.pattern)
-    if rule.hint:
-        hit = text.contains(rule.hint) & hit
-    return F.when(hit, F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(span))
+    def inside(z: Column) -> Column:
+        zero = F.struct(z["at"].alias("pos"), F.array().cast(SPANS).alias("out"))
+        return F.aggregate(z["block"], zero, step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), begun.alias("at")), inside))
 
 
 def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -95,22 +125,31 @@ def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rul
 
     ``versions`` needs ``blob`` and ``text``. Copies of a blob meet in a map-side combined aggregation,
     so a blob that holds a third of all rows costs one row per map task."""
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     all_pairs = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
+    grouped = lambda rows: rows.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        return blobs.withColumn("todo", all_pairs)
-    seen = (
+        return grouped(versions).withColumn("todo", all_pairs)
+    seen = cut(
         ledger.select("blob", F.concat_ws("@", "kind", F.col("version").cast("string")).alias("pair"))
         .where(F.col("pair").isin(*[f"{r.kind}@{r.version}" for r in rules]))
         .groupBy("blob")
         .agg(F.collect_set("pair").alias("seen"))
     )
-    return (
-        blobs.join(seen, "blob", "left")
-        .withColumn("todo", F.array_except(all_pairs, F.coalesce("seen", F.array().cast("array<string>"))))
-        .where(F.size("todo") > 0)
-        .drop("seen")
-    )
+    done, some = (seen.where(F.size("seen") == len(rules)).select("blob"), seen.where(F.size("seen") < len(rules)))
+    todo = F.array_except(all_pairs, F.coalesce("seen", F.array().cast("array<string>")))
+    return grouped(_without(versions, done)).join(some, "blob", "left").select("blob", "text", todo.alias("todo"))
+
+
+def _without(versions: DataFrame, done: DataFrame) -> DataFrame:
+    """The versions of blobs that are not ``done``. Their texts stay where they are read, whichever of the done blobs and of
+    those left is small enough to be sent to them; where neither is, copies meet before the join."""
+    small = lambda rows: rows.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+    if small(done):
+        return versions.join(F.broadcast(done), "blob", "left_anti")
+    left = cut(versions.select("blob").distinct().join(done, "blob", "left_anti"))
+    if small(left):
+        return versions.join(F.broadcast(left), "blob", "left_semi")
+    return versions.groupBy("blob").agg(F.first("text").alias("text")).join(left, "blob", "left_semi")
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -165,7 +204,7 @@ def scan_versions(
     found = cut(scan_blobs(unseen_blobs(versions, ledger, rules), rules).where(F.size("spans") > 0).select("blob", "spans"))
     if findings is not None:
         both = found.union(_known(findings, rules)).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        found = cut(both.join(versions.select("blob").distinct(), "blob", "left_semi").select("blob", F.array_sort(F.array_distinct("spans")).alias("spans")))
+        found = cut(both.join(versions.select("blob").distinct(), "blob", "left_semi").select("blob", _bound(F.array_sort("spans"), _single).alias("spans")))
     none = F.array().cast(SPANS)
     return (
         versions.select(id_col, "blob")
@@ -184,6 +223,11 @@ def scan_increment(
     return ledger_rows(scanned), finding_rows(scanned, rules)
 
 
+def _single(spans: Column) -> Column:
+    """A sorted array without repeats, each compared with the one before it."""
+    return F.filter(spans, lambda x, i: (i == 0) | (x != F.get(spans, i - 1)))
+
+
 def render(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
