@@ -64,7 +64,7 @@ def _tensors(spark: SparkSession, sf_dir: str) -> str:
 embedding[1]::DOUBLE AS head, embedding[-1]::DOUBLE AS last, list_max(embedding)::DOUBLE AS peak FROM embeddings WHERE vec_id % 2 = 0""")
 def tensor_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The factors A alone, 20 elements at a time."""
-    found = tensor_files.slices(spark, _tensors(spark, sf_dir), 80).where(F.col("name").endswith(".lora_A"))
+    found = tensor_files.slices(spark, _tensors(spark, sf_dir), 80, partitionbytes="1000000").where(F.col("name").endswith(".lora_A"))
     return found.groupBy(F.regexp_extract("name", r"layers\.(\d+)\.", 1).cast("int").alias("layer")).agg(
         F.sum(F.size("data")).alias("n"), F.count(F.lit(1)).alias("n_slices"), F.min_by(F.get("data", F.lit(0)), "first").cast("double").alias("head"),
         F.max_by(F.element_at("data", -1), "first").cast("double").alias("last"), F.max(F.array_max("data")).cast("double").alias("peak"),
@@ -94,10 +94,11 @@ def hottest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensors.hottest(cells).select("layer", "module")
 
 
-@query("SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 37 = 0)")
+@query("""WITH s AS (SELECT doc_id, source || '/' || (doc_id % 50) AS screen FROM documents)
+SELECT DISTINCT screen FROM s WHERE screen NOT IN (SELECT screen FROM s WHERE doc_id < 50)""")
 def missing_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return leakage.missing(docs, docs.where("doc_id % 37 = 0").select("source").distinct(), "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("screen"))
+    return leakage.missing(docs, docs.where("doc_id < 50").select("screen").distinct(), "screen")
 
 
 @query("SELECT lang, source, max(doc_id) AS doc_id FROM documents WHERE (lang, source) IN (SELECT lang, source FROM documents WHERE doc_id < 9) GROUP BY ALL")

@@ -87,14 +87,14 @@ def header(path: str) -> list[Piece]:
     return sorted(found, key=lambda p: p.at)
 
 
-def cut_up(pieces: list[Piece], most: int) -> Iterator[list[Piece]]:
-    """Groups of neighbours of ``most`` bytes at most; larger tensors are sliced."""
+def cut_up(pieces: list[Piece], most: int, together: int) -> Iterator[list[Piece]]:
+    """Groups of neighbours of ``together`` bytes at most, of tensors and of slices, ``most`` bytes each, of larger ones."""
     group: list[Piece] = []
     for p in pieces:
         step = max(1, most // WIDTH[p.dtype])
         for first in range(0, p.count, step) if p.count else (0,):
             part = Piece(p.name, p.dtype, p.shape, first, min(step, p.count - first), p.at + first * WIDTH[p.dtype])
-            if group and part.at + part.size - group[0].at > most:
+            if group and part.at + part.size - group[0].at > together:
                 yield group
                 group = []
             group.append(part)
@@ -125,6 +125,7 @@ class TensorReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.most = int(options.get("slicebytes", SLICE_BYTES))
+        self.together = max(self.most, int(options.get("partitionbytes", self.most)))
         self.whole = options.get("whole", "false") == "true"
         self.listing = options.get("listing", "false") == "true"
         self.pushed: list[Filter] = []
@@ -150,9 +151,9 @@ class TensorReader(DataSourceReader):
                 groups = [wanted] if wanted else []
             elif self.whole:
                 groups = [[p] for p in wanted if p.size > self.most]
-                groups += cut_up([p for p in wanted if p.size <= self.most], self.most)
+                groups += cut_up([p for p in wanted if p.size <= self.most], self.most, self.together)
             else:
-                groups = cut_up(wanted, self.most)
+                groups = cut_up(wanted, self.most, self.together)
             parts += [TensorPartition(path, g) for g in groups]
         return parts or [TensorPartition("", [])]
 
@@ -235,7 +236,7 @@ class Tensors(DataSource):
 
 def slices(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES, **options: str) -> DataFrame:
     """(path, name, dtype, shape, first, data): the floating-point tensors of a file or a folder of files, in slices that
-    begin at element ``first``. Conditions on name and dtype reach the source; Spark has a setting for that, which this sets."""
+    begin at element ``first``; ``partitionbytes`` has a task read more than one. Conditions on name and dtype reach the source; Spark has a setting for that, which this sets."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Tensors)
     return spark.read.format("tensors").options(slicebytes=str(slice_bytes), **options).load(path)
