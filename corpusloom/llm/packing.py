@@ -21,9 +21,11 @@ empty table packs into nothing; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,15 +40,41 @@ from corpusloom.llm.arrow import map_rows
 from corpusloom.llm.common import cut
 from corpusloom.llm.memory import held
 
-#: Words from which on a worker's memory of ids is a generation, of which the last two are kept; words encoded at once.
+#: Words and pieces from which on a worker's memory of ids is a generation, of which the last two are kept; words encoded at once.
 REMEMBERED_WORDS, WORDS_AT_ONCE = 100_000, 8_192
 #: str.split() takes these as white space, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Fixed value: the pattern by which the tokenizer cuts its normalised (NFC, lower case) text into pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and numbers of the first 256 characters, in lower case, and the same pattern for these.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+
+
+def _shown() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible ones as they are, the others as characters from 256 on, in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in visible)
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _cuts_alike(path: str) -> bool:
+    """Whether a tokenizer's file says that it normalises and cuts texts as ``_PIECES`` does."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = [(p["type"], p.get("pattern"), p.get("add_prefix_space")) for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", {"Regex": PATTERN}, None), ("ByteLevel", None, False)]
+        and spec["model"]["type"] == "BPE"
+    )
 
 
 class WordIds(dict):
-    """Ids (little-endian uint32 bytes) of white-space-delimited words. The tokenizer drops white space and
-    no token spans it, so the ids of a text are those of its words in order."""
+    """Ids (little-endian uint32 bytes) of the pieces that the tokenizer cuts a text into, and of whole words that hold
+    characters beyond the first 256. The tokenizer drops white space and no token spans a piece, so the ids of a text are
+    those of its pieces and words in order. Pieces are fewer than words (case and punctuation are cut off),
+    and their ids come from the merges alone. A tokenizer that cuts in another way is asked for whole words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,42 +82,63 @@ class WordIds(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
         self.tokenizer = Tokenizer.from_file(path)
-        self.before: dict[str, bytes] = {}  # the generation before: words that recur are taken over from it
+        self.merges = self.tokenizer.model if _cuts_alike(path) else None
+        self.shown = _shown()
+        self.before: dict[str, bytes] = {}  # the generation before: keys that recur are taken over from it
+
+    def _odd(self, text: str) -> bool:
+        """Beyond the first 256 characters, or perhaps with a special token: left to the tokenizer."""
+        if self.merges is None or "<|" in text:
+            return True
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return True
+        return False
 
     def learn(self, texts: list[str | None]) -> None:
-        """Remembers the words of some texts, encoded together."""
-        self._make_room()
-        missing = []
-        for word in {w for t in texts if t for w in t.split() if len(w) <= 64}:
-            if word not in self:
-                if word in self.before:
-                    self[word] = self.before[word]
-                else:
-                    missing.append(word)
+        """Remembers the words of some texts that the tokenizer has to be asked for, encoded together."""
+        odd = {w for t in texts if t and self._odd(t) for w in t.split() if len(w) <= 64 and self._odd(w)}
+        missing = [w for w in odd if w not in self and w not in self.before]
         for k in range(0, len(missing), WORDS_AT_ONCE):
             part = missing[k : k + WORDS_AT_ONCE]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+                self._remember(word, np.asarray(found.ids, dtype="<u4").tobytes())
 
-    def _make_room(self) -> None:
+    def _remember(self, key: str, ids: bytes) -> None:
         if len(self) >= REMEMBERED_WORDS:
             self.before = dict(self)
             self.clear()
+        self[key] = ids
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.direct(word)
-        if len(word) <= 64:
-            self._make_room()
-            self[word] = ids
+    def _merged(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.merges.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.direct(key) if self._odd(key) else self._merged(key)
+        if len(key) <= 64:
+            self._remember(key, ids)
         return ids
 
+    def _keys(self, text: str) -> list[str]:
+        if not self._odd(text):
+            return _PIECES.findall(text.lower())
+        return [k for w in text.split() for k in ((w,) if self._odd(w) else _PIECES.findall(w.lower()))]
+
     def ids(self, text: str) -> bytes:
         if _SEPARATORS.search(text):
             return self.direct(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, self._keys(text)))
 
 
 def word_ids(path: str) -> WordIds:
