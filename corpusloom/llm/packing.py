@@ -41,14 +41,14 @@ from corpusloom.llm.common import cut
 from corpusloom.llm.memory import held
 
 #: Words and pieces from which on a worker's memory of ids is a generation, of which the last two are kept; words encoded at once.
-REMEMBERED_WORDS, WORDS_AT_ONCE = 100_000, 8_192
+REMEMBERED_WORDS, WORDS_AT_ONCE = 150_000, 8_192
 #: str.split() takes these as white space, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the pattern by which the tokenizer cuts its normalised (NFC, lower case) text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Letters and numbers of the first 256 characters, in lower case, and the same pattern for these.
-_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: Letters, numbers and white space of the first 256 characters, in lower case, and the same pattern for these.
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r\x20\x85\xa0"
+_PIECES = re.compile(f"[{_LETTERS}]++|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACES}{_LETTERS}{_NUMBERS}]++")
 
 
 def _shown() -> dict[int, str]:
