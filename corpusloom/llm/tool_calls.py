@@ -40,7 +40,8 @@ TYPES = {
 }
 Schemas = dict[str, dict[str, tuple[str, bool]]]  # tool: argument: (type, required)
 
-REF = r'"\$ref"\s*:\s*"([^"\\]+)"'
+#: A reference and its identifier as a JSON string; the key's first quote is no escaped one.
+REF = r'(?<!\\)"\$ref"\s*:\s*("(?:[^"\\]|\\.)+")'
 
 
 CALLS = "try_variant_get(v, '$.tool_calls', 'array<variant>')"
@@ -113,11 +114,17 @@ def schema_errors(schemas: Schemas) -> Column:
     )
 
 
+def references() -> Column:
+    """array<string> of the identifiers that a call's ``arguments`` refer to, escapes decoded."""
+    texts = F.regexp_extract_all("arguments", F.lit(REF), F.lit(1))
+    return F.transform(texts, lambda x: F.try_variant_get(F.try_parse_json(x), "$", "string"))
+
+
 def levels(calls: DataFrame) -> DataFrame | None:
     """(conv_id, call_id, level) of calls that depend on others, None if none does. Calls in a circle, or after one, are
     missing."""
     ids = calls.select("conv_id", F.col("call_id").alias("dep")).where("conv_id IS NOT NULL AND dep IS NOT NULL")
-    refs = calls.select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(REF), F.lit(1))).alias("dep"))
+    refs = calls.select("conv_id", "call_id", F.explode(references()).alias("dep"))
     deps = cut(refs.join(ids, ["conv_id", "dep"], "left_semi").distinct())
     if deps.isEmpty():
         return None
@@ -206,7 +213,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     else:
         deps = F.size(F.regexp_extract_all("arguments", F.lit(REF), F.lit(1))) > 0
         circle = order.select("conv_id", "call_id", "level", F.lit(True).alias("ordered"))
-        refs = calls.select("conv_id", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(REF), F.lit(1))).alias("dep"))
+        refs = calls.select("conv_id", "call_id", F.explode(references()).alias("dep"))
         ids = calls.select("conv_id", F.col("call_id").alias("dep"))
         bound = refs.join(ids, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id").distinct().withColumn("bound", F.lit(True))
         calls = (

@@ -128,3 +128,12 @@ def test_a_very_long_turn_and_ties(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.call_id: r for r in T.link(*T.events(df), SCHEMAS).collect()}
     assert len(got["k"].record) > 6_000_000 and got["k"].errors == "" and json.loads(got["j"].record)["result"] == "a" and got["j"].copies == 3
+
+
+def test_references_with_escapes(spark):
+    odd = ['a"1', "b\\", "\\", "c\n\t", 'é"$ref":"x"', "/"]
+    calls = [call(i, "now") for i in odd] + [call(f"to {k}", "now", a={"$ref": i}) for k, i in enumerate(odd)]
+    calls += [call("key", "now", **{'x"$ref': "/"}), call("text", "now", a='"$ref":"/"')]
+    df = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls}))], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r.level for r in T.link(*T.events(df), {"now": {}}).collect()}
+    assert got == {i: 0 for i in [*odd, "key", "text"]} | {f"to {k}": 1 for k in range(len(odd))}
