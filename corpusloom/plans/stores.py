@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import arena, leakage, score, tensors, validate
 from corpusloom.plans.evaluation import _SHEET, _checkpoint, _sheet, _stream
 from corpusloom.plans.registry import query, table
-from corpusloom.sources import committed, readers, tensor_files, writers
+from corpusloom.sources import committed, readers, tensor_files, workbooks, writers
 from corpusloom.streaming import sessions
 
 
@@ -121,3 +121,23 @@ def modality_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with their subtotals in one pass."""
     kind = validate.modality(F.lit(""), F.lit(""), F.col("lang") != "en")
     return score.with_totals(table(spark, sf_dir, "documents").withColumn("modality", kind), ["modality", "lang"], [F.count(F.lit(1)).alias("n")])
+
+
+@query("SELECT doc_id, lang, sha256(text) AS h FROM documents WHERE doc_id % 4 < 2")
+def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as lines of a source tree, half of them below folders that a scan skips."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h")), _checkpoint(spark)
+    for k, folder in enumerate(("app/_pages", "lib/.hidden", "app/node_modules/a", "lib/vendor")):
+        part = docs.where(F.col("doc_id") % 4 == k).withColumn("by", F.coalesce("lang", F.lit("none")))
+        part.write.partitionBy("by").option("maxRecordsPerFile", 5000).json(f"{path}/{folder}")
+    lines = readers.source_tree(spark, path).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.from_json("line", "doc_id bigint, lang string, h string").alias("r")).select("r.*")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(lang, '') AS lang, nullif(source, '') AS source, CAST(n_chars AS VARCHAR) AS n_chars,
+sha256(text) AS h FROM documents""")
+def workbook_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of the documents in workbooks of one sheet, read back."""
+    docs, path = table(spark, sf_dir, "documents"), _checkpoint(spark)
+    workbooks.write(docs.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("h")), path, "catalogue")
+    return workbooks.sheet_rows(spark, path, "catalogue")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from corpusloom.operators.extract import EXTENSIONS, MOST_BYTES, SKIPPED_FOLDERS, decoded, scannable
-from corpusloom.sources import tensor_files
+from corpusloom.sources import stores, tensor_files, trees
 
 
 class BadLine(ValueError):
@@ -78,9 +78,15 @@ def guides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to the root, text) of the scannable files under a folder. The extension is a glob of the listing, the
-    skipped folders a condition on the files' metadata, and the size one that the scan takes, so no content is
-    read of files that they drop."""
+    """(path relative to the root, text) of the scannable files under a folder, hidden ones too. Tasks list the tree, level by
+    level, and never open a skipped folder. Stores that only Spark reaches are listed by it: their skipped folders are
+    listed, not read, and names that start with _ or . are left out, as Spark does."""
+    return trees.source_tree(spark, root) if stores.reachable(root) else listed_tree(spark, root)
+
+
+def listed_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``source_tree`` by Spark's own listing. The extension is a glob of the listing, the skipped folders a condition on the
+    files' metadata, and the size one that the scan takes, so no content is read of files that they drop."""
     either = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{either}}}").load(root)
     base = re.sub("^[a-z]+:/*", "/", root.rstrip("/") + "/")
