@@ -31,8 +31,8 @@ def identity(prompts: list[str]) -> list[str]:
 def _ask(predict: Predictor, prompts: list[str]) -> list[tuple[str | None, str | None]]:
     """(reply, error) of each prompt."""
     try:
-        replies = predict(prompts)
-        if len(replies) == len(prompts):
+        replies = predict(prompts) if len(prompts) > 1 else []  # a single one is asked below, and not twice
+        if replies and len(replies) == len(prompts):
             return [(r, None) for r in replies]
     except Exception:  # noqa: BLE001
         pass

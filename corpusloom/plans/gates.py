@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import contract
-from corpusloom.operators import arena, cost, gates, review, rows, score, validate
+from corpusloom.operators import arena, cost, gates, retries, review, rows, score, validate
 from corpusloom.plans.corpus import _PHRASES
-from corpusloom.plans.evaluation import _FLAGS, _GOLD, _SHEET, _judged, _sheet
+from corpusloom.plans.evaluation import _FLAGS, _GOLD, _SHEET, _checkpoint, _judged, _sheet
 from corpusloom.plans.registry import query, table
 
 _ROWS = "rows AS (SELECT doc_id AS id, lower(source) AS source, lang, text FROM documents WHERE doc_id % 4 = 0)"
@@ -93,6 +93,22 @@ def review_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review(asked, "p", _model).drop("p")
 
 
+def _fussy(prompts: list[str]) -> list[str]:
+    if any(p.startswith("T") for p in prompts):
+        raise ValueError("no T")
+    return ["first " + p for p in prompts]
+
+
+@query("""SELECT conv_id, turn, CASE WHEN text[1] = 'T' THEN 'second ' ELSE 'first ' END || text AS reply, CASE WHEN text[1] = 'T' THEN 2 ELSE 1 END AS tries, CAST(NULL AS VARCHAR) AS error
+FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def review_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with a model that fails on some rows, and a later one that asks for those alone."""
+    rows, path = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", "text"), _checkpoint(spark)
+    retries.answered(rows, ["conv_id", "turn"], "text", _fussy, path, tries=1, shares=1, at_once=8)
+    second = retries.answered(rows, ["conv_id", "turn"], "text", lambda prompts: ["second " + p for p in prompts], path, tries=2, shares=1, at_once=8)
+    return second.drop("text")
+
+
 @query("""SELECT conv_id, turn, text AS rewrite, 'kept' AS reason, '' AS dry FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
 def review_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("p"))
