@@ -75,3 +75,24 @@ def test_ids_are_forgotten_by_a_timer_and_late_copies_left_out(spark, tmp_path):
     run()
     want = [*range(20), *range(100, 110), 200]
     assert counts(spark, path) == {w: sum("abc"[k % 3] == w for k in want) for w in "abc"}
+
+
+def test_states_are_as_many_as_buckets_whatever_the_sessions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sessions, "BUCKETS", 3, raising=False)
+    folder, path, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    every = [(f"s{k % 60}", f"v{k % 97}", "abc"[k % 3], START + dt.timedelta(seconds=k)) for k in range(600)]
+
+    def run(low, high, name):
+        put(spark.createDataFrame(every[low:high], VOTE), folder, name)
+        stream = spark.readStream.schema(VOTE).option("maxFilesPerTrigger", 1).parquet(folder)
+        sessions.resume(stream, path, checkpoint, lambda: spark.createDataFrame(every[:250], VOTE), late="1 hour", shares=2)
+
+    run(200, 400, "a")
+    run(300, 600, "b")
+    first = {}
+    for session, vote, winner, _ in every:
+        first.setdefault((session, vote), winner)  # sessions of a state may hold votes of the same id
+    assert counts(spark, path) == {w: sum(x == w for x in first.values()) for w in "abc"}
+    state = spark.read.format("statestore").option("stateVarName", "tally").load(checkpoint)
+    assert state.count() <= 6
+    assert state.select(F.explode("value.ids")).count() == len(first)
