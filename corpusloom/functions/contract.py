@@ -104,9 +104,13 @@ def stripped(c: Column) -> Column:
 def strict(c: Column) -> Column:
     """The variant of a text that is one JSON value and nothing else; null for any other. The parser reads on past bad ends, so
     it gets an array that ends with the text's checksum and has to find two elements and the checksum."""
-    crc = F.crc32(c)
-    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), crc.cast("string"), F.lit("]"))), "$", "array<variant>")
-    return bound(both, lambda a: F.when((F.size(a) == 2) & (F.try_variant_get(a[1], "$", "bigint") == crc), a[0]))
+
+    def parsed(t: Column) -> Column:
+        crc = F.crc32(t)
+        both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit(","), crc.cast("string"), F.lit("]"))), "$", "array<variant>")
+        return bound(both, lambda a: F.when((F.size(a) == 2) & (F.try_variant_get(a[1], "$", "bigint") == crc), a[0]))
+
+    return bound(c, parsed)
 
 
 def kind(v: Column) -> Column:
@@ -240,7 +244,7 @@ def strict_object(text: str | None) -> str | None:
 
 def object_text(c: Column) -> Column:
     """See ``strict_object``."""
-    return F.when(is_object(strict(c)), c)
+    return bound(c, lambda t: F.when(is_object(strict(t)), t))
 
 
 def issues_contract(c: Column) -> Column:
@@ -310,12 +314,15 @@ def real_issues(issues: Column) -> Column:
 def filtered_output(c: Column) -> Column:
     """struct<inventory, issues, parse_error>: what the text holds, without issues that are not real. A text that is no
     object, by a strict decoder, is a parse error."""
-    v = F.from_json(object_text(c), ISSUES)
-    return F.struct(
-        F.coalesce(v["inventory"], F.array().cast("array<string>")).alias("inventory"),
-        real_issues(v["issues"]).alias("issues"),
-        (v.isNull() | (v["inventory"].isNull() & v["issues"].isNull())).alias("parse_error"),
-    )
+
+    def kept(v: Column) -> Column:
+        return F.struct(
+            F.coalesce(v["inventory"], F.array().cast("array<string>")).alias("inventory"),
+            real_issues(v["issues"]).alias("issues"),
+            (v.isNull() | (v["inventory"].isNull() & v["issues"].isNull())).alias("parse_error"),
+        )
+
+    return bound(F.from_json(object_text(c), ISSUES), kept)
 
 
 def issue_types(issues: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from corpusloom.functions.contract import last_object, object_text
+from corpusloom.functions.contract import bound, last_object, object_text
 from corpusloom.operators.extract import escape
 
 Predictor = Callable[[list[str]], list[str]]
@@ -89,6 +89,5 @@ def review(candidates: DataFrame, prompt: str, predict: Predictor | None = None,
 def replied(reply: Column) -> Column:
     """struct<rewrite, reason, risk> of a benchmark's reply, which as a whole has to be an object."""
     whole = F.from_json(object_text(reply), "rewrite string, reason string, risk string")
-    return F.when(whole.isNotNull(), whole).otherwise(
-        F.struct(F.lit("").alias("rewrite"), F.coalesce(reply, F.lit("")).alias("reason"), F.lit(NOT_JSON).alias("risk"))
-    )
+    plain = F.struct(F.lit("").alias("rewrite"), F.coalesce(reply, F.lit("")).alias("reason"), F.lit(NOT_JSON).alias("risk"))
+    return bound(whole, lambda v: F.when(v.isNotNull(), v).otherwise(plain))

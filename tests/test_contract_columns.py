@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,25 @@ def test_what_columns_refuse(spark):
 def test_no_python_in_the_plans(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("column", [
+    contract.object_text, contract.rewrite_contract, contract.issues_contract, contract.valid_reply, contract.last_rewrite, contract.widest_rewrite, contract.filtered_output, contract.raw_types,
+])
+def test_a_reply_is_made_and_parsed_once(spark, column):
+    made = column(F.reverse("t"))
+    df = spark.createDataFrame([("a",)], "t string").select(made.alias("x")).select("x", F.col("x").alias("y"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1 and plan.count("from_json(") <= 1
+
+
+def test_issue_filter_of_odd_texts_from_their_first_words_alone(spark, tmp_path):
+    texts = [None, "", " ", "  ", "a", "a ", " a", "a a b", "a b a", 'q"u\\o q"u\\o x', "tab\tbed tab\tbed", "é😀 é😀", "a\na a\na", "x" * 5000, "{} {}", "a  a"]
+    rows = [(k * len(texts) + j, t) for k in range(105) for j, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["issue_filter"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(registry.ORACLES["issue_filter"]).fetchall())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") <= 4  # read, cut and dropped: the words are taken from the start
