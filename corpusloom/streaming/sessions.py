@@ -95,8 +95,10 @@ class SessionTally(StatefulProcessor):
 
 
 def _shared(votes: DataFrame, shares: int) -> DataFrame:
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    session = F.col("session").cast("string")
     return votes.withColumn("ts", F.col("ts").cast("timestamp")).select(
-        F.pmod(F.xxhash64(F.col("session").cast("string")), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col("session").cast("string").alias("session"), F.pmod(F.xxhash64("vote"), F.lit(shares)).cast("int").alias("share"),
+        dealt(session, BUCKETS).alias("bucket"), session.alias("session"), dealt("vote", shares).alias("share"),
         F.col("vote").cast("string").alias("vote"), "winner", "ts", F.unix_millis("ts").alias("ms"),
     )
 
