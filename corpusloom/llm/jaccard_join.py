@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow import slices
+from corpusloom.llm.arrow import map_batches, slices
 from corpusloom.llm.common import cut, small_side
 from corpusloom.llm.graph import components
 from corpusloom.llm.shingles import U, mix, shingle_set, word_hashes
@@ -521,7 +521,7 @@ def _link_large(sets: DataFrame, num: int, den: int, block_elements: int) -> Dat
             .select(named, F.lit(True).alias("member"), "id", "elements")
         )
         both = ahead.union(after).repartition("group").sortWithinPartitions("group", "member", "id")
-        found = both.mapInArrow(_against(num, den), "a long, b long")
+        found = map_batches(both, _against(num, den), "a long, b long")
         links = cut(found if links is None else links.union(found))
         waiting = waiting.join(small_side(pivots), ["id", "family"], "left_anti")
         of = cut(components(links))
@@ -545,7 +545,7 @@ def near_duplicates(
     """(id, n_shingles, component_id): component_id is the least id that links of similarity num/den or more reach."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     schemes = Schemes(num, den)
-    about = cut(docs.mapInArrow(_describe(shingle_words, schemes), "id long, n long, hi long, lo long, budget long"))
+    about = cut(map_batches(docs, _describe(shingle_words, schemes), "id long, n long, hi long, lo long, budget long"))
     unnamed = about.where("id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     docs, about = docs.where("id IS NOT NULL"), about.where("id IS NOT NULL")
     # Rows of equal sets, of which the least id stands for all; only sets that occur again are joined.
@@ -555,7 +555,7 @@ def near_duplicates(
     distinct = docs.join(small_side(cut(placed.where("id <> rep").select("id").distinct())), "id", "left_anti")
 
     level = cut(
-        distinct.mapInArrow(_keys(shingle_words, schemes, hottest), "key long, id long, to long")
+        map_batches(distinct, _keys(shingle_words, schemes, hottest), "key long, id long, to long")
         .repartition("key").sortWithinPartitions("key", "id")
         .mapInArrow(_runs(hottest), "a long, b long, n long, rank long")
     )
@@ -584,11 +584,11 @@ def near_duplicates(
     large = cut(weight.where(F.col("weight") > block_elements).select("family"))
     texts = lambda of: docs.join(small_side(cut(of.select("id", "family"))), "id").select("id", "family", "text")
     shaped = "id long, family long, elements binary"
-    small = texts(members.join(small_side(large), "family", "left_anti")).mapInArrow(_sets(shingle_words), shaped).select("family", "id", "elements")
-    roots = small.repartition("family").sortWithinPartitions("family", "id").mapInArrow(_verify(num, den), "a long, b long")
+    small = map_batches(texts(members.join(small_side(large), "family", "left_anti")), _sets(shingle_words), shaped).select("family", "id", "elements")
+    roots = map_batches(small.repartition("family").sortWithinPartitions("family", "id"), _verify(num, den), "a long, b long")
     roots = cut(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")))
     if not large.isEmpty():
-        sets = cut(texts(members.join(small_side(large), "family")).mapInArrow(_sets(shingle_words), shaped))
+        sets = cut(map_batches(texts(members.join(small_side(large), "family")), _sets(shingle_words), shaped))
         roots = cut(roots.union(components(_link_large(sets, num, den, block_elements)).select(F.col("node").alias("rep"), "root")))
     named = placed.join(small_side(roots), "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("component_id"))
     bare = about.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow import map_rows, slices
+from corpusloom.llm.arrow import map_batches, map_rows, slices
 from corpusloom.llm.common import cut
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -296,7 +296,7 @@ def train(
     chosen = F.broadcast(rows.select("id", "digest", "y", scale.alias("scale")))
     picked = texts.join(chosen, "id").where(F.sha2("text", 256) == F.col("digest"))
     picked = picked.repartition(parts, "digest").dropDuplicates(["digest"])  # rows that repeat an id
-    shards = cut(picked.select("text", "y", "scale").mapInArrow(_shards, blobs).coalesce(parts))
+    shards = cut(map_batches(picked.select("text", "y", "scale"), _shards, blobs).coalesce(parts))
     seen = np.zeros(BUCKETS, dtype=np.int64)
     names = shards.columns
     for r in shards.select(*names[-2:]).collect():  # at most BUCKETS pairs of numbers a shard
